@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, media
+from . import chat, langid, media, packing, privacy
 
 QUERIES = {
+    "op2_packing_spfhp": packing.op2_packing_spfhp,
+    "op3_chat_parts": chat.op3_chat_parts,
+    "op6_pii_disclosure": privacy.op6_pii_disclosure,
     "op7_media_wav": media.op7_media_wav,
     "op10_langid_ppm": langid.op10_langid_ppm,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_parts": chat.OP3_SQL}
