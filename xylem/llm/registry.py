@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, packing, privacy
+from . import chat, fingerprints, langid, media, packing, privacy
 
 QUERIES = {
     "op2_packing_spfhp": packing.op2_packing_spfhp,
     "op3_chat_parts": chat.op3_chat_parts,
     "op6_pii_disclosure": privacy.op6_pii_disclosure,
     "op7_media_wav": media.op7_media_wav,
+    "op8_minhash_oph": fingerprints.op8_minhash_oph,
     "op10_langid_ppm": langid.op10_langid_ppm,
 }
 
