@@ -99,6 +99,40 @@ def hashed_words(column, lower: bool = False):
         yield i, rows, hash_spans(part, starts, ends, lower), starts, ends, part
 
 
+class Tally:
+    """Counts by 64-bit name, gathered over a task's batches so that a task gives each name once; gives out early what passes
+    `most` names, which bounds its memory and only adds rows to sum."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.names, self.counts, self.size = most, [], [], 0
+
+    def add(self, names: np.ndarray, counts: np.ndarray | None = None):
+        if len(names):
+            self.names.append(names)
+            self.counts.append(np.ones(len(names), np.int64) if counts is None else counts)
+            self.size += len(names)
+        if self.size > 2 * self.most:
+            self._merge()
+            if self.size > self.most:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        names = np.concatenate(self.names)
+        order = np.argsort(names)
+        names, counts = names[order], np.concatenate(self.counts)[order]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        self.names, self.counts, self.size = [names[first]], [np.add.reduceat(counts, first)], len(first)
+
+    def rest(self):
+        """Arrow batches (name, n)."""
+        if self.size:
+            self._merge()
+            names, counts = self.names[0].view(np.int64), self.counts[0]
+            for i in range(0, len(names), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], names=["name", "n"])
+        self.names, self.counts, self.size = [], [], 0
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit name of the row's content: equal rows are equal documents and get equal results."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns], F.lit(17))

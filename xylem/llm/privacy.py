@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, hash_spans, hashed_words, mix, row_key, settle, small_batches, text_bytes
+from .common import _U, Tally, hash_spans, hashed_words, mix, row_key, settle, small_batches, text_bytes
 
 SUPPORT, REMOVE, GENERALISE, COMMON = 3, 0.95, 0.8, 0.01
 BLOOM_BITS = 24
@@ -192,8 +192,8 @@ def count_terms(docs: DataFrame, text_col: str, bloom: Bloom) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches):
+        tally = Tally()
         for b in batches:
-            names = []
             for _, rows, _, starts, ends, data in hashed_words(b.column(0)):
                 starts, ends = trim_spans(data, starts, ends)
                 h = hash_spans(data, starts, ends, lower=True)
@@ -202,12 +202,10 @@ def count_terms(docs: DataFrame, text_col: str, bloom: Bloom) -> DataFrame:
                     row, found = np.searchsorted(rows, hit, "right"), h[hit]
                     order = np.lexsort((found, row))
                     row, found = row[order], found[order]
-                    names.append(found[np.concatenate([[True], (row[1:] != row[:-1]) | (found[1:] != found[:-1])])])
-            if names:
-                h, n = np.unique(np.concatenate(names), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["term", "n"])
+                    yield from tally.add(found[np.concatenate([[True], (row[1:] != row[:-1]) | (found[1:] != found[:-1])])])
+        yield from tally.rest()
 
-    return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return docs.select(text_col).mapInArrow(run, "name long, n long").groupBy(F.col("name").alias("term")).agg(F.sum("n").alias("n_t"))
 
 
 _TRIM_BYTES = np.zeros(256, bool)
