@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, media, packing, privacy
+from . import chat, fingerprints, langid, lm, media, packing, privacy
 
 QUERIES = {
+    "op1_brown_lm": lm.op1_brown_lm,
     "op2_packing_spfhp": packing.op2_packing_spfhp,
     "op3_chat_parts": chat.op3_chat_parts,
     "op6_pii_disclosure": privacy.op6_pii_disclosure,
