@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, settle
 
 BINS_LOG, BITS, WIDTH = 7, 8, 5
 BINS = 1 << BINS_LOG
@@ -101,31 +101,32 @@ def next_documents(ids: DataFrame) -> DataFrame:
     return rows.join(heads, "_p", "left").select("_key", "_id", F.coalesce("_next", "_after").alias("_next"))
 
 
-def edited_pairs(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """Fingerprints of each document and of its edited text, whose last third is replaced by the beginning of the next document."""
+def edited_pairs(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of each document and of its edited text, whose last third is replaced by the beginning of the next document,
+    by key; and the table of keys, ids and next keys.
+
+    The texts are shuffled once: both joins read the same columns dealt in the same way, so that Spark uses the exchange again."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row_key(id_col, text_col).alias("_key"))
-    dealt = base.repartition(parts, "_key")
-    ids = base.select("_key", "_id", F.length("_text").alias("_n")).groupBy("_key", "_id").agg(F.first("_n").alias("_n"))
-    follow = next_documents(ids.select("_key", "_id")).select("_key", "_next")
+    ids = base.select("_key", "_id", F.length("_text").alias("_n")).groupBy("_key").agg(F.first("_id").alias("_id"), F.first("_n").alias("_n"))
+    ids = settle(ids, "document-keys")
+    follow = settle(next_documents(ids.select("_key", "_id")), "next-documents")
+    dealt = base.select("_key", "_text").repartition(parts, "_key")
     asked = follow.join(ids.select("_key", "_n"), "_key").select(F.col("_next").alias("_key"), F.col("_key").alias("_for"), F.floor(F.col("_n") / 3).cast("int").alias("_take"))
-    given = asked.join(dealt.select("_key", "_text"), "_key").groupBy("_for").agg(F.first(F.substr("_text", F.lit(1), "_take")).alias("_new"))
+    given = asked.join(dealt, "_key").groupBy("_for").agg(F.first(F.substr("_text", F.lit(1), "_take")).alias("_new"))
     whole = dealt.join(given.withColumnRenamed("_for", "_key"), "_key", "left")
     n = F.length("_text")
     whole = whole.withColumn("_edited", F.concat(F.substr("_text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.coalesce("_new", F.lit(""))))
     both = fingerprint(fingerprint(whole.withColumn("n_chars", n.cast("long")), "_text", "_own"), "_edited", "_other")
-    both = both.select("_id", "_key", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "_own", "_other")
-    return both, follow
+    return both.select("_key", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "_own", "_other"), follow
 
 
 def op8_minhash_oph(spark, sf_dir: str) -> DataFrame:
-    from .common import settle
-
     both, follow = edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     both = settle(both, "fingerprints")
     one = both.groupBy("_key").agg(F.first("_own").alias("_theirs")).withColumnRenamed("_key", "_next")
-    near = follow.join(one, "_next").select("_key", "_theirs")
-    return both.join(near, "_key", "left").select(
+    near = follow.join(one, "_next").select("_key", "_id", "_theirs")
+    return both.join(near, "_key").select(
         F.col("_id").alias("doc_id"), "n_chars", "edited_sha256",
         to_hex(F.col("_own")).alias("fingerprint"), to_hex(F.col("_other")).alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_other")).alias("near_edited"), likeness(F.col("_own"), F.col("_theirs")).alias("near_next"),
