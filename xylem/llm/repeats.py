@@ -240,9 +240,11 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tag = F.pmod(row_key(id_col, text_col), F.lit(1 << 31))
-    base = docs.select(F.col(id_col).alias("id"), tag.alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = _grouped(list_anchors(base.where("id IS NOT NULL")), _shared, "id long, tag long, anchor long")
+    # no key is null (a null id is 0 with a tag of its own), so that both joins below read one and the same exchange of the texts
+    none = F.col(id_col).isNull()
+    tag = row_key(id_col, text_col).bitwiseAND(F.lit((1 << 31) - 1)) + F.when(none, F.lit(1 << 31)).otherwise(0)
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), tag.alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shared = _grouped(list_anchors(base.where(F.col("tag") < 1 << 31)), _shared, "id long, tag long, anchor long")
     listed = shared.groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors"))
     dealt = base.repartition(parts, "id", "tag")
     around = dealt.join(listed, ["id", "tag"]).select("id", "tag", "text", "anchors")
@@ -269,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
                 kept.append(b" ".join(words).decode("utf-8"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    whole = dealt.join(starts, ["id", "tag"], "left").select("id", "text", "starts")
+    whole = dealt.join(starts, ["id", "tag"], "left").select(F.when(F.col("tag") < 1 << 31, F.col("id")).alias("id"), "text", "starts")
     return whole.mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
