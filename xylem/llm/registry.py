@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, lm, media, packing, privacy, repeats
+from . import chat, fingerprints, langid, lm, media, near, packing, privacy, repeats
 
 QUERIES = {
     "op1_brown_lm": lm.op1_brown_lm,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pii_disclosure": privacy.op6_pii_disclosure,
     "op7_media_wav": media.op7_media_wav,
     "op8_minhash_oph": fingerprints.op8_minhash_oph,
+    "op9_order_minhash": near.op9_order_minhash,
     "op10_langid_ppm": langid.op10_langid_ppm,
 }
 
