@@ -51,7 +51,7 @@ def runs_of(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
         nth = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
         label = np.empty(n, np.uint64)
         label[order] = nth.astype(np.uint64)
-        h = mix(h + label * _M)
+        h = np.where(label > 0, mix(h + label * _M), h)
     return h
 
 
