@@ -244,9 +244,11 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float =
     rows, groups = link_groups(docs, id_col, text_col, wanted)
     best = rows.join(groups, "node").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
     best = settle(best.select(F.col("best.node").alias("_node"), F.col("best.id").alias("_best")), "kept")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    dealt = docs.withColumn("_node", F.xxhash64(text, F.length(text))).join(best, "_node").where(F.col(id_col).eqNullSafe(F.col("_best")))
-    return dealt.dropDuplicates(["_node"]).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    text = F.coalesce(text_at, F.lit(""))
+    dealt = docs.toDF(*names).withColumn("_node", F.xxhash64(text, F.length(text))).join(best, "_node").where(id_at.eqNullSafe(F.col("_best")))
+    return dealt.dropDuplicates(["_node"]).select(*names).toDF(*docs.columns)
 
 
 def op9_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -248,40 +248,43 @@ def disclosing_terms(docs: DataFrame, marked: DataFrame, text_col="text", suppor
 
 def personal_spans(docs: DataFrame, id_col="doc_id", text_col="text", support=SUPPORT, remove=REMOVE, generalise=GENERALISE, common=COMMON) -> DataFrame:
     """Each row of docs with `base_spans` and `spans` (base and method), both by kind as in KINDS, then start."""
-    keyed = docs.withColumn("_key", row_key(id_col, text_col)).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    id_at, text_at = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)  # names of our own, whatever the columns are called
+    keyed = plain.withColumn("_key", row_key(id_at, text_at)).withColumn("_text", F.coalesce(F.col(text_at), F.lit("")))
     marked = mark_base(keyed, "_text", "_base")
     private = marked.where(F.size("_base") > 0)
     stored = settle(private.select("_key", "_text", "_base"), "private-rows")
-    terms = disclosing_terms(docs, stored, text_col, support, generalise, common)
+    terms = disclosing_terms(plain, stored, text_at, support, generalise, common)
     listed = terms.groupBy("_key").agg(F.collect_list("term").alias("_terms"), F.collect_list("share").alias("_shares"))
-    joined = private.join(listed, "_key", "left")
-    n = len(docs.columns)
-    schema = docs.withColumn("base_spans", F.lit(None).cast(_SPANS)).withColumn("spans", F.lit(None).cast(_SPANS)).schema
-    at = docs.columns.index(text_col)
-    joined = joined.select(*docs.columns, "_base", "_terms", "_shares")
+    joined = private.join(listed, "_key", "left").select(*names, "_base", "_terms", "_shares")
+    n, at = len(names), names.index(text_at)
+    schema = plain.withColumn("base_spans", F.lit(None).cast(_SPANS)).withColumn("spans", F.lit(None).cast(_SPANS)).schema
 
     def run(batches):
         for b in batches:
             found = []
-            for base, text, names, shares in zip(*(b.column(i).to_pylist() for i in (n, at, n + 1, n + 2)), strict=True):
+            for base, text, hashes, shares in zip(*(b.column(i).to_pylist() for i in (n, at, n + 1, n + 2)), strict=True):
                 spans = [(s["kind"], s["start"], s["end"]) for s in base]
-                if names:
-                    level = dict(zip(names, shares, strict=True))
+                if hashes:
+                    level = dict(zip(hashes, shares, strict=True))
                     free = [(t, a + w.index(t), a + w.index(t) + len(t)) for w, a, _ in _free_words(text, spans) if len(t := w.strip(_TRIM)) > 1]
                     hashed = term_names([t for t, _, _ in free])
-                    extra = [("remove" if level[h] >= remove else "generalise", a, e) for h, (_, a, e) in zip(hashed, free, strict=True) if h in level]
-                    spans += sorted(extra)
+                    spans += sorted(("remove" if level[h] >= remove else "generalise", a, e) for h, (_, a, e) in zip(hashed, free, strict=True) if h in level)
                 found.append(spans)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n + 1)], _structs(found)], names=schema.names)
 
-    rest = marked.where(F.size("_base") == 0).select(*docs.columns, F.col("_base").alias("base_spans"), F.col("_base").alias("spans"))
-    return joined.mapInArrow(run, schema).unionByName(rest)
+    rest = marked.where(F.size("_base") == 0).select(*names, F.col("_base").alias("base_spans"), F.col("_base").alias("spans"))
+    return joined.mapInArrow(run, schema).unionByName(rest).toDF(*docs.columns, "base_spans", "spans")
 
 
 def sanitise(found: DataFrame, text_col="text") -> DataFrame:
-    """Base and generalised spans become [KIND], removed ones go; overlapping spans merge under the first.  Drops the span columns."""
-    n, at = len(found.columns) - 2, found.columns.index(text_col)
-    schema = found.drop("base_spans", "spans").schema
+    """Base and generalised spans become [KIND], removed ones go; overlapping spans merge under the first.  found has the spans as
+    its last two columns, which are dropped."""
+    columns = found.columns[:-2]
+    n, at = len(columns), columns.index(text_col)
+    plain = found.toDF(*[f"c{i}" for i in range(n + 2)])
+    schema = plain.select(plain.columns[:n]).schema
 
     def clean(text, spans):
         if not spans or text is None:
@@ -299,7 +302,7 @@ def sanitise(found: DataFrame, text_col="text") -> DataFrame:
             new = pa.array([clean(t, s) for t, s in zip(b.column(at).to_pylist(), b.column(n + 1).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(n)], names=schema.names)
 
-    return found.select(*schema.names, "base_spans", "spans").mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*columns)
 
 
 def _line(spans: str):
