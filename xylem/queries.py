@@ -13,13 +13,14 @@ from .operators import validate
 from .operators.tokens import token_counts
 from .sources.large import large_path
 
-_QTY = F.col("text").cast("double").alias("l_quantity")
+def _qty() -> Column:
+    return F.col("text").cast("double").alias("l_quantity")
 
 
-def _orders(path: str, *columns: Column, **options):
+def _orders(path: str, with_quantity: bool = True):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = Documents(corpora.orders_xml(spark, sf_dir)).xpath(path, **options)
-        return found.select(F.col("doc_id").alias("o_orderkey"), *columns)
+        found = Documents(corpora.orders_xml(spark, sf_dir)).xpath(path)
+        return found.select(F.col("doc_id").alias("o_orderkey"), *[_qty()] * with_quantity)
 
     return run
 
@@ -93,7 +94,7 @@ def match_preview_top10(spark, sf):
     from .operators.matches import preview
 
     found = Documents(corpora.orders_xml(spark, sf)).xpath("/order/item/qty")
-    return preview(found).select(F.col("doc_id").alias("o_orderkey"), "match_no", _QTY)
+    return preview(found).select(F.col("doc_id").alias("o_orderkey"), "match_no", _qty())
 
 
 def match_count_by_doc(spark, sf):
@@ -126,7 +127,7 @@ def large_doc_path(spark, sf):
     docs = corpora.orders_xml(spark, sf)
     # one file: the orders follow each other as roots, which the data model allows
     docs.select("content").coalesce(1).write.option("lineSep", "\n").text(path)
-    return large_path(spark, path, "/order/item/qty").select(_QTY)
+    return large_path(spark, path, "/order/item/qty").select(_qty())
 
 
 def join_equals_window(spark, sf):
@@ -147,34 +148,34 @@ QUERIES = {
     "pair_spans_parts": pair_spans_parts,
     "wellformed_flags": wellformed_flags,
     "malformed_kinds": malformed_kinds,
-    "path_child": _orders("/order/item/qty", _QTY),
-    "path_root": _orders("/order"),
+    "path_child": _orders("/order/item/qty"),
+    "path_root": _orders("/order", False),
     "path_self_closing": _parts("/parts/part"),
-    "path_trailing_slash": _orders("order/item/qty/", _QTY),
-    "path_no_match": _orders("/order/item/nothing", _QTY),
-    "attr_eq": _orders("/order[@status='F']/item/qty", _QTY),
-    "attr_ne": _orders("/order[@status!='F']/item/qty", _QTY),
+    "path_trailing_slash": _orders("order/item/qty/"),
+    "path_no_match": _orders("/order/item/nothing"),
+    "attr_eq": _orders("/order[@status='F']/item/qty"),
+    "attr_ne": _orders("/order[@status!='F']/item/qty"),
     "attr_lt": _parts("/parts/part[@size<'10']"),
     "attr_eq_leaf": _parts("/parts/part[@brand='Brand#4']"),
     "attr_prefix_compat": lambda spark, sf: Documents(corpora.parts_xml(spark, sf)).xpath("/parts/part[@brand='Brand#1']", affix_compat=True).select(_key_of_part()),
-    "child_eq": _orders("/order/item[flag=R]/qty", _QTY),
-    "child_ne": _orders("/order/item[flag!=R]/qty", _QTY),
-    "child_lt": _orders("/order/item[qty<10]/qty", _QTY),
-    "child_gt": _orders("/order/item[qty>40]/qty", _QTY),
-    "child_le": _orders("/order/item[qty<=10]/qty", _QTY),
-    "child_ge": _orders("/order/item[qty>=40]/qty", _QTY),
-    "child_eq_cdata": _orders("/order/item[price>50000]/qty", _QTY),
-    "index_first": _orders("/order/item[0]/qty", _QTY),
-    "index_n": _orders("/order/item[2]/qty", _QTY),
-    "index_root": _orders("/order[0]"),
-    "attr_then_index": _orders("/order[@status='O']/item[1]/qty", _QTY),
-    "index_then_index": _orders("/order[0]/item[1]/qty[0]", _QTY),
-    "child_then_index": _orders("/order/item[flag=A]/qty[0]", _QTY),
-    "two_attr_preds": _orders("/order[@status='F']/item[@no='1']/qty", _QTY),
+    "child_eq": _orders("/order/item[flag=R]/qty"),
+    "child_ne": _orders("/order/item[flag!=R]/qty"),
+    "child_lt": _orders("/order/item[qty<10]/qty"),
+    "child_gt": _orders("/order/item[qty>40]/qty"),
+    "child_le": _orders("/order/item[qty<=10]/qty"),
+    "child_ge": _orders("/order/item[qty>=40]/qty"),
+    "child_eq_cdata": _orders("/order/item[price>50000]/qty"),
+    "index_first": _orders("/order/item[0]/qty"),
+    "index_n": _orders("/order/item[2]/qty"),
+    "index_root": _orders("/order[0]", False),
+    "attr_then_index": _orders("/order[@status='O']/item[1]/qty"),
+    "index_then_index": _orders("/order[0]/item[1]/qty[0]"),
+    "child_then_index": _orders("/order/item[flag=A]/qty[0]"),
+    "two_attr_preds": _orders("/order[@status='F']/item[@no='1']/qty"),
     "two_child_preds": lambda spark, sf: Documents(corpora.geography_xml(spark, sf)).xpath("/region/nation/customer[bal>0]/bal").select(F.col("text").cast("double").alias("c_acctbal")),
-    "position_gt": _orders("/order/item[position()>2]/qty", _QTY),
-    "last_minus": _orders("/order/item[last()-1]/qty", _QTY),
-    "last_item": _orders("/order/item[last()]/qty", _QTY),
+    "position_gt": _orders("/order/item[position()>2]/qty"),
+    "last_minus": _orders("/order/item[last()-1]/qty"),
+    "last_item": _orders("/order/item[last()]/qty"),
     "match_preview_top10": match_preview_top10,
     "match_count_by_doc": match_count_by_doc,
     "match_text_utf8": match_text_utf8,

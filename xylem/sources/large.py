@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.text import NAME, START_TAG, from_bytes, unwrap
 from ..plans.xpath_ast import XPathSyntaxError, parse_xpath
 
-_IN_BLOCK = Window.partitionBy("file", "block").orderBy("id")
-_BLOCKS = Window.partitionBy("file").orderBy("block")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -24,9 +22,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def prefix_sums(rows: DataFrame, **sums: Column) -> DataFrame:
     """Adds a running sum over the document for each named column, this row included."""
+    in_block, blocks = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
     totals = rows.groupBy("file", "block").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    before = totals.select("file", "block", *[(F.sum(n).over(_BLOCKS) - F.col(n)).alias(f"_before_{n}") for n in sums])
-    inner = rows.withColumns({n: F.sum(c).over(_IN_BLOCK) for n, c in sums.items()})
+    before = totals.select("file", "block", *[(F.sum(n).over(blocks) - F.col(n)).alias(f"_before_{n}") for n in sums])
+    inner = rows.withColumns({n: F.sum(c).over(in_block) for n, c in sums.items()})
     joined = inner.join(before, ["file", "block"])
     return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop(*[f"_before_{n}" for n in sums])
 
