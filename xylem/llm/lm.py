@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: BrownModel, id_col="doc_id", text_col="text")
                 sums = lambda w: np.bincount(text[hit], w, k)  # noqa: B023,E731
                 base, lp = sums(np.log10((n + 1) / smooth)), sums(m.log10(ctx[hit], m.head.classes[at[hit]], n))
                 own = keys[i : i + k]
-                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(1)[i : i + k], pa.array(~own), pa.array(np.zeros(k, np.int32)), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, np.int32)), pa.array(np.diff(rows)), pa.array(np.bincount(text[hit], minlength=k)), pa.array(base), pa.array(lp)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(1)[i : i + k], pa.array(~own), pa.array(np.zeros(k, np.int32)), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, np.int32)), pa.array(np.diff(rows)), pa.array(np.bincount(text[hit], minlength=k)), pa.array(base, pa.float64()), pa.array(lp, pa.float64())], names=names)
                 rest = np.flatnonzero(at < 0)
                 order = rest[np.lexsort((h[rest], ctx[rest], text[rest]))]
                 if len(order):
