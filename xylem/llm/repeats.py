@@ -2,17 +2,19 @@
 
 A text's words are symbols; rounds name runs and pairs of symbols, the same everywhere, as a name is a hash of what it
 stands for.  Round 1 names runs of two equal words; each round then splits the symbols by a bit of their hash into left and right
-ones and names every pair (left, right).  A symbol may stand for 2, 4 and 8 words after rounds 1, 2 and 3.
+ones and names every pair (left, right).  A symbol may stand for 2, 3, 4 and 5 words after rounds 1, 2, 3 and 4.
 
-Equal passages get equal symbols but at their edges.  In 50 words at most 2 + 1 words at either edge depend on what stands beside them after
-round 1 (a run cut by the edge, a pair over it), 2 more after round 2, 4 after round 3: 32 words agree, and hold 4 whole
-symbols of at most 8 words, so 3 pairs of neighbouring symbols.  Of any 3 such neighbours the one of least hash is an anchor.  So
-windows of 50 equal words always share an anchor, at the same place.
+Equal passages get equal symbols but at their edges.  Of 50 words, at either edge at most 2 + 1 words depend on what stands beside them
+after round 1 (a run cut by the edge, a pair over it), 2 more after round 2, then 3, then 4: the CORE of 26 words agrees.  It holds at
+least 6 whole symbols of at most 5 words, so 5 pairs of neighbouring symbols.  Of any 4 such neighbours the one of least hash is an
+anchor.  So windows of 50 equal words share an anchor at the same place, and more: every 4 neighbours that lie in the core of a
+repeated window have an anchor that several documents hold.
 
 Plan: 1. a task lists its documents' anchors; anchors of several documents are found by a shuffle on the anchor.  2. They go back to
-their documents (a join by key); only windows around them are named, by a hash of their 50 words.  3. A shuffle on the window's
-name tells which also start in a document of smaller id.  4. These go back, and the words under them are removed.  In 1 and 3 a task
-first settles what repeats within a batch, so that a passage of very many documents sends a row per batch, not per document.
+their documents (a join by key); only windows that can repeat by what was said are named, by a hash of their 50 words.  3. A
+shuffle on the window's name tells which also start in a document of smaller id.  4. These go back, and the words under them are
+removed.  In 1 and 3 a task first settles what repeats within a batch, so that a passage of very many documents sends a row per batch, not
+per document.
 
 Nulls: a null text has no words; rows with null id keep all words, and none is removed for them.  Rows of equal id are one document as
 to whose window is first (equal ids do not remove each other's words), each with its own result.  Windows inside one document
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import _U, hashed_words, mix, row_key, small_batches
 
 WINDOW = 50
-CAPS = (2, 4, 8)
+CAPS = (2, 3, 4, 5)
+NEAR = 4  # neighbouring pairs of symbols, of which the least is an anchor
+EDGE = 12  # words at either edge of a window that may depend on its surroundings
 _R = 0xD6E8FEB86659FD93
 _BASE = mix(np.arange(1, 17, dtype=np.uint64))
 
@@ -72,25 +76,23 @@ def symbols(words: np.ndarray, doc: np.ndarray):
 
 
 def anchors(words: np.ndarray, doc: np.ndarray):
-    """Name, document, first word and end word of each anchor."""
+    """Of each NEAR neighbouring pairs of symbols (all there are, where a document has fewer): the least hash, the document, the place and
+    end of that pair, the first word and the end of all, and whether they are NEAR."""
     sym, size, doc, at = symbols(words, doc)
-    pair = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
-    i = np.flatnonzero(pair)
+    i = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
     g, d, begin, end = mix(sym[i] * _U(_R) + mix(sym[i + 1])), doc[i], at[i], at[i + 1] + size[i + 1]
     n = len(g)
-    top = _U(0xFFFFFFFFFFFFFFFF)
-    # least hash of each 3 neighbours of one document; where a document has fewer, of these
-    ahead = [np.full(n, top) for _ in range(3)]
-    for k in range(3):
+    least, place, last = g.copy(), np.arange(n), np.arange(n)
+    for k in range(1, NEAR):
         if n > k:
-            same = d[k:] == d[: n - k]
-            ahead[k][: n - k] = np.where(same, g[k:], top)
-    least = np.minimum(np.minimum(ahead[0], ahead[1]), ahead[2])
-    chosen = np.zeros(n, bool)
-    for k in range(3):
-        if n > k:
-            chosen[k:] |= (d[k:] == d[: n - k]) & (g[k:] == least[: n - k])
-    return g[chosen], d[chosen], begin[chosen], end[chosen]
+            here = np.flatnonzero(d[k:] == d[:-k])
+            better = here[g[here + k] < least[here]]
+            least[better], place[better] = g[better + k], better + k
+            last[here] = here + k
+    full = last == np.arange(n) + NEAR - 1
+    keep = full | ~np.concatenate([[False], d[1:] == d[:-1]]) if n else full  # a document's last pairs are in full ones already
+    s = np.flatnonzero(keep)
+    return least[s], d[s], begin[place[s]], end[place[s]], begin[s], end[last[s]], full[s]
 
 
 def window_names(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -132,7 +134,7 @@ def list_anchors(docs: DataFrame) -> DataFrame:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             found = [[], [], []]
             for i, rows, h, *_ in hashed_words(b.column(2)):
-                g, d, _, _ = anchors(h, _block(rows))
+                g, d, *_ = anchors(h, _block(rows))
                 long = np.diff(rows)[d] >= WINDOW
                 for f, v in zip(found, (g[long], ids[i + d[long]], tags[i + d[long]]), strict=True):
                     f.append(v)
@@ -204,18 +206,19 @@ def name_windows(docs: DataFrame) -> DataFrame:
             found = [[], [], []]
             for i, rows, h, *_ in hashed_words(b.column(2)):
                 block = _block(rows)
-                g, d, begin, end = anchors(h, block)
+                g, d, begin, end, first, stop, full = anchors(h, block)
                 k = len(rows) - 1
                 wanted = flat[off[i] : off[i + k]]
                 owner = np.repeat(np.arange(k), np.diff(off[i : i + k + 1]))
                 hit = np.isin(mix(g) + d.astype(np.uint64), mix(wanted) + owner.astype(np.uint64))
-                begin, end, d = begin[hit], end[hit], d[hit]
-                lo, hi = np.maximum(end - WINDOW, rows[d]), np.minimum(begin, rows[d + 1] - WINDOW)
-                ok = hi >= lo
-                step = np.zeros(len(h) + 1, np.int64)
-                np.add.at(step, lo[ok], 1)
-                np.add.at(step, hi[ok] + 1, -1)
-                starts = np.flatnonzero(np.cumsum(step)[: len(h)] > 0)
+                # windows around a shared anchor, but for those that hold an anchor of one document in their core
+                step, bar = np.zeros(len(h) + 1, np.int64), np.zeros(len(h) + 1, np.int64)
+                for count, lo, hi, which in ((step, end - WINDOW, begin, hit), (bar, stop - WINDOW + EDGE, first - EDGE, full & ~hit)):
+                    lo, hi = np.maximum(lo, rows[d])[which], np.minimum(hi, rows[d + 1] - WINDOW)[which]
+                    ok = hi >= lo
+                    np.add.at(count, lo[ok], 1)
+                    np.add.at(count, hi[ok] + 1, -1)
+                starts = np.flatnonzero((np.cumsum(step) > 0)[:-1] & (np.cumsum(bar) == 0)[:-1])
                 if len(starts):
                     d = block[starts]
                     for f, v in zip(found, (window_names(h, starts), ids[i + d], (tags[i + d] << 32) | (starts - rows[d])), strict=True):
@@ -230,7 +233,7 @@ def name_windows(docs: DataFrame) -> DataFrame:
             least = np.repeat(doc[first], np.diff(np.append(first, len(w))))
             settled = doc > least
             # of the least document one row tells the others; repeats inside it stay open, as they need the answer too
-            yield _rows(w, doc, place, np.where(settled, 2, 0))
+            yield _rows(np.where(settled, _U(0), w), doc, place, np.where(settled, 2, 0))
 
     return docs.mapInArrow(run, _ROW)
 
