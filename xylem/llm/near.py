@@ -9,11 +9,12 @@ it never aligns runs further apart than the band, so the band loses nothing.
 So whatever has a Jaccard likeness of 0.8 in order is linked, and so are copies down to 0.67 (likeness 0.8).  With 24 sketches of 3
 runs a pair at that edge is missed with probability (1 - 0.67^3)^24 = 2e-4, one of Jaccard 0.8 with 3e-8.
 
-Groups.  Equal texts are one node from the start.  Nodes that share a sketch form a bucket.  Round 1 verifies each node with one partner,
-the least of its buckets.  Round 2 verifies it with the least node and with its neighbour in each bucket, where these are still apart.  Round
-3 takes the buckets that still hold nodes of several groups and compares the nodes outside the bucket's largest group
-with the others by length, then by alignment.  So no link that a bucket shows is lost, and a bucket of near copies costs a few
-comparisons per node, not all pairs.  Each round ends in connected components (large-star, small-star).
+Groups.  Equal texts are one node from the start.  Nodes that share a sketch form a bucket.  A bucket's pivot is its node that meets most
+others over all buckets, of near copies so the original.  Round 1 verifies each node with its most met pivot.  Round 2 verifies it with the
+pivot and with its neighbour in each bucket, where these are still apart.  Round 3 takes the buckets that still hold several groups
+and compares nodes outside the bucket's largest group with the others, where a bound allows a link: two texts align no more runs than
+either has in common with any other text there.  So no link that a bucket shows is lost, and of near copies too far from each other
+nearly none is compared.  Rounds 2 and 3 end in connected components (large-star, small-star).
 
 Nulls: a null text is empty; empty texts are equal.  A null id sorts last.  Repeated rows are equal texts.  Texts equal but for white
 space have likeness 1.  An empty table gives an empty one.  Other columns are kept by `keep_one` and not read.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _U, blocks, cut_words, hash_spans, hashed_words, mix, settle, small_batches, text_bytes
+from .common import _U, Tally, blocks, cut_words, hash_spans, hashed_words, mix, settle, small_batches, text_bytes
 
 WIDTH, BANDS, LEAST, LIKENESS = 5, 24, 3, 0.8
 _ODD = mix(np.arange(101, 101 + BANDS, dtype=np.uint64)) | _U(1)
@@ -187,24 +188,63 @@ def _grouped(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     return rows.join(parts, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
 
 
+def common_runs(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node, common): how many runs of a node's text other texts of these nodes have as well.  No pair aligns more."""
+    def list_runs(batches):
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            for i, rows, h, *_ in hashed_words(b.column(1)):
+                runs = [runs_of(h[rows[r] : rows[r + 1]]) for r in range(len(rows) - 1)]
+                sizes = np.array([len(r) for r in runs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.repeat(keys[i : i + len(runs)], sizes))], names=["run", "node"])
+
+    def count(batches):
+        tally, held = Tally(), None
+        for b in batches:
+            run, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if held is not None:  # the last row again: only its run matters
+                run, node = np.concatenate([[held[0]], run]), np.concatenate([[held[1]], node])
+            if not len(run):
+                continue
+            same = run[1:] == run[:-1]
+            both = np.zeros(len(run), bool)
+            both[1:] |= same
+            both[:-1] |= same
+            if held is not None:
+                both[0] = bool(same[:1].any()) and not held[2]
+            yield from tally.add(node[both].view(np.uint64))
+            held = run[-1], node[-1], bool(same[-1:].any()) or (len(run) == 1 and held is not None and held[2])
+        yield from tally.rest()
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(list_runs, "run long, node long")
+    found = runs.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(count, "name long, n long").groupBy(F.col("name").alias("node")).agg(F.sum("n").alias("common"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("common", F.lit(0)).alias("common"))
+
+
 def link_groups(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (id, node) of all documents; nodes (node, group) of all texts."""
     small_batches(docs.sparkSession)
     scanned = settle(sketch_rows(docs, id_col, text_col), "sketches")
     nodes = settle(scanned.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
     held = nodes.select("node", "n", F.explode("sketches").alias("bucket"))
-    pivots = held.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    shared = settle(held.join(pivots, "bucket").select("bucket", "node", "n", "pivot", "size"), "buckets")
+    shared = settle(held.join(held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
     texts = settle(_texts(docs, shared.select("node").distinct(), text_col), "candidate-texts")
+    # a group of near copies has its original, or the copy next to it, in most of its buckets
+    fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
+    famed = shared.join(fame, "node")
+    pivots = famed.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("pivot"))
+    shared = settle(famed.join(pivots, "bucket").select("bucket", "node", "n", "size", "pivot"), "buckets")
     # round 1: one partner for each node
-    first = shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b")
+    others = shared.where(F.col("node") != F.col("pivot.node"))
+    first = others.groupBy("node").agg(F.max("pivot").alias("b")).select(F.col("node").alias("a"), F.col("b.node").alias("b"))
     links = settle(verify(first, texts, wanted), "links")
-    parts = components(links)
-    # round 2: the least and the next node of each bucket, where still apart
+    stars = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    # round 2: the first and the next node of each bucket, where still apart
     order = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 1000))).orderBy("node")
     beside = shared.where("size > 2").select("node", F.lag("node").over(order).alias("other")).where("other IS NOT NULL")
-    second = shared.where("node <> pivot").select("node", F.col("pivot").alias("other")).unionByName(beside).distinct()
-    second = _apart(second, parts)
+    second = others.select("node", F.col("pivot.node").alias("other")).unionByName(beside).distinct()
+    second = _apart(second, stars).join(first, ["a", "b"], "left_anti")
     links = links.unionByName(settle(verify(second, texts, wanted), "links"))
     parts = components(links)
     # round 3: what is still apart in a bucket
@@ -213,12 +253,14 @@ def link_groups(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float
     top = per.groupBy("bucket").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
     open_rows = settle(known.join(top.select("bucket", "main"), "bucket"), "open-buckets")
     if not open_rows.isEmpty():
-        rest = open_rows.where(F.col("group") != F.col("main")).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
-        others = open_rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"), (F.col("group") == F.col("main")).alias("in_main"))
-        apart = (F.col("ga") != F.col("gb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-        longer = wanted / (2 - wanted)
-        alike = (F.col("na") >= longer * F.col("nb")) & (F.col("nb") >= longer * F.col("na"))
-        third = rest.join(others, "bucket").where(apart & alike).select("a", "b").distinct()
+        common = settle(common_runs(texts, open_rows.select("node").distinct()), "common-runs")
+        rows = open_rows.join(common, "node").select("bucket", "node", "n", "common", "group", (F.col("group") == F.col("main")).alias("in_main"))
+        rest = rows.where("NOT in_main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("group").alias("ga"))
+        rest = rest.where(F.col("ca") >= wanted / (2 - wanted) * F.col("na") - 1e-6)
+        rows = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("group").alias("gb"), "in_main")
+        need = wanted / 2 * (F.col("na") + F.col("nb")) - 1e-6
+        apart = (F.col("ga") != F.col("gb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (F.least("ca", "cb") >= need)
+        third = rest.join(rows, "bucket").where(apart).select("a", "b").distinct()
         links = links.unionByName(settle(verify(third, texts, wanted), "links"))
         parts = components(links)
     return scanned.select("id", "node"), _grouped(nodes.select("node"), parts)
