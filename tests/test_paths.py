@@ -81,3 +81,8 @@ def test_affix_and_entities(spark):
     assert docs.xpath("/r/i[v=185]", affix_compat=True).count() == 1 and docs.xpath("/r/i[v=185]").count() == 0
     text = Documents(spark.createDataFrame([(1, "<r>&lt;&amp;lt;</r>")], "doc_id long, content string"))
     assert text.xpath("/r", entities=True).first()["text"] == "<&lt;"
+
+
+def test_repeated_attributes(spark):
+    docs = Documents(spark.createDataFrame([(1, '<r a="1" b=\'2\' a="3"/>'), (2, "<r/>"), (3, '<r x = "a=b"/>')], "doc_id long, content string"))
+    assert {r["doc_id"]: r["attrs"] for r in docs.elements().collect()} == {1: {"a": "3", "b": "2"}, 2: {}, 3: {"x": "a=b"}}

@@ -45,7 +45,10 @@ class Documents:
         return replace(self, stored=self.df.sparkSession.read.parquet(path))
 
     def select(self, path: str, strategy: str = "auto", affix_compat: bool = False) -> DataFrame:
-        """Elements that the path selects."""
+        """Elements that the path selects.  Unless they are stored, elements are computed once and the window plan carries them;
+        the join plan would compute them for each step."""
+        if strategy == "auto" and self.stored is None:
+            strategy = "window"
         return compile_xpath(self.elements(), path, self.id_col, strategy, affix_compat)
 
     def xpath(self, path: str, strategy: str = "auto", raw: bool = False, entities: bool = False, affix_compat: bool = False) -> DataFrame:

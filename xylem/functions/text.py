@@ -61,7 +61,10 @@ def attributes(start_tag: Column) -> Column:
     value = lambda a: from_bytes(F.regexp_replace(a, r"""(?s)\A[\w.:-]+\s*=\s*["']|["']\z""", ""))
     keys = F.transform(found, name)
     last = F.filter(F.transform(found, lambda a, i: F.struct(name(a).alias("k"), value(a).alias("v"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.greatest(F.size(keys), F.lit(1))), e["k"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    repeated = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    plain = F.map_from_arrays(keys, F.transform(found, value))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.when(~F.contains(start_tag, F.lit("=")), none).when(F.size(F.array_distinct(keys)) == F.size(keys), plain).otherwise(repeated)
 
 
 def compare(left: Column, op: str, value: str) -> Column:
