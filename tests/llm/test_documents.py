@@ -111,6 +111,14 @@ def test_near_odd(odd):
     assert by[1] == 3 and by[2] == 4  # without words: null, empty, white space, and null with null id
 
 
+def test_components_agree(spark):
+    rng = random.Random(6)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    few, many = ({(r["node"], r["root"]) for r in near.components(links, few=k).collect()} for k in (1000, 0))
+    assert few == many and (1040, 1000) in few
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 100).astype(np.uint64)

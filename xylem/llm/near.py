@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import _U, Tally, blocks, cut_words, hash_spans, hashed_words, mix, settle, small_batches, text_bytes
 
 WIDTH, BANDS, LEAST, LIKENESS = 5, 24, 3, 0.8
+FEW_LINKS = 50_000
 _ODD = mix(np.arange(101, 101 + BANDS, dtype=np.uint64)) | _U(1)
 _SALT = mix(np.arange(301, 301 + BANDS, dtype=np.uint64))
 _M = _U(0x9FB21C651E98DF25)
@@ -161,9 +162,31 @@ def verify(pairs: DataFrame, texts: DataFrame, wanted: float = LIKENESS) -> Data
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """Rows (node, root) of the linked nodes; root is the least node of the component."""
+def _union_find(batches):
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(links: DataFrame, most: int = 60, few: int = FEW_LINKS) -> DataFrame:
+    """Rows (node, root) of the linked nodes; root is the least node of the component.
+
+    Up to `few` links are joined in one task on an executor (under 1 MB); more go through rounds of large-star and small-star, with the same
+    result."""
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if edges.count() <= few:
+        return settle(edges.coalesce(1).mapInArrow(_union_find, "node long, root long"), "components")
     before = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
