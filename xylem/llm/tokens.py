@@ -13,7 +13,7 @@ import numpy as np
 
 from .common import _SPACE, blocks, hash_spans, text_bytes
 
-MEMO = 400_000  # pieces remembered by a worker before it starts anew
+MEMO = 800_000  # pieces that a worker remembers before it lets go of those that it met once
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -41,8 +41,23 @@ class PieceEncoder:
         self.lengths = np.zeros(1 << 12, np.int64)
         self.begins = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.uint32)
+        self.met = np.zeros(1 << 12, np.int32)
         self.used = 0
 
+    def thin(self) -> None:
+        """Keeps the pieces that came again since the last time; if these are too many, none."""
+        n = len(self.place)
+        again = np.flatnonzero(self.met[:n] > 1)
+        if len(again) > MEMO // 2:
+            return self.forget()
+        names = np.empty(n, np.int64)
+        names[np.fromiter(self.place.values(), np.int64, n)] = np.fromiter(self.place, np.uint64, n).view(np.int64)
+        sizes, begins, ids = self.lengths[again], self.begins[again], self.ids
+        stops = np.cumsum(sizes)
+        kept = ids[np.repeat(begins - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        self.forget()
+        self._store(names[again].view(np.uint64).tolist(), sizes, kept)
+
     def _ids(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of each piece.  Pieces that begin with white space and end with something else are encoded in one string, as
         no token spans them there; the tokens' lengths in bytes then tell where each piece ends."""
@@ -60,18 +75,21 @@ class PieceEncoder:
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         found = self._ids(pieces)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.place), int(sizes.sum())
-        if n + len(found) > len(self.lengths):
-            grow = max(len(self.lengths), len(found))
-            self.lengths, self.begins = np.concatenate([self.lengths, np.zeros(grow, np.int64)]), np.concatenate([self.begins, np.zeros(grow, np.int64)])
+        self._store(hashes, np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found))
+
+    def _store(self, hashes: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, k, total = len(self.place), len(hashes), len(ids)
+        if n + k > len(self.lengths):
+            grow = max(len(self.lengths), k)
+            self.lengths, self.begins, self.met = (np.concatenate([x, np.zeros(grow, x.dtype)]) for x in (self.lengths, self.begins, self.met))
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint32)])
-        self.lengths[n : n + len(found)] = sizes
-        self.begins[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + total] = np.concatenate(found)
+        self.lengths[n : n + k] = sizes
+        self.begins[n : n + k] = self.used + np.cumsum(sizes) - sizes
+        self.met[n : n + k] = 0
+        self.ids[self.used : self.used + total] = ids
         self.used += total
-        self.place.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.place.update(zip(hashes, range(n, n + k), strict=True))
 
     def encode(self, column):
         """Yields for ranges of rows: first row, offsets of the rows in the ids, the ids."""
@@ -91,7 +109,7 @@ class PieceEncoder:
         starts, ends = edges[:-1], edges[1:]
         names, first, which = np.unique(hash_spans(part, starts, ends), return_index=True, return_inverse=True)
         if len(self.place) > MEMO:
-            self.forget()
+            self.thin()
         keys = names.tolist()
         get = self.place.get
         where = [get(k, -1) for k in keys]
@@ -102,7 +120,9 @@ class PieceEncoder:
             self._learn([keys[k] for k in new], [raw[s[k] : e[k]].decode("utf-8", "replace") for k in new])
             for k in new:
                 where[k] = self.place[keys[k]]
-        spot = np.array(where, np.int64)[which]
+        where = np.array(where, np.int64)
+        self.met[where] += 1
+        spot = where[which]
         sizes = self.lengths[spot]
         stops = np.cumsum(sizes)
         pick = np.repeat(self.begins[spot] - (stops - sizes), sizes) + np.arange(stops[-1])
