@@ -176,6 +176,24 @@ def test_disclosing_terms(docs_of):
     assert clean[0].endswith("[EMAIL] u0") and "Rosebud" not in clean[0] and clean[9] == rows[9][1]
 
 
+def test_disclosing_terms_of_hot_entities(docs_of):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices([f"c{k}" for k in range(40)], k=30)) + f" r{rng.randrange(150)}") for i in range(600)]
+    for i in range(300):  # a third of the rows hold one address, fifty another
+        if i < 200:
+            rows[i] = (i, rows[i][1] + " Rosebud ann@x.org")
+        elif i < 250:
+            rows[i] = (i, rows[i][1] + " Xanadu +49 30 1234567")
+    rows[300:304] = [(300 + i, "twin Alpha Beta Gamma bob@x.org") for i in range(4)]  # copies are no evidence
+    for n in (600, 250):  # alike in a small table
+        out = {r["doc_id"]: r for r in privacy.personal_spans(docs_of(rows[:n])).collect()}
+        for i, t in rows[:n]:
+            got = {t[s["start"] : s["end"]] for s in out[i]["spans"] if s["kind"] in ("remove", "generalise")}
+            assert got == ({"Rosebud"} if i < 200 else {"Xanadu"} if i < 250 else set()), i
+    everywhere = [(i, f"word{i} Rosebud ann@x.org") for i in range(9)]  # held by all: nothing is told
+    assert all(len(r["spans"]) == 1 for r in privacy.personal_spans(docs_of(everywhere)).collect())
+
+
 def test_private_odd(odd, real):
     out = privacy.sanitise(privacy.personal_spans(clash(odd)))
     assert out.columns == clash(odd).columns and out.count() == odd.count()

@@ -7,14 +7,18 @@ adds the words that give an entity away.  Over N documents, with n(e), n(t), n(e
     disclosure of e by t:  PMI(e;t) = log N n(e,t) / (n(e) n(t)),  as a share of IC(e)
 
 In a document with e, a term whose share reaches `remove` is removed, one that reaches `generalise` is replaced by its
-class.  Evidence must repeat: n(e,t) >= `support` different texts.  An entity that more than `common` of the documents hold
-tells nobody apart and protects nothing.  Counts cover all documents; a repeated text counts once for each of its rows in N,
-n(e) and n(t), and once in the support.
+class.  Counts cover all documents, and any entity that not all of them hold takes part, however many do.  A repeated text
+counts once for each of its rows in N, n(e), n(t) and n(e,t).
 
-Plan: one pass marks the documents that hold an entity and keeps the text of those alone.  Entities held by
-`support` different texts lead to the terms beside them, which are counted over all documents: a Bloom filter of fixed
-size skips words that cannot be candidates, and the join with the candidates decides, so a full filter costs time only.
-Terms go back to their documents by key.  Hot entities and terms are pre-aggregated before each shuffle.
+Evidence must repeat.  The first text with e and t makes them a pair; the others are the test.  With x different texts that
+hold both, x - 1 of the other n holders of t hold e, and by chance each does so with probability q = (n(e) - 1) / (N - 1).
+The chance of as many is at most exp(-n KL((x-1)/n || q)); it must not exceed `alpha` over the number of terms met beside e.
+
+Plan: one pass marks the documents that hold an entity and keeps each of their texts once, with its number.  Entities of two
+texts or more (one text is no repetition) are counted with the terms beside them, added up in each task before the shuffle,
+so that a hot entity costs its documents and its different terms.  Terms that stand beside entities too often to tell one are
+left out before the rest are counted over all documents: a Bloom filter of fixed size skips words that cannot be candidates, and the join with the candidates decides, so a full filter costs time only.
+Terms go back to their texts by (entity, term).  Joins on entities and terms are salted.
 
 Nulls: a null text is empty; rows with null id are treated like others.  Repeated rows get equal values, each in its own row.
 An empty table gives an empty one.  Other columns are kept by `sanitise` and not read.
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import _U, Tally, hash_spans, hashed_words, mix, row_key, settle, small_batches, text_bytes
 
-SUPPORT, REMOVE, GENERALISE, COMMON = 3, 0.95, 0.8, 0.01
+REMOVE, GENERALISE, ALPHA, SALTS = 0.95, 0.8, 0.01, 16
 BLOOM_BITS = 24
 # The kinds and their patterns.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -122,25 +126,91 @@ def mark_base(docs: DataFrame, text_col="text", name="base_spans") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _entities(marked: DataFrame) -> DataFrame:
-    """Different entities of each row, as an array of names."""
+def _names_of_row(text: str, spans, entity_filter: Bloom | None, term_filter: Bloom | None, with_terms=True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the different entities and terms of a text, those that pass the filters."""
+    spans = [(s["kind"], s["start"], s["end"]) for s in spans]
+    e = np.unique(np.array(term_names([entity_name(k, text[a:b]) for k, a, b in spans]), np.int64))
+    e = e[entity_filter.test(e)] if entity_filter else e
+    if not len(e) or not with_terms:
+        return e, np.zeros(0, np.int64)
+    t = np.unique(np.array(term_names(list(_terms(text, spans))), np.int64))
+    return e, t[term_filter.test(t)] if term_filter else t
+
+
+def _entities(texts: DataFrame) -> DataFrame:
+    """Rows (_key, entity): the different entities of each text, as 64-bit names."""
     def run(batches):
         for b in batches:
-            found = [sorted({entity_name(s["kind"], t[s["start"] : s["end"]]) for s in spans}) for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["_key", "entities"])
+            found = [_names_of_row(t, spans, None, None, False)[0] for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["_key", "entities"])
+
+    return texts.select("_key", "_text", "_base").mapInArrow(run, "_key long, entities array<long>").select("_key", F.explode("entities").alias("entity"))
+
+
+def _pairs(e: np.ndarray, t: np.ndarray, most: int = 1 << 20):
+    """All pairs of the two, some at a time."""
+    step = max(1, most // max(1, len(t)))
+    for i in range(0, len(e), step):
+        part = e[i : i + step]
+        yield np.repeat(part, len(t)), np.tile(t, len(part))
 
-    return marked.select("_key", "_text", "_base").mapInArrow(run, "_key long, entities array<string>")
 
+def count_pairs(texts: DataFrame, entity_filter: Bloom) -> DataFrame:
+    """Rows (entity, term, texts, n_et): how many texts hold both, and how many rows.  A task adds up what it meets and gives out
+    early what passes a number of pairs, which bounds its memory."""
+    sent = texts.sparkSession.sparkContext.broadcast(entity_filter)
+    most = 1 << 20
+
+    def run(batches):
+        held, size = [], 0
+
+        def merged():
+            e, t, x, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((t, e))
+            e, t, x, n = e[order], t[order], x[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (t[1:] != t[:-1])]))
+            return e[first], t[first], np.add.reduceat(x, first), np.add.reduceat(n, first)
+
+        def out(columns):
+            for i in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["entity", "term", "texts", "n_et"])
+
+        for b in batches:
+            for text, spans, copies in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for e, t in _pairs(*_names_of_row(text, spans, sent.value, None)):
+                    held.append((e, t, np.ones(len(e), np.int64), np.full(len(e), copies, np.int64)))
+                    size += len(e)
+                    if size > 2 * most:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > most:
+                            yield from out(held[0])
+                            held, size = [], 0
+        if size:
+            yield from out(merged())
+
+    found = texts.select("_text", "_base", "copies").mapInArrow(run, "entity long, term long, texts long, n_et long")
+    return found.groupBy("entity", "term").agg(F.sum("texts").alias("texts"), F.sum("n_et").alias("n_et"))
+
+
+def _rows_of_pairs(texts: DataFrame, entity_filter: Bloom, term_filter: Bloom) -> DataFrame:
+    """Rows (_key, entity, term) of each text, of names that pass the filters."""
+    sent = texts.sparkSession.sparkContext.broadcast((entity_filter, term_filter))
 
-def _rows_of_terms(chosen: DataFrame) -> DataFrame:
-    """Different terms of each row, as 64-bit names."""
     def run(batches):
         for b in batches:
-            terms = [list(_terms(t, [(s["kind"], s["start"], s["end"]) for s in spans])) for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            names = [sorted(set(term_names(t))) for t in terms]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.list_(pa.int64()))], names=["_key", "terms"])
+            for key, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for e, t in _pairs(*_names_of_row(text, spans, *sent.value), 1 << 16):
+                    if len(e):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), key, np.int64)), pa.array(e), pa.array(t)], names=["_key", "entity", "term"])
 
-    return chosen.select("_key", "_text", "_base").mapInArrow(run, "_key long, terms array<long>")
+    return texts.select("_key", "_text", "_base").mapInArrow(run, "_key long, entity long, term long")
+
+
+def _join_salted(rows: DataFrame, by: str, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows join few, where many rows may share a value: they are dealt by the column `by` too, and few stands in each salt."""
+    salt = F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few.select("*", salt), [*on, "_salt"]).drop("_salt")
 
 
 def term_names(terms: list[str]) -> list[int]:
@@ -186,6 +256,21 @@ def build_bloom(names: DataFrame) -> Bloom:
     return Bloom(words.view(np.uint8))
 
 
+def count_beside(texts: DataFrame, term_filter: Bloom) -> DataFrame:
+    """Rows (term, n_p): how many of the texts hold each term that passes the filter, which n(t) is at least."""
+    sent = texts.sparkSession.sparkContext.broadcast(term_filter)
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = np.unique(np.array(term_names(list(_terms(text, [(s["kind"], s["start"], s["end"]) for s in spans]))), np.int64))
+                found.append(t[sent.value.test(t)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["term"])
+
+    return texts.select("_text", "_base").mapInArrow(run, "term long").groupBy("term").agg(F.count("*").alias("n_p"))
+
+
 def count_terms(docs: DataFrame, text_col: str, bloom: Bloom) -> DataFrame:
     """n(t) over all rows, for the terms that pass the filter.  A term is counted in a row where it stands outside base
     spans, or would if there were any: base spans hold no candidate but by chance."""
@@ -225,37 +310,52 @@ def trim_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return a, np.where(ok, place[np.maximum(last, 0)] + 1, a)
 
 
-def disclosing_terms(docs: DataFrame, marked: DataFrame, text_col="text", support=SUPPORT, generalise=GENERALISE, common=COMMON) -> DataFrame:
-    """Rows (_key, term, share): the terms that give an entity of that row away, with the largest share.  marked: the
-    rows with an entity: _key, _text, _base."""
+def log_chance(x, n, q):
+    """Logarithm of a bound on the chance of x or more hits in n trials of probability q < 1 (Chernoff); 0 where x is no more than expected."""
+    n = F.greatest(n.cast("double"), x.cast("double"), F.lit(1.0))
+    r = x / n
+    part = lambda a, b: F.when((a > 0) & (b > 0), a * F.log(a / F.greatest(b, F.lit(1e-300)))).otherwise(0.0)
+    return F.when((x <= 0) | (r <= q), 0.0).otherwise(-n * (part(r, q) + part(1 - r, 1 - q)))
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col="text", generalise=GENERALISE, alpha=ALPHA) -> DataFrame:
+    """Rows (_key, term, share): the terms that give an entity of that text away, with the largest share.  texts: each
+    text with an entity once: _key, _text, _base, copies."""
     total = docs.count()
-    entities = _entities(marked).select("_key", F.explode("entities").alias("entity"))
-    held = entities.groupBy("entity", "_key").count()
-    known = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("count").alias("n_e")).where((F.col("texts") >= support) & (F.col("n_e") <= max(common * total, support)))
-    pairs = settle(held.join(known, "entity").select("entity", "_key", "n_e", F.col("count").alias("copies")), "private-pairs")
-    chosen = marked.dropDuplicates(["_key"]).join(pairs.select("_key").distinct(), "_key", "left_semi")
-    terms = _rows_of_terms(chosen).select("_key", F.explode("terms").alias("term"))
-    both = pairs.join(terms, "_key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("texts") >= support)
+    held = _entities(texts).join(texts.select("_key", "copies"), "_key")
+    known = held.groupBy("entity").agg(F.count("*").alias("_texts"), F.sum("copies").alias("n_e"))
+    known = settle(known.where((F.col("_texts") > 1) & (F.col("n_e") < total)).select("entity", "n_e"), "private-entities")
+    pairs = settle(count_pairs(texts, build_bloom(known.select("entity"))), "private-pairs")
+    known = known.join(pairs.groupBy("entity").agg(F.count("*").alias("terms")), "entity")
+    x, q = F.col("texts") - 1, (F.col("n_e") - 1) / F.lit(float(max(total - 1, 1)))
+    most = F.log(F.lit(alpha) / F.col("terms"))
+    share = lambda n_t: F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * n_t)) / F.log(F.lit(float(total)) / F.col("n_e"))
+    fits = lambda n_t: (log_chance(x, n_t - F.col("n_et") + x, q) <= most) & (share(n_t) >= generalise)
+    # both fall with n(t): what fails with fewer than n(t), as n(e,t) and the texts with an entity are, needs no count over all documents
+    both = _join_salted(pairs.where("texts > 1"), "term", known, ["entity"]).where(fits(F.col("n_et")))
     both = settle(both, "private-terms")
+    few = count_beside(texts, build_bloom(both.select("term").distinct()))
+    both = settle(_join_salted(both, "entity", few, ["term"]).where(fits(F.greatest("n_p", "n_et"))).drop("n_p"), "private-terms")
     if both.isEmpty():
         return both.select(F.lit(0).cast("long").alias("_key"), "term", F.lit(0.0).alias("share")).limit(0)
     counts = count_terms(docs, text_col, build_bloom(both.select("term").distinct()))
-    scored = both.join(counts, "term").withColumn("n_t", F.greatest("n_t", "n_et"))
-    share = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    telling = scored.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
-    return pairs.select("entity", "_key").join(telling, "entity").groupBy("_key", "term").agg(F.max("share").alias("share")).join(terms, ["_key", "term"], "left_semi")
+    n_t = F.greatest("n_t", "n_et")
+    scored = _join_salted(both, "entity", counts, ["term"]).where(fits(n_t))
+    telling = settle(scored.select("entity", "term", share(n_t).alias("share")), "private-telling")
+    rows = _rows_of_pairs(texts, build_bloom(telling.select("entity").distinct()), build_bloom(telling.select("term").distinct()))
+    return _join_salted(rows, "_key", telling, ["entity", "term"]).groupBy("_key", "term").agg(F.max("share").alias("share"))
 
 
-def personal_spans(docs: DataFrame, id_col="doc_id", text_col="text", support=SUPPORT, remove=REMOVE, generalise=GENERALISE, common=COMMON) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col="doc_id", text_col="text", remove=REMOVE, generalise=GENERALISE, alpha=ALPHA) -> DataFrame:
     """Each row of docs with `base_spans` and `spans` (base and method), both by kind as in KINDS, then start."""
-    id_at, text_at = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    text_at = f"c{docs.columns.index(text_col)}"
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)  # names of our own, whatever the columns are called
-    keyed = plain.withColumn("_key", row_key(id_at, text_at)).withColumn("_text", F.coalesce(F.col(text_at), F.lit("")))
+    keyed = plain.withColumn("_text", F.coalesce(F.col(text_at), F.lit(""))).withColumn("_key", row_key("_text"))
     marked = mark_base(keyed, "_text", "_base")
     private = marked.where(F.size("_base") > 0)
-    stored = settle(private.select("_key", "_text", "_base"), "private-rows")
-    terms = disclosing_terms(plain, stored, text_at, support, generalise, common)
+    stored = settle(private.groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"), F.count("*").alias("copies")), "private-texts")
+    terms = disclosing_terms(plain, stored, text_at, generalise, alpha)
     listed = terms.groupBy("_key").agg(F.collect_list("term").alias("_terms"), F.collect_list("share").alias("_shares"))
     joined = private.join(listed, "_key", "left").select(*names, "_base", "_terms", "_shares")
     n, at = len(names), names.index(text_at)
