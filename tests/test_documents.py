@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.trees import BAD, GOOD, PLAN
 from xylem.engine import Documents, Engine
@@ -92,3 +93,18 @@ def test_sinks_and_typed_rows(spark, tmp_path):
 def test_timings(spark):
     t = Documents(spark.createDataFrame([(1, PLAN)], "doc_id long, content string")).timings("/Plan/Day")
     assert set(t) == {"validation", "tokenization", "structure", "query"}
+
+
+def test_malformed_kinds_reads_all_orders(spark, sf, monkeypatch):
+    from xylem import corpora, queries
+    from xylem.operators import validate
+
+    seen = []
+    plain = validate.errors
+    monkeypatch.setattr(validate, "errors", lambda docs, *a: seen.append(docs) or plain(docs, *a))
+    queries.malformed_kinds(spark, sf)
+    orders = corpora.orders_xml(spark, sf)
+    assert seen[0].count() == orders.count()
+    content = F.when(F.col("doc_id") % 11 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("C328")))).when(F.col("doc_id") % 11 == 1, F.encode(F.concat("content", F.lit("<z")), "UTF-8")).otherwise(F.encode("content", "UTF-8"))
+    got = {(r["doc_id"] % 11, r["kind"]) for r in plain(orders.withColumn("content", content)).collect()}
+    assert got == {(0, "utf8"), (1, "unterminated")}

@@ -85,9 +85,11 @@ def wellformed_flags(spark, sf):
 
 
 def malformed_kinds(spark, sf):
-    docs = corpora.orders_xml(spark, sf).where(F.col("doc_id") % 5 == 0)
+    """Errors of all orders: every fifth is damaged, the others are sound and must have none."""
+    docs = corpora.orders_xml(spark, sf)
     kinds = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("</z>"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<z>"), "content")).otherwise(F.concat(F.lit("<z>"), "content", F.lit("</zz>")))
-    return validate.errors(docs.withColumn("content", kinds)).groupBy("kind").agg(F.count("*").alias("n"))
+    content = F.when(F.col("doc_id") % 5 == 0, kinds).otherwise(F.col("content"))
+    return validate.errors(docs.withColumn("content", content)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def match_preview_top10(spark, sf):
