@@ -108,3 +108,17 @@ def test_malformed_kinds_reads_all_orders(spark, sf, monkeypatch):
     content = F.when(F.col("doc_id") % 11 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("C328")))).when(F.col("doc_id") % 11 == 1, F.encode(F.concat("content", F.lit("<z")), "UTF-8")).otherwise(F.encode("content", "UTF-8"))
     got = {(r["doc_id"] % 11, r["kind"]) for r in plain(orders.withColumn("content", content)).collect()}
     assert got == {(0, "utf8"), (1, "unterminated")}
+
+
+def test_large_file_cdata_text(spark, tmp_path):
+    notes = ["a<![CDATA[b]]>c", "<![CDATA[<x>é</y> <]]>", "plain", "<![CDATA[]]>", "p<![CDATA[q]]><![CDATA[<r]]>s" * 40]
+    x = "<o>" + "".join(f"<i><k>{j}</k><t at='{j}'>{notes[j % 5]}</t></i><i><t/></i>" for j in range(400)) + "</o>"
+    (tmp_path / "big.xml").write_text(x)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {r["start_off"]: r["text"] for r in large_path(spark, str(tmp_path / "big.xml"), "/o/i/t").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    small = Documents(spark.createDataFrame([(1, x)], "doc_id long, content string")).xpath("/o/i/t").collect()
+    assert got == {r["start_off"]: r["text"] for r in small} and len(got) == 800

@@ -122,14 +122,24 @@ def doc_stats(spark, sf):
     return s.select("doc_id", "n_bytes", "n_tokens", F.col("max_depth").cast("long").alias("max_depth"), "has_cdata")
 
 
-def large_doc_path(spark, sf):
-    """Orders as one document, written to the shared folder and scanned in splits."""
+def _large_orders(spark: SparkSession, sf: str) -> str:
+    """Orders as one document, written to the shared folder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/xylem-checkpoint"
     path = f"{top.rstrip('/')}/large-{uuid.uuid4().hex}"
     docs = corpora.orders_xml(spark, sf)
     # one file: the orders follow each other as roots, which the data model allows
     docs.select("content").coalesce(1).write.option("lineSep", "\n").text(path)
-    return large_path(spark, path, "/order/item/qty").select(_qty())
+    return path
+
+
+def large_doc_path(spark, sf):
+    """Orders as one document, scanned in splits."""
+    return large_path(spark, _large_orders(spark, sf), "/order/item/qty").select(_qty())
+
+
+def large_doc_cdata(spark, sf):
+    """The same document, the child whose text is CDATA."""
+    return large_path(spark, _large_orders(spark, sf), "/order/item/price").select(F.col("text").cast("double").alias("l_extendedprice"))
 
 
 def join_equals_window(spark, sf):
@@ -185,6 +195,7 @@ QUERIES = {
     "attrs_map": attrs_map,
     "doc_stats": doc_stats,
     "large_doc_path": large_doc_path,
+    "large_doc_cdata": large_doc_cdata,
     "join_equals_window": join_equals_window,
 }
 
@@ -253,5 +264,6 @@ ORACLES = {
           (5 + coalesce(n, 0) * 9)::BIGINT AS n_tokens, CASE WHEN n IS NULL THEN 0 ELSE 2 END::BIGINT AS max_depth, n IS NOT NULL AS has_cdata
         FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""",
     "large_doc_path": "SELECT l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "large_doc_cdata": "SELECT l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "join_equals_window": "SELECT 0::BIGINT AS doc_id, 0::BIGINT AS elem_id WHERE false",
 }

@@ -30,8 +30,9 @@ def prefix_sums(rows: DataFrame, **sums: Column) -> DataFrame:
     return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop(*[f"_before_{n}" for n in sums])
 
 
-def large_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, block, id, off, kind, depth, name, value) of the tags outside CDATA."""
+def _scanned(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, block, id, off, kind, depth, name, value, live, tag) of all records.  live: a tag outside CDATA; tag numbers these
+    in the document, and a record that is none has the number of the tag whose data it continues (0 before the first)."""
     rows = records(spark, path)
     value = F.col("value")
     opens = F.startswith(value, F.lit("![CDATA[")).cast("int")
@@ -43,24 +44,34 @@ def large_tags(spark: SparkSession, path: str) -> DataFrame:
     piece = F.concat(F.lit("<"), value)
     start_tag = F.regexp_extract(piece, START_TAG, 0)
     kind = F.when(F.startswith(value, F.lit("/")), "close").when(F.endswith(start_tag, F.lit("/>")), "empty").otherwise("open")
-    live = rows.where(~inside & ~F.col("_first") & (F.col("_opens") == 0)).select("file", "block", "id", (F.col("_end") - F.length(value) - 2).alias("off"), kind.alias("kind"), from_bytes(F.regexp_extract(piece, NAME, 1)).alias("name"), "value")
-    sign = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    summed = prefix_sums(live, _depth=sign)
+    found = rows.select("file", "block", "id", (F.col("_end") - F.length(value) - 2).alias("off"), kind.alias("kind"), from_bytes(F.regexp_extract(piece, NAME, 1)).alias("name"), "value", "_first", (~inside & ~F.col("_first") & (F.col("_opens") == 0)).alias("live"))
+    sign = F.when(~F.col("live"), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    summed = prefix_sums(found.where(~F.col("_first")).drop("_first"), _depth=sign, tag=F.col("live").cast("int"))
     return summed.withColumn("depth", (F.col("_depth") - (F.col("kind") == "open").cast("int")).cast("int")).drop("_depth")
 
 
+def large_tags(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, block, id, off, kind, depth, name, value, tag) of the tags outside CDATA."""
+    return _scanned(spark, path).where("live").drop("live")
+
+
 def large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
-    """Matches (file, start_off, text) of a path without predicates in large files.  text is the character data right after
-    the start tag, null where a CDATA section follows."""
+    """Matches (file, start_off, text) of a path without predicates in large files.  text is the character data between
+    the start tag and the next tag, CDATA sections unwrapped in their places."""
     steps = parse_xpath(xpath)
     if any(s.predicate for s in steps):
         raise XPathSyntaxError("large documents take paths without predicates")
     n = len(steps)
-    rows = large_tags(spark, path).where(F.col("depth") < n)
+    scanned = _scanned(spark, path)
+    rows = scanned.where(F.col("live") & (F.col("depth") < n))
     wanted = F.coalesce(*[F.when(F.col("depth") == i, F.col("name") == s.name) for i, s in enumerate(steps)])
     sign = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     run = prefix_sums(rows.withColumn("_ok", wanted), _run=F.when(F.col("_ok"), sign).otherwise(0))
     full = F.col("_run") + (F.col("kind") == "empty").cast("int") == n
     hit = run.where(F.col("_ok") & (F.col("kind") != "close") & (F.col("depth") == n - 1) & full)
-    text = F.when(F.col("kind") == "open", from_bytes(unwrap(F.regexp_replace(F.concat(F.lit("<"), "value"), START_TAG, ""))))
+    # records of CDATA sections go to the tag before them, in the order of the file
+    more = scanned.where(~F.col("live")).groupBy("file", "tag").agg(F.sort_array(F.collect_list(F.struct("block", "id", "value"))).alias("_more"))
+    hit = hit.join(more, ["file", "tag"], "left")
+    data = F.concat(F.lit("<"), "value", F.coalesce(F.array_join(F.transform("_more", lambda r: F.concat(F.lit("<"), r["value"])), ""), F.lit("")))
+    text = F.when(F.col("kind") == "open", from_bytes(unwrap(F.regexp_replace(data, START_TAG, ""))))
     return hit.select("file", F.col("off").alias("start_off"), text.alias("text"))
