@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tests.trees import BAD, GOOD, PLAN
+from tests.trees import BAD, GOOD, RIVER
 from xylem.engine import Documents, Engine
 from xylem.operators.validate import MalformedXmlError
 from xylem.sources import sinks
@@ -51,18 +51,18 @@ def test_files_cli_and_stream(spark, tmp_path, capsys):
     from xylem.__main__ import main
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.xml").write_text(PLAN)
-    assert Engine(spark).load(str(tmp_path / "in")).count("/Plan/Day") == 2
-    assert main([str(tmp_path / "in" / "a.xml"), "/Plan/Day/City"]) == 0
-    assert capsys.readouterr().out.splitlines() == ["Matches found: 2", "Match 1: Ulm", "Match 2: Bonn"]
-    assert main([str(tmp_path / "in" / "a.xml"), "/Plan//City"]) == 2
+    (tmp_path / "in" / "a.xml").write_text(RIVER)
+    assert Engine(spark).load(str(tmp_path / "in")).count("/river/gauge") == 6
+    assert main([str(tmp_path / "in" / "a.xml"), "/river/gauge[@bank='left']/level"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["Matches found: 3", "Match 1: <![CDATA[7]]>", "Match 2: <![CDATA[21]]>", "Match 3: <![CDATA[35]]>"]
+    assert main([str(tmp_path / "in" / "a.xml"), "/river//level"]) == 2
     (tmp_path / "bad.xml").write_text("<a>")
     assert main([str(tmp_path / "bad.xml"), "/a"]) == 1
-    spark.createDataFrame([(1, PLAN), (2, "<x>")], "doc_id long, content string").write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(1, RIVER), (2, "<x>")], "doc_id long, content string").write.parquet(str(tmp_path / "s"))
     got = []
-    q = stream_matches(spark.readStream.schema("doc_id long, content string").parquet(str(tmp_path / "s")), "/Plan/Day/City", lambda df, n: got.extend(r["text"] for r in df.collect()), str(tmp_path / "c"), availableNow=True)
+    q = stream_matches(spark.readStream.schema("doc_id long, content string").parquet(str(tmp_path / "s")), "/river/gauge/dry", lambda df, n: got.extend(r["raw"] for r in df.collect()), str(tmp_path / "c"), availableNow=True)
     q.awaitTermination()
-    assert sorted(got) == ["Bonn", "Ulm"]
+    assert got == ["<dry/>", "<dry/>"]
 
 
 def test_large_file_in_splits(spark, tmp_path):
@@ -84,14 +84,14 @@ def test_sinks_and_typed_rows(spark, tmp_path):
     assert {r["metric"]: (r["r1"], r["r2"]) for r in sinks.metrics_table(m).collect()} == {"a": ("1.0", "2.0"), "b": ("3.0", "NA")}
     sinks.write_report(m, str(tmp_path / "csv"))
     assert any(f.endswith(".csv") for f in os.listdir(tmp_path / "csv"))
-    (tmp_path / "t.xml").write_text(PLAN)
-    assert typed_rows(spark, str(tmp_path / "t.xml"), "Day").count() == 2
+    (tmp_path / "t.xml").write_text(RIVER)
+    assert typed_rows(spark, str(tmp_path / "t.xml"), "gauge").count() == 6
     (tmp_path / "m.json").write_text('[{"filename": "f", "query": "/a", "type": "count", "expected": "1"}]')
     assert expectations(spark, str(tmp_path / "m.json")).first()["expected"] == "1"
 
 
 def test_timings(spark):
-    t = Documents(spark.createDataFrame([(1, PLAN)], "doc_id long, content string")).timings("/Plan/Day")
+    t = Documents(spark.createDataFrame([(1, RIVER)], "doc_id long, content string")).timings("/river/gauge")
     assert set(t) == {"validation", "tokenization", "structure", "query"}
 
 

@@ -1,41 +1,67 @@
-"""Documents for tests, and a small path evaluator on element trees to hold the engine against."""
+"""Documents for tests, made by rule, and a small path evaluator on element trees to hold the engine against."""
 
 import xml.etree.ElementTree as ET
 
 from xylem.plans.xpath_ast import Attribute, Child, Index, Last, Position, parse_xpath
 
-SHOP = (
-    '<Shop><Item code="I1" kind="lamp"><Title><![CDATA[Desk <lamp>]]></Title><Cost>40</Cost><New/><Info from="a&amp;b" note="x &lt; y"/></Item>'
-    '<Item code="I2" kind="chair"><Title><![CDATA[Stool]]></Title><Cost><![CDATA[15]]></Cost><New/><Info from="c" note="p &gt; q"/></Item></Shop>'
-)
-FIRM = (
-    '<Firm><Unit id="U1"><Crew code="c-1"><Head>Ada</Head><Man role="dev"><Name>Ben</Name></Man><Man role="qa"><Name>Cem</Name></Man></Crew></Unit>'
-    '<Unit id="U2"><Crew code="c-2"><Head><![CDATA[Dee]]></Head><Man role="dev"><Name>Eli</Name></Man><Seat id="s9"/></Crew></Unit></Firm>'
-)
-ROWS = '<rows><row><row n="1"><v>9</v></row><row n="2"><v>10</v><v>11</v></row></row><row><row n="3"><v>é</v></row></row></rows>'
-PLAN = '<Plan><Day no="0"><City>Ulm</City><Stop t="a"><Name>N1</Name></Stop><Stop t="b"><Name>N2</Name></Stop></Day><Day no="1"><City>Bonn</City><Stop t="c"><Name>N3</Name></Stop></Day><Bag/></Plan>'
-MIXED = "<Run><Case name='empty'><In/><Out/><State>ok</State></Case><Case name=\"one\"><In><V>7</V></In><Out><V>7</V></Out><State>ok</State></Case><Case name=\"deep\"><In><G><I c=\"A\"/><I c=\"B\"/></G></In><State>warn</State></Case></Run>"
+
+def river(gauges: int = 6) -> str:
+    """Gauges of a river: a number, a level that is CDATA at odd ones, a mark at every third, readings as many as the number mod 4."""
+    out = []
+    for i in range(gauges):
+        level = f"<![CDATA[{i * 7}]]>" if i % 2 else str(i * 7)
+        reads = "".join(f"<r t='{j}'>{(i + 2) * j}</r>" for j in range(i % 4))
+        out.append(f'<gauge km="{i * 11}" bank="{"left" if i % 2 else "right"}"><level>{level}</level>{"<dry/>" if i % 3 == 0 else ""}<log>{reads}</log></gauge>')
+    return f"<river>{''.join(out)}</river>"
+
+
+def nest(depth: int, width: int = 2) -> str:
+    """The same name at every depth; leaves hold the way to them."""
+    def box(way: str) -> str:
+        if len(way) == depth:
+            return f'<box w="{way}">{way}</box>'
+        return f'<box w="{way}">' + "".join(box(way + str(k)) for k in range(width)) + "</box>"
+
+    return box("")
+
+
+def flags(rows: int = 5) -> str:
+    """Empty elements with attributes in both quotes, signs of markup and other scripts in their values."""
+    return "<flags>" + "".join(f"<f no=\"{i}\" say='{c}' to=\"a&gt;{c}/b\"/>" for i, c in zip(range(rows), "xé=ß~", strict=False)) + "</flags>"
+
+
+RIVER, NEST, FLAGS = river(), nest(3), flags()
 
 CASES = [
-    (SHOP, "/Shop/Item", 2), (SHOP, "/Shop/Item/Title", ["Desk <lamp>", "Stool"]), (SHOP, "/Shop/Item[@code='I1']/Title", ["Desk <lamp>"]),
-    (SHOP, "/Shop/Item[@kind=\"chair\"]/Cost", ["15"]), (SHOP, "/Shop/Item[0]/Title", ["Desk <lamp>"]), (SHOP, "/Shop/Item[1]/Title", ["Stool"]),
-    (SHOP, "/Shop/Item/New", 2), (SHOP, "/Shop/Item[@code='I2']/Info", 1), (SHOP, "/Shop/Item[Cost=40]", 1), (SHOP, "/Shop/Item[Cost=15]", 1),
-    (SHOP, "/Shop/Item[Cost='40']/Title", ["Desk <lamp>"]), (SHOP, "/Shop/Item[Cost=0]", 0), (SHOP, "/Shop/Item[Title=lamp]", 0),
-    (FIRM, "/Firm/Unit/Crew", 2), (FIRM, "/Firm/Unit[@id='U2']/Crew/Man/Name", ["Eli"]), (FIRM, "/Firm/Unit/Crew/Man", 3), (FIRM, "/Firm/Unit/Crew/Seat", 1),
-    (FIRM, "/Firm/Unit/Crew/Man[@role='qa']/Name", ["Cem"]), (FIRM, "/Firm/Unit/Crew[Head=Dee]", 1), (FIRM, "/Firm/Unit[0]/Crew/Head", ["Ada"]),
-    (FIRM, "Firm/Unit[1]/Crew/Head/", ["Dee"]), (FIRM, "/Firm", 1), (FIRM, "/Firm/Unit[@id='U']", 0),
-    (ROWS, "/rows/row/row", 3), (ROWS, "/rows/row[0]/row[1]/v[1]", ["11"]), (ROWS, "/rows/row/row[v>9]", 2), (ROWS, "/rows/row/row[v<10]", 1),
-    (ROWS, "/rows/row/row[@n>='2']/v", ["10", "11", "é"]), (ROWS, "/rows/row/row[v!=9]", 2), (ROWS, "/rows/row/row[last()]/v", ["10", "11", "é"]),
-    (ROWS, "/rows/row/row[last()-1]/v", ["9"]), (ROWS, "/rows/row/row[position()<=1]/v", ["9", "é"]), (ROWS, "/rows/row/row/v[position()=2]", ["11"]),
-    (PLAN, "/Plan/Day[0]/Stop[1]/Name", ["N2"]), (PLAN, "/Plan/Day[1]/Stop[1]/Name", []), (PLAN, "/Plan/Bag", 1), (PLAN, "/Plan/Day/Stop", 3),
-    (MIXED, "/Run/Case[@name='empty']/In", 1), (MIXED, "/Run/Case[@name='deep']/In/G/I", 2), (MIXED, "/Run/Case[1]/Out/V", ["7"]), (MIXED, "/Run/Case[State=warn]", 1),
+    (RIVER, "/river", 1), (RIVER, "/river/gauge", 6), (RIVER, "river/gauge/dry/", 2), (RIVER, "/river/gauge/level", ["0", "7", "14", "21", "28", "35"]),
+    (RIVER, "/river/gauge[@km='33']/level", ["21"]), (RIVER, "/river/gauge[@bank=\"left\"]/level", ["7", "21", "35"]), (RIVER, "/river/gauge[@km>'30']/level", ["21", "28", "35"]),
+    (RIVER, "/river/gauge[@km>='33']/dry", 1), (RIVER, "/river/gauge[@km<='11']/level", ["0", "7"]), (RIVER, "/river/gauge[@km!='0']", 5), (RIVER, "/river/gauge[@km='3']", 0),
+    (RIVER, "/river/gauge[level=21]/log/r", ["0", "5", "10"]), (RIVER, "/river/gauge[level>'20']/log/r[1]", ["5"]), (RIVER, "/river/gauge[level<14]", 2),
+    (RIVER, "/river/gauge[2]/log/r", ["0", "4"]), (RIVER, "/river/gauge[3]/log/r[2]", ["10"]), (RIVER, "/river/gauge[last()]/level", ["35"]), (RIVER, "/river/gauge[last()-1]/level", ["28"]),
+    (RIVER, "/river/gauge[position()>4]/level", ["28", "35"]), (RIVER, "/river/gauge/log[r=4]/r[@t='0']", ["0"]), (RIVER, "/river/gauge/log[r>=10]", 1), (RIVER, "/river/gauge/log[r<=0]", 4),
+    (RIVER, "/river/gauge[level>=7]/log[r=4]/r", ["0", "4"]), (RIVER, "/river/gauge[level=7]/log[r=7]", 0), (RIVER, "/river/none", 0), (RIVER, "/river/gauge[level=none]", 0),
+    (NEST, "/box", 1), (NEST, "/box/box/box", 4), (NEST, "/box/box/box/box", [f"{a}{b}{c}" for a in "01" for b in "01" for c in "01"]), (NEST, "/box/box[1]/box[0]/box[1]", ["101"]),
+    (NEST, "/box/box/box[box=011]", 1), (NEST, "/box/box[@w='1']/box/box[last()]", ["101", "111"]), (NEST, "/box[0]/box[@w!='1']/box[1]/box", ["010", "011"]), (NEST, "/box/box/box/box/box", 0),
+    (FLAGS, "/flags/f", 5), (FLAGS, "/flags/f[@say='é']", 1), (FLAGS, "/flags/f[@say='=']", 1), (FLAGS, "/flags/f[position()<=2]", 2), (FLAGS, "/flags/f[@no<'3']", 3),
 ]
 
-BAD = [
-    "<R><Item>1</Item2></R>", "<R></Ghost></R>", "<R><A></A></A></R>", "<R><B></R>", "<R><A><B></A></B></R>", "<R><A></A>", "<R><A><A></A></R>",
-    "<R><A/></X><B/></R>", "<R><Left></Left2></R>", "<R><B></C></B></R>", '<?xml version="1.0"?><R/>', "<R><!-- no --></R>", "<!DOCTYPE r><R/>", "<R a='1'",
-]
-GOOD = ['<R a="1"/>', "<R><![CDATA[<x></y>]]></R>", "<R/><S/>", "<R></R >", '<R\n a="1"\n>t</R>', "<R>a ]]> b</R>", '<R a="x > y">t</R>', "<R>=\"</R>"]
+
+def damaged() -> list[str]:
+    """Each way in which tags can fail to match, at every place of a small document where it applies."""
+    parts = ["<t>", "<u>", "1", "</u>", "<u/>", "<v k='2'>", "</v>", "</t>"]
+    out = []
+    for i, p in enumerate(parts):
+        if p.startswith("<") and not p.endswith("/>"):
+            out.append("".join(parts[:i] + parts[i + 1 :]))  # a tag is missing
+        if p.startswith("</"):
+            out.append("".join([*parts[:i], p[:-1] + "x>", *parts[i + 1 :]]))  # it closes another name
+            out.append("".join([*parts[: i + 1], p, *parts[i + 1 :]]))  # it closes twice
+    out += ["<t><u><v></u></v></t>", "</t>", "<t></t></t><t>", "".join(parts[:-1]), "".join(parts)[:-1], "<t k='1"]
+    return out + [f"{head}{''.join(parts)}" for head in ("<?xml version='1.1'?>", "<!-- a -->", "<!DOCTYPE t>")]
+
+
+BAD = damaged()
+GOOD = [RIVER, NEST, FLAGS, "<t k='1'/>", "<t><![CDATA[</t><u>]]></t>", "<t/><u/>", "<t></t >", "<t\n k='1'\n>a</t>", "<t>a ]]> b</t>", "<t k='a > b'>c</t>", '<t>="</t>']
 
 
 def text_of(node):

@@ -24,7 +24,7 @@ def errors(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content"
     rows = paired(tags(readable, id_col, content_col, skip_misc), id_col)
     kind = (
         F.when(F.col("depth") < 0, "stray_close")
-        .when((F.col("kind") == "open") & (F.col("tag") == ""), "unterminated")
+        .when(F.col("tag") == "", "unterminated")
         .when((F.col("kind") == "open") & ((F.col("next_kind") != "close") | F.col("next_kind").isNull()), "unclosed")
         .when((F.col("kind") == "open") & (F.col("next_name") != F.col("_name")), "mismatch")
     )
