@@ -78,6 +78,24 @@ def brute_classes(texts):
     return {i: find(i) for i in s}
 
 
+def brute_links(texts):
+    """Classes by alignment of all pairs."""
+    from xylem.llm.common import hashed_words
+    import pyarrow as pa
+
+    ids = sorted(texts)
+    runs = []
+    for _, at, h, *_ in hashed_words(pa.array([texts[i] for i in ids])):
+        runs += [near.runs_of(h[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
+    of = list(range(len(ids)))
+    for a in range(len(ids)):
+        for b in range(a):
+            if of[a] != of[b] and near.alignment_likeness(runs[a], runs[b]) >= near.LIKENESS:
+                old, new = max(of[a], of[b]), min(of[a], of[b])
+                of = [new if x == old else x for x in of]
+    return {i: ids[c] for i, c in zip(ids, of, strict=True)}
+
+
 def test_near_real(real):
     texts = {r["doc_id"]: r["text"] for r in real.collect()}
     got = {r["doc_id"]: r["class_id"] for r in near.classes(real).collect()}
@@ -111,12 +129,51 @@ def test_near_odd(odd):
     assert by[1] == 3 and by[2] == 4  # without words: null, empty, white space, and null with null id
 
 
-def test_components_agree(spark):
+def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
-    links = spark.createDataFrame(pairs, "a long, b long")
-    few, many = ({(r["node"], r["root"]) for r in near.components(links, few=k).collect()} for k in (1000, 0))
-    assert few == many and (1040, 1000) in few
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {(x, find(x)) for a, b in pairs if a != b for x in (a, b)}
+    for parts in (1, 7):  # links read by one task, and by several that must agree
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27 if parts > 1 else 1 << 22))
+        links = spark.createDataFrame(pairs, "a long, b long").repartition(parts)
+        assert {(r["node"], r["root"]) for r in near.components(links).collect()} == want
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 22))
+    with pytest.raises(RuntimeError):
+        near.components(links, most=0)
+
+
+def test_far_copies_are_compared_by_bounds(docs_of, spark):
+    """Copies of one text, many too far from it: classes equal brute force, and few pairs are compared."""
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(400)]
+    base = rng.choices(words, k=140)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 260):
+        x = list(base)
+        for _ in range(rng.randrange(1, 16)):
+            x[rng.randrange(140)] = rng.choice(words[:6])
+        cut = rng.randrange(3) and 140 - rng.randrange(40)
+        rows.append((i, " ".join(x[: cut or 140])))
+    texts = dict(rows)
+    compared, plain = [], near.verify
+    near.verify = lambda pairs, *a: compared.append(pairs) or plain(pairs, *a)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near.classes(docs_of(rows)).collect()}
+    finally:
+        near.verify = plain
+    want = brute_links(texts)
+    assert got == want and len(set(want.values())) > 20
+    assert len(compared) == 3 and compared[2].count() < 260 * 259 / 2 / 8
 
 
 def test_alignment():

@@ -12,9 +12,12 @@ runs a pair at that edge is missed with probability (1 - 0.67^3)^24 = 2e-4, one
 Groups.  Equal texts are one node from the start.  Nodes that share a sketch form a bucket.  A bucket's pivot is its node that meets most
 others over all buckets, of near copies so the original.  Round 1 verifies each node with its most met pivot.  Round 2 verifies it with the
 pivot and with its neighbour in each bucket, where these are still apart.  Round 3 takes the buckets that still hold several groups
-and compares nodes outside the bucket's largest group with the others, where a bound allows a link: two texts align no more runs than
-either has in common with any other text there.  So no link that a bucket shows is lost, and of near copies too far from each other
-nearly none is compared.  Rounds 2 and 3 end in connected components (large-star, small-star).
+and looks for links of nodes outside the bucket's largest group.  Among these nodes a run is hot if more than HOT texts have it,
+else cold.  Texts that share a cold run meet by it, HOT partners a run at most.  Texts that share none can only be linked by hot runs: these are
+counted for each text in SLOTS slots by their hash, and a pair is compared if the sum over the slots of the lesser counts reaches
+what a link needs, and for the others the cold runs they share are added to that sum.  These are upper bounds of what can be
+aligned, so no link that a bucket shows is lost, and copies of one text that are too far from each other are not compared.
+Rounds 2 and 3 end in connected components: each task joins the links it reads, then large-star and small-star until every node has one root.
 
 Nulls: a null text is empty; empty texts are equal.  A null id sorts last.  Repeated rows are equal texts.  Texts equal but for white
 space have likeness 1.  An empty table gives an empty one.  Other columns are kept by `keep_one` and not read.
@@ -29,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _U, Tally, blocks, cut_words, hash_spans, hashed_words, mix, settle, small_batches, text_bytes
+from .common import _U, blocks, cut_words, hash_spans, hashed_words, mix, settle, small_batches, text_bytes
 
 WIDTH, BANDS, LEAST, LIKENESS = 5, 24, 3, 0.8
-FEW_LINKS = 50_000
+HOT, SLOTS = 64, 16
 _ODD = mix(np.arange(101, 101 + BANDS, dtype=np.uint64)) | _U(1)
 _SALT = mix(np.arange(301, 301 + BANDS, dtype=np.uint64))
 _M = _U(0x9FB21C651E98DF25)
@@ -162,7 +165,8 @@ def verify(pairs: DataFrame, texts: DataFrame, wanted: float = LIKENESS) -> Data
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
 
 
-def _union_find(batches):
+def _union_find(batches, most: int = 1 << 20):
+    """Rows (node, root) of the links read, which are given out and forgotten beyond `most` nodes."""
     parent: dict[int, int] = {}
 
     def find(x):
@@ -170,25 +174,30 @@ def _union_find(batches):
             parent[x] = x = parent[p]
         return x
 
+    def rows():
+        nodes = list(parent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             u, v = find(u), find(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
-
+        if len(parent) > most:
+            yield rows()
+            parent.clear()
+    yield rows()
 
-def components(links: DataFrame, most: int = 60, few: int = FEW_LINKS) -> DataFrame:
-    """Rows (node, root) of the linked nodes; root is the least node of the component.
 
-    Up to `few` links are joined in one task on an executor (under 1 MB); more go through rounds of large-star and small-star, with the same
-    result."""
+def components(links: DataFrame, most: int = 60) -> DataFrame:
+    """Rows (node, root) of the linked nodes; root is the least node of the component.  Raises if `most` rounds are not enough."""
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    if edges.count() <= few:
-        return settle(edges.coalesce(1).mapInArrow(_union_find, "node long, root long"), "components")
-    before = None
     for _ in range(most):
+        local = settle(edges.mapInArrow(_union_find, "node long, root long"), "components")
+        per = settle(local.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")), "components")
+        if per.where("root <> other").isEmpty():
+            return per.select("node", "root")
+        edges = local.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -196,12 +205,7 @@ def components(links: DataFrame, most: int = 60, few: int = FEW_LINKS) -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return settle(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    raise RuntimeError(f"components are not complete after {most} rounds")
 
 
 def _grouped(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -211,38 +215,91 @@ def _grouped(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     return rows.join(parts, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
 
 
-def common_runs(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (node, common): how many runs of a node's text other texts of these nodes have as well.  No pair aligns more."""
+def run_evidence(texts: DataFrame, nodes: DataFrame, hot: int = HOT, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, group, rest).  Two tables: (a, b, shared), for nodes of different groups, one of them rest, how many cold runs
+    they share, at least one; (node, hot), the number of a node's hot runs in each slot."""
     def list_runs(batches):
         for b in batches:
-            keys = b.column(0).to_numpy()
+            columns = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3)]
             for i, rows, h, *_ in hashed_words(b.column(1)):
                 runs = [runs_of(h[rows[r] : rows[r + 1]]) for r in range(len(rows) - 1)]
                 sizes = np.array([len(r) for r in runs])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.repeat(keys[i : i + len(runs)], sizes))], names=["run", "node"])
-
-    def count(batches):
-        tally, held = Tally(), None
+                each = [pa.array(np.repeat(c[i : i + len(runs)], sizes)) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), *each], names=["run", "node", "group", "rest"])
+
+    def counted(a, b, slot):
+        order = np.lexsort((slot, b, a))
+        a, b, slot = a[order], b[order], slot[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (slot[1:] != slot[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(slot[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(a))))], names=["a", "b", "slot", "n"])
+
+    def tell(run, node, group, rest, is_hot):
+        if is_hot.any():
+            yield counted(node[is_hot], node[is_hot], (run[is_hot].view(np.uint64) >> _U(7)).astype(np.int64) % slots)
+        run, node, group, rest = (c[~is_hot] for c in (run, node, group, rest))
+        for k in range(1, hot):
+            same = run[k:] == run[:-k]
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (group[k:] != group[:-k]) & (rest[k:] | rest[:-k]))
+            if len(i):
+                yield counted(np.minimum(node[i], node[i + k]), np.maximum(node[i], node[i + k]), np.full(len(i), -1))
+
+    def judge(batches):
+        """Sorted by run.  The rows of the last run wait for the next batch, `hot` of them at most: what has more is hot."""
+        held, known_hot = None, None
         for b in batches:
-            run, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if held is not None:  # the last row again: only its run matters
-                run, node = np.concatenate([[held[0]], run]), np.concatenate([[held[1]], node])
+            part = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            run = part[0]
             if not len(run):
                 continue
-            same = run[1:] == run[:-1]
-            both = np.zeros(len(run), bool)
-            both[1:] |= same
-            both[:-1] |= same
-            if held is not None:
-                both[0] = bool(same[:1].any()) and not held[2]
-            yield from tally.add(node[both].view(np.uint64))
-            held = run[-1], node[-1], bool(same[-1:].any()) or (len(run) == 1 and held is not None and held[2])
-        yield from tally.rest()
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            sizes = np.diff(np.append(first, len(run)))
+            big = sizes > hot
+            if known_hot is not None:
+                big[0] |= run[0] == known_hot
+            cut = len(run) if big[-1] else first[-1]
+            known_hot = run[-1] if big[-1] else None
+            if cut:
+                yield from tell(*[c[:cut] for c in part], np.repeat(big, sizes)[:cut])
+            held = [c[cut:] for c in part]
+        if held is not None and len(held[0]):
+            yield from tell(*held, np.zeros(len(held[0]), bool))
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(list_runs, "run long, node long")
-    found = runs.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(count, "name long, n long").groupBy(F.col("name").alias("node")).agg(F.sum("n").alias("common"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("common", F.lit(0)).alias("common"))
+    runs = texts.join(nodes, "node").select("node", "text", "group", "rest").mapInArrow(list_runs, "run long, node long, group long, rest boolean")
+    found = settle(runs.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(judge, "a long, b long, slot int, n long"), "run-evidence")
+    cold = found.where("slot < 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    hot_counts = found.where("slot >= 0").groupBy(F.col("a").alias("node")).agg(F.array(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)) for k in range(slots)]).alias("hot"))
+    return cold, hot_counts
+
+
+def _lesser(one: str, two: str, slots: int = SLOTS):
+    """The sum over the slots of the lesser counts."""
+    return sum((F.least(F.get(one, k), F.get(two, k)) for k in range(slots)), F.lit(0))
+
+
+def open_pairs(texts: DataFrame, open_rows: DataFrame, wanted: float = LIKENESS) -> DataFrame:
+    """Pairs (a, b) that buckets show and bounds leave open.  open_rows (bucket, node, n, group, main) of buckets with several groups."""
+    nodes = open_rows.groupBy("node").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.max(F.col("group") != F.col("main")).alias("rest"))
+    nodes = settle(nodes, "open-nodes")
+    cold, hot = run_evidence(texts, nodes.select("node", "group", "rest"))
+    none = F.array(*[F.lit(0).cast("long")] * SLOTS)
+    info = settle(nodes.join(hot, "node", "left").select("node", "n", F.coalesce("hot", none).alias("hot")), "open-nodes")
+    of = lambda c: info.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hot").alias(f"hot_{c}"))
+    need = wanted / 2 * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = cold.join(of("a"), "a").join(of("b"), "b").where(F.col("shared") + _lesser("hot_a", "hot_b") >= need).select("a", "b")
+    total = sum((F.get("hot", k) for k in range(SLOTS)), F.lit(0))
+    rows = open_rows.drop("n").join(info, "node").withColumn("_total", total)
+    least = rows.groupBy("bucket").agg(F.min("n").alias("_least"))
+    rows = rows.join(least, "bucket").where(F.col("_total") >= wanted / 2 * (F.col("n") + F.col("_least")) - 1e-6)
+    one = rows.where(F.col("group") != F.col("main")).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hot").alias("hot_a"), F.col("group").alias("g_a"))
+    two = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hot").alias("hot_b"), F.col("group").alias("g_b"), (F.col("group") == F.col("main")).alias("in_main"))
+    apart = (F.col("g_a") != F.col("g_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
+    by_hot = one.join(two, "bucket").where(apart & (_lesser("hot_a", "hot_b") >= need)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.unionByName(by_hot).distinct()
 
 
 def link_groups(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
@@ -276,15 +333,7 @@ def link_groups(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float
     top = per.groupBy("bucket").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
     open_rows = settle(known.join(top.select("bucket", "main"), "bucket"), "open-buckets")
     if not open_rows.isEmpty():
-        common = settle(common_runs(texts, open_rows.select("node").distinct()), "common-runs")
-        rows = open_rows.join(common, "node").select("bucket", "node", "n", "common", "group", (F.col("group") == F.col("main")).alias("in_main"))
-        rest = rows.where("NOT in_main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("group").alias("ga"))
-        rest = rest.where(F.col("ca") >= wanted / (2 - wanted) * F.col("na") - 1e-6)
-        rows = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("group").alias("gb"), "in_main")
-        need = wanted / 2 * (F.col("na") + F.col("nb")) - 1e-6
-        apart = (F.col("ga") != F.col("gb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (F.least("ca", "cb") >= need)
-        third = rest.join(rows, "bucket").where(apart).select("a", "b").distinct()
-        links = links.unionByName(settle(verify(third, texts, wanted), "links"))
+        links = links.unionByName(settle(verify(open_pairs(texts, open_rows, wanted), texts, wanted), "links"))
         parts = components(links)
     return scanned.select("id", "node"), _grouped(nodes.select("node"), parts)
 
@@ -305,15 +354,20 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float = L
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float = LIKENESS) -> DataFrame:
-    """One row of each class, with all its columns: that of least id; of equal rows one."""
+    """One row of each class, with all its columns: that of least id; of equal rows one.  Rows are dealt by text and id, so that copies
+    spread and only those of one id meet."""
     rows, groups = link_groups(docs, id_col, text_col, wanted)
     best = rows.join(groups, "node").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
     best = settle(best.select(F.col("best.node").alias("_node"), F.col("best.id").alias("_best")), "kept")
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_at, text_at = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     text = F.coalesce(text_at, F.lit(""))
-    dealt = docs.toDF(*names).withColumn("_node", F.xxhash64(text, F.length(text))).join(best, "_node").where(id_at.eqNullSafe(F.col("_best")))
-    return dealt.dropDuplicates(["_node"]).select(*names).toDF(*docs.columns)
+    kept = docs.toDF(*names).withColumn("_node", F.xxhash64(text, F.length(text)))
+    kept = kept.join(best, (kept["_node"] == best["_node"]) & id_at.eqNullSafe(best["_best"]), "left_semi")
+    again = rows.groupBy("node", "id").count().where("count > 1").join(best, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_best")), "left_semi")
+    if not again.isEmpty():  # a kept row stands several times
+        kept = kept.dropDuplicates(["_node"])
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def op9_order_minhash(spark, sf_dir: str) -> DataFrame:
