@@ -1,10 +1,10 @@
 """Language identification by prediction by partial matching.
 
-For each language a tree of byte contexts up to order 3 is learned with the counts and escape probabilities of method C:
-a seen symbol costs -log2 n/(t+d), an escape to the next shorter context -log2 d/(t+d), with n the symbol's count, t the
-context's and d its number of different symbols.  The statistics are then frozen, so that the code length of a whole
-text is a sum of table entries: bytes become 64 symbols (the 63 most frequent in training, and one for the rest, which
-costs 8 bits more), and four symbols index a table.  The language with the shortest code wins.
+For each language a tree of byte contexts up to `ORDER` bytes is learned with the counts and escape probabilities of method C:
+a seen byte costs -log2 n/(t+d), an escape to the next shorter context -log2 d/(t+d), with n the byte's count, t the
+context's and d its number of different bytes; below the empty context all 256 bytes are alike.  The statistics are then frozen, so that
+the code length of a whole text is a sum of table entries: for each order a hash table of the grams seen in any language, with
+their costs in each, and the cost of an escape for those that are contexts.  The language with the shortest code wins.
 
 Learned from a bounded sample: about `rows_per_language` rows of each language, chosen by a hash of the id.
 The score is the winner's share among exp(-code length), with the evidence of longer texts scaled down to that of 64 bytes.
@@ -23,106 +23,143 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, text_bytes
+from .common import _U, blocks, mapped, small_batches, text_bytes
 
 ROWS_PER_LANGUAGE = 600
 MAX_LANGUAGES = 512
-A = 64
+ORDER = 3
+DENSE = 1  # orders up to this are tables of all grams
+_BLOCK = 1 << 17
+
+
+class Places:
+    """Rows of 64-bit keys: an open hash table, at most a quarter full, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(8, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.row = np.full(1 << self.bits, -1, np.int32)
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        left, slot = np.arange(len(keys)), self.slots(keys)
+        while len(left):
+            free = self.row[slot] < 0
+            self.row[slot[free]] = left[free]  # of several for one slot the last stays
+            put = self.row[slot] == left
+            self.key[slot[put]] = keys[left[put]]
+            left, slot = left[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 if it has none."""
+        slot = self.slots(keys)
+        out = np.where(self.key[slot] == keys, self.row[slot], -1)
+        open_ = np.flatnonzero((out < 0) & (self.row[slot] >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at = slot[open_]
+            hit = self.key[at] == keys[open_]
+            out[open_[hit]] = self.row[at[hit]]
+            open_ = open_[~hit & (self.row[at] >= 0)]
+        return out
+
+
+def gram_keys(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """For each byte of the texts the number of its gram: itself and the `order` bytes before it; zeros stand before a text."""
+    key = data.astype(np.int64)
+    place = np.arange(len(data)) - np.repeat(off[:-1], np.diff(off))
+    for k in range(1, order + 1):
+        before = np.zeros(len(data), np.int64)
+        before[k:] = data[:-k]
+        before[place < k] = 0
+        key += before << (8 * k)
+    return key
 
 
 @dataclass
 class PpmModel:
     langs: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    extra: np.ndarray  # byte -> extra bits
-    order2: np.ndarray  # [A^3, languages]
-    escape3: np.ndarray  # [A^3, languages]
-    keys: np.ndarray  # grams of four symbols seen in any language
-    order3: np.ndarray  # [len(keys) + 1, languages]
-
-    def index(self) -> np.ndarray:
-        table = np.zeros(A**4, np.int32)
-        table[self.keys] = np.arange(1, len(self.keys) + 1, dtype=np.int32)
-        return table
-
-    def code_lengths(self, data: np.ndarray, off: np.ndarray, index: np.ndarray) -> np.ndarray:
+    dense: np.ndarray  # [256^(DENSE + 1), languages]: costs of the grams of order DENSE
+    keys: list[np.ndarray]  # for each order from DENSE + 1: the grams seen in any language
+    costs: list[np.ndarray]  # their costs [grams, languages]
+    escapes: list[np.ndarray]  # for each order from DENSE: cost of the escape from each gram as a context of the order above
+
+    def code_lengths(self, data: np.ndarray, off: np.ndarray, places: list[Places] | None = None) -> np.ndarray:
         """Bits of each row under each language."""
+        places = places or self.places()
         out = np.zeros((len(off) - 1, len(self.langs)))
-        for i, j in blocks(off, 1 << 19):
+        top = DENSE + len(self.keys)
+        for i, j in blocks(off, _BLOCK):
             part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-            n = len(part)
-            if not n:
+            if not len(part):
                 continue
-            s = self.symbol[part].astype(np.int64)
-            place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-            last3 = s.copy()  # the two symbols before and this one
-            before = np.zeros(n, np.int64)  # the three symbols before
-            for k in (1, 2, 3):
-                prev = np.zeros(n, np.int64)
-                prev[k:] = s[:-k]
-                prev[place < k] = 0
-                if k < 3:
-                    last3 += prev << (6 * k)
-                before += prev << (6 * (k - 1))
-            row = index[(before << 6) | s]
-            cost = self.order3[row]
-            miss = np.flatnonzero(row == 0)
-            cost[miss] = self.escape3[before[miss]] + self.order2[last3[miss]]
-            cost += self.extra[part][:, None]
+            key = gram_keys(part, at, top)
+            row = places[-1].find(key)
+            cost = self.costs[-1][row]
+            miss = np.flatnonzero(row < 0)
+            cost[miss] = 0
+            for order in range(top, DENSE, -1):  # the grams not seen at this order: an escape, and one order less
+                if not len(miss):
+                    break
+                k = order - DENSE - 1
+                context = key[miss] >> 8 & ((1 << (8 * order)) - 1)
+                shorter = key[miss] & ((1 << (8 * order)) - 1)
+                if k:
+                    seen = places[k - 1].find(context)
+                    cost[miss[seen >= 0]] += self.escapes[k][seen[seen >= 0]]
+                    row = places[k - 1].find(shorter)
+                    cost[miss[row >= 0]] += self.costs[k - 1][row[row >= 0]]
+                    miss = miss[row < 0]
+                else:
+                    cost[miss] += self.escapes[0][context] + self.dense[shorter]
             full = np.flatnonzero(np.diff(at))
             out[i + full] = np.add.reduceat(cost, at[full], axis=0, dtype=np.float64)
         return out
 
-
-def _grams(s: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different grams of order + 1 symbols and their counts; before a text stand zeros."""
-    key = s.copy()
-    place = np.arange(len(s)) - np.repeat(off[:-1], np.diff(off))
-    for k in range(1, order + 1):
-        prev = np.zeros(len(s), np.int64)
-        prev[k:] = s[:-k]
-        prev[place < k] = 0
-        key += prev << (6 * k)
-    return np.unique(key, return_counts=True)
+    def places(self) -> list[Places]:
+        return [Places(k) for k in self.keys]
 
 
-def train_ppm(samples: dict[str, list[str]]) -> PpmModel:
+def train_ppm(samples: dict[str, list[str]], order: int = ORDER) -> PpmModel:
+    """order: bytes of the longest context, from DENSE + 1 to 6."""
     langs = sorted(samples)
-    packed = {}
-    seen = np.zeros(256, np.int64)
-    for x in langs:
-        packed[x] = text_bytes(pa.array(samples[x], pa.string()))
-        seen += np.bincount(packed[x][0], minlength=256)
-    frequent = np.argsort(-seen, kind="stable")[: A - 1]
-    symbol, extra = np.zeros(256, np.uint8), np.full(256, 8, np.float32)
-    symbol[frequent], extra[frequent] = np.arange(1, A), 0
-    order2, escape3, four = [], [], []
-    for x in langs:
-        data, off = packed[x]
-        s = symbol[data].astype(np.int64)
-        cost = np.full(A, np.log2(A))
-        for order in (0, 1, 2):
-            keys, n = _grams(s, off, order)
-            t = np.bincount(keys >> 6, n, A**order)
-            d = np.bincount(keys >> 6, minlength=A**order)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                esc = np.where(t > 0, -np.log2(d / (t + d)), 0.0)
-            wide = np.broadcast_to(cost.reshape(1, -1), (max(1, A**order // max(1, len(cost) // A)), len(cost))).reshape(-1) if order else cost
-            cost = wide.reshape(A**order, A) + esc[:, None]
-            cost = cost.reshape(-1)
-            cost[keys] = -np.log2(n / (t[keys >> 6] + d[keys >> 6]))
-        keys, n = _grams(s, off, 3)
-        t, d = np.bincount(keys >> 6, n, A**3), np.bincount(keys >> 6, minlength=A**3)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape3.append(np.where(t > 0, -np.log2(d / (t + d)), 0.0).astype(np.float32))
-        order2.append(cost.astype(np.float32))
-        four.append((keys, -np.log2(n / (t[keys >> 6] + d[keys >> 6]))))
-    order2, escape3 = np.stack(order2, 1), np.stack(escape3, 1)
-    keys = np.unique(np.concatenate([k for k, _ in four]))
-    order3 = escape3[keys >> 6] + order2[keys & (A**3 - 1)]
-    for x, (k, cost) in enumerate(four):
-        order3[np.searchsorted(keys, k), x] = cost
-    return PpmModel(langs, symbol, extra, order2, escape3, keys, np.vstack([np.zeros((1, len(langs)), np.float32), order3.astype(np.float32)]))
+    packed = [text_bytes(pa.array(samples[x], pa.string())) for x in langs]
+    grams = [[np.unique(gram_keys(*p, k), return_counts=True) for p in packed] for k in range(order + 1)]
+
+    def statistics(k: int, x: int):
+        """Of order k in language x: grams, their costs as seen, contexts, the cost of an escape from each."""
+        keys, n = grams[k][x]
+        context, where = np.unique(keys >> 8, return_inverse=True)
+        t, d = np.bincount(where, n, len(context)), np.bincount(where, minlength=len(context))
+        return keys, -np.log2(n / (t + d)[where]), context, -np.log2(d / (t + d))
+
+    dense = np.full((256, len(langs)), 8.0)
+    for k in range(DENSE + 1):
+        if k:
+            dense = np.tile(dense, (256, 1))
+        for x in range(len(langs)):
+            keys, seen, context, escape = statistics(k, x)
+            wide = dense[:, x].reshape(256**k, -1)
+            wide[context] += escape[:, None]
+            dense[keys, x] = seen
+    keys_of, costs, escapes = [], [], []
+    below, find = np.arange(256 ** (DENSE + 1)), lambda k: k
+    cost_below = dense
+    for k in range(DENSE + 1, order + 1):
+        keys = np.unique(np.concatenate([[0], *[g[0] for g in grams[k]]]))  # 0: the context of a first byte
+        escape = np.zeros((len(below), len(langs)), np.float32)
+        parts = [statistics(k, x) for x in range(len(langs))]
+        for x, (_, _, context, bits) in enumerate(parts):
+            escape[find(context), x] = bits  # a context was a gram of the order below
+        cost = (escape[find(keys >> 8)] + cost_below[find(keys & ((1 << (8 * k)) - 1))]).astype(np.float32)
+        for x, (own, seen, _, _) in enumerate(parts):
+            cost[np.searchsorted(keys, own), x] = seen
+        keys_of.append(keys)
+        costs.append(cost)
+        escapes.append(escape)
+        below, cost_below = keys, cost
+        find = lambda q, keys=keys: np.searchsorted(keys, q)
+    return PpmModel(langs, dense.astype(np.float32), keys_of, costs, escapes)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -159,10 +196,10 @@ def identify(docs: DataFrame, model: PpmModel | None, id_col="doc_id", text_col=
 
     def run(batches):
         m = sent.value
-        index = m.index()
+        places = m.places()
         for batch in batches:
             data, off = text_bytes(batch.column(len(names)))
-            bits = m.code_lengths(data, off, index)
+            bits = m.code_lengths(data, off, places)
             n = np.maximum(np.diff(off), 1)
             best = np.argmin(bits, axis=1) if len(bits) else np.zeros(0, np.int64)
             rel = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(1, 64 / n)[:, None] if len(bits) else bits
@@ -171,7 +208,7 @@ def identify(docs: DataFrame, model: PpmModel | None, id_col="doc_id", text_col=
             pred = np.where(ok, np.array(m.langs, object)[best], "und")
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0), pa.float64())], names=[*names, "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.transform(mapped, run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "lang_pred", "score")
 
 

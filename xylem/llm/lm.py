@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, Tally, hashed_words, row_key, settle, small_batches
+from .common import _U, Tally, hashed_words, mapped, row_key, settle, small_batches
 
 CORE, HEAD, CLASSES, ROUNDS = 1024, 1 << 16, 24, 12
 MIX, ADD = 0.1, 0.1
@@ -75,7 +75,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 yield from tally.add(*np.unique(with_ends(rows, h)[1], return_counts=True))
         yield from tally.rest()
 
-    return texts.mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return texts.transform(mapped, run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def core_bigrams(texts: DataFrame, core: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def core_bigrams(texts: DataFrame, core: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(flat[full])], names=["place", "n"])
 
-    found = texts.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # core x core cells at most
+    found = texts.transform(mapped, run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # core x core cells at most
     table = np.zeros((k + 1) * k, np.int64)
     table[found.column("place").to_numpy()] = found.column("n").to_numpy()
     return table.reshape(k + 1, k)
@@ -217,8 +217,8 @@ def place_words(texts: DataFrame, core: Lookup, classes: int, pull: np.ndarray)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(cells[d, c])], names=["name", "class", "context", "n"])
 
     word = F.shiftright("name", 8)
-    dealt = texts.mapInArrow(count, "name long, n long").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), word)
-    return dealt.sortWithinPartitions("name").mapInArrow(choose, "name long, class int, context int, n long")
+    dealt = texts.transform(mapped, count, "name long, n long").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), word)
+    return dealt.sortWithinPartitions("name").transform(mapped, choose, "name long, class int, context int, n long")
 
 
 @dataclass
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: BrownModel, id_col="doc_id", text_col="text")
                     times = np.diff(np.append(first, len(order)))
                     yield pa.RecordBatch.from_arrays([pa.array(own[t[first]]), pa.nulls(r, b.column(1).type), pa.array(w[first].view(np.int64)), pa.array(c[first].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(zero.astype(np.int32)), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
 
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).transform(mapped, run, schema)
     full = rows.join(model.words, "name", "left")
     smooth = float(model.total + model.distinct + 1)
     n = F.coalesce("n", F.lit(0))

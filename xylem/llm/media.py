@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import mapped, small_batches
 
 WINDOW, STEP, RATE, FAN = 576, 288, 8000, 3
 BANDS = ((2, 48), (48, 144), (144, 289))
@@ -92,7 +92,7 @@ def wav_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids[i : i + 256], *arrays], names=[id_col, "n_bytes", "media", "payload_sha256", "payload_bytes", "tail_crc32", "n_frames", "times", "codes"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).transform(mapped, run, schema)
 
 
 def op7_media_wav(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _U, blocks, cut_words, hash_spans, hashed_words, mix, settle, small_batches, text_bytes
+from .common import _U, blocks, cut_words, hash_spans, hashed_words, mapped, mix, settle, small_batches, text_bytes
 
 WIDTH, BANDS, LEAST, LIKENESS = 5, 24, 3, 0.8
 HOT, SLOTS = 64, 16
@@ -120,7 +120,7 @@ def sketch_rows(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + k], b.column(1)[i : i + k], pa.array(n), listed], names=["id", "node", "n", "sketches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.xxhash64(text, F.length(text)), text).mapInArrow(run, f"id {kind}, node long, n long, sketches array<long>")
+    return docs.select(F.col(id_col), F.xxhash64(text, F.length(text)), text).transform(mapped, run, f"id {kind}, node long, n long, sketches array<long>")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
             yield b.filter(hit)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    near = docs.select(F.xxhash64(text, F.length(text)).alias("node"), text.alias("text")).mapInArrow(run, "node long, text string")
+    near = docs.select(F.xxhash64(text, F.length(text)).alias("node"), text.alias("text")).transform(mapped, run, "node long, text string")
     return near.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
@@ -162,7 +162,7 @@ def verify(pairs: DataFrame, texts: DataFrame, wanted: float = LIKENESS) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("_tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").transform(mapped, run, "a long, b long")
 
 
 def _union_find(batches, most: int = 1 << 20):
@@ -193,7 +193,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """Rows (node, root) of the linked nodes; root is the least node of the component.  Raises if `most` rounds are not enough."""
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most):
-        local = settle(edges.mapInArrow(_union_find, "node long, root long"), "components")
+        local = settle(edges.transform(mapped, _union_find, "node long, root long"), "components")
         per = settle(local.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")), "components")
         if per.where("root <> other").isEmpty():
             return per.select("node", "root")
@@ -269,8 +269,8 @@ def run_evidence(texts: DataFrame, nodes: DataFrame, hot: int = HOT, slots: int
             yield from tell(*held, np.zeros(len(held[0]), bool))
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.join(nodes, "node").select("node", "text", "group", "rest").mapInArrow(list_runs, "run long, node long, group long, rest boolean")
-    found = settle(runs.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(judge, "a long, b long, slot int, n long"), "run-evidence")
+    runs = texts.join(nodes, "node").select("node", "text", "group", "rest").transform(mapped, list_runs, "run long, node long, group long, rest boolean")
+    found = settle(runs.repartition(parts, "run").sortWithinPartitions("run").transform(mapped, judge, "a long, b long, slot int, n long"), "run-evidence")
     cold = found.where("slot < 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
     hot_counts = found.where("slot >= 0").groupBy(F.col("a").alias("node")).agg(F.array(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)) for k in range(slots)]).alias("hot"))
     return cold, hot_counts

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, hashed_words, mix, row_key, small_batches
+from .common import _U, hashed_words, mapped, mix, row_key, small_batches
 
 WINDOW = 50
 CAPS = (2, 3, 4, 5)
@@ -152,7 +152,7 @@ def list_anchors(docs: DataFrame) -> DataFrame:
             several = (np.maximum.reduceat(doc, np.flatnonzero(new)) > np.minimum.reduceat(doc, np.flatnonzero(new)))[group]
             yield _rows(g, doc, tag, np.where(several, np.where(new, 1, 2), 0))
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.transform(mapped, run, _ROW)
 
 
 def _grouped(rows: DataFrame, judge, schema: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _grouped(rows: DataFrame, judge, schema: str) -> DataFrame:
         if held is not None and len(held[0]):
             yield from judge(*held)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.transform(mapped, run, schema)
 
 
 def _shared(name, doc, tag, state):
@@ -235,7 +235,7 @@ def name_windows(docs: DataFrame) -> DataFrame:
             # of the least document one row tells the others; repeats inside it stay open, as they need the answer too
             yield _rows(np.where(settled, _U(0), w), doc, place, np.where(settled, 2, 0))
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.transform(mapped, run, _ROW)
 
 
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
     whole = dealt.join(starts, ["id", "tag"], "left").select(F.when(F.col("tag") < 1 << 31, F.col("id")).alias("id"), "text", "starts")
-    return whole.mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    return whole.transform(mapped, run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
 def op4_recompression(spark, sf_dir: str) -> DataFrame:
