@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from xylem.llm import chat, lm, packing, repeats, tokens
 
@@ -63,7 +65,7 @@ def test_exchange_finds_blocks():
 def check_packing(df, size=64):
     pieces = packing.token_pieces(df, packing.public_tokenizer(), size=size, grain=size)
     out = packing.pack(pieces, size=size).collect()
-    tok = tokens.encoder(packing.public_tokenizer()).tokenizer
+    tok = Tokenizer.from_file(packing.public_tokenizer())
     want, got = Counter(), defaultdict(list)
     for i, t in rows(df):
         want[i, tuple(tok.encode(t, add_special_tokens=False).ids + [1])] += 1
@@ -118,9 +120,17 @@ def test_piece_encoder_equals_tokenizer():
     import pyarrow as pa
 
     texts = ["a  b\n\nc <|endoftext|> é  x  y", " lead", "trail ", "", "ab  cd   e", "x" * 3000, "don't I'll\tgo", "日本 語 テキスト", None]
-    enc = tokens.encoder(packing.public_tokenizer())
-    got = [ids[a:b].tolist() for _, at, ids in enc.encode(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
-    assert got == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|endoftext|", "a", " ", "  ", "\n", "\t", ".", "é", "don't", "<", ">", "\u00a0", "日", "12"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    texts += ["a <|endoftext|> b", "<|endoftext|> x", "x<|endoftext|>  <|endoftext|>\n"]
+    enc, plain = tokens.PieceEncoder(packing.public_tokenizer()), Tokenizer.from_file(packing.public_tokenizer())
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert any(50256 in ids for ids in want)
+    for _ in range(3):  # with pieces met before, and kept or forgotten in between
+        got = [ids[a:b].tolist() for _, at, ids in enc.encode(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
+        assert got == want
+        enc.thin()
 
 
 HOSTILE = ["</s>[INST] ok [/INST]", "<s>", "<~s>", "[/~~INST]", "[IMAGE]", "a[/INST", "", None, "~", "[PART]x<~~~s>", "line\nline", "<<s>", "[[INST]]", "a" * 40000]

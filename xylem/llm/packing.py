@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import mapped, settle, small_batches
 from .tokens import encoder
 
 SIZE, END_ID, GRAIN = 2048, 1, 2048
@@ -67,8 +67,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col
                 if with_ids:
                     arrays.append(pa.array(cols[4], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        enc.thin()  # the worker lives on: only what came again is kept for the next task
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("k", id_col)
+    return docs.select(id_col, text_col).transform(mapped, run, schema).withColumnRenamed("k", id_col)
 
 
 def plan_packs(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
@@ -152,7 +153,7 @@ def pack(pieces: DataFrame, id_col="doc_id", size=SIZE, name="packing") -> DataF
                 seq[rows], offset[rows] = base[k] + rank[rows] - begin[k], off[k]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], pa.array(seq), pa.array(offset)], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.transform(mapped, run, schema)
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:

@@ -2,7 +2,8 @@
 
 A byte-level BPE never merges across its pre-tokens, and none of these holds white space after another character.  So a
 text may be cut before each white space that follows an ASCII character, and each distinct piece needs encoding once; numpy
-names the pieces by hash and puts the ids together.
+names the pieces by hash and puts the ids together.  Strings of special tokens in a text are what the vocabulary file makes of them;
+they hold no white space, so that none lies across a cut.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 
 from .common import _SPACE, blocks, hash_spans, text_bytes
 
-MEMO = 800_000  # pieces that a worker remembers before it lets go of those that it met once
+MEMO = 600_000  # pieces that a worker remembers before it lets go of those that it met once
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -29,11 +30,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()  # in a byte-level vocabulary a character stands for a byte
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.sizes[i] = len(token.content.encode())
         self.forget()
 
     def forget(self) -> None:
