@@ -3,11 +3,15 @@
 A table of labels tells the domain of some documents.  A classifier learned from a bounded sample of them (`sample_rows`) gives every
 document a posterior over the domains.  Nonnegative rates r, one per document, then solve
 
-    least squares over domains k of (sum_d n_d p_dk r_d - target_k)^2 / have_k,   low <= r_d <= high
-
-with n_d the document's words and have_k what the domain holds at rate 1.  Projected gradient: a step moves r_d by
-p_d . g, with g one number per domain, and clips.  So a rate is a function of p_d and of the steps so far, and an iteration is one distributed
-sum over a table of (n, p) rows; nothing per document is kept on the driver or written again.  A document of rate r stands
+    least squares over domains k of (sum_d n_d p_dk r_d - target_k)^2 / have_k + small sum_d n_d (r_d - start)^2,   low <= r_d <= high
+
+with n_d the document's words and have_k what the domain holds at rate 1; `small` only settles which of many solutions is taken, the one
+nearest to the start.  Projected gradient: a step moves r_d by p_d . g, with g one number per domain.  The steps so far add up to mu and
+the sum is projected, r_d = clip(start - p_d . mu), which loses nothing at the solution and keeps a rate a function of p_d and k numbers;
+g is the gradient in the metric of the documents whose rate is not at a bound (k x k numbers), so that few steps are needed.
+A step is one distributed sum over a table of (n, p) rows for several step lengths at once, of which the best by the dual objective is taken.
+It ends when the gradient is within `tolerance` of the targets and raises if `steps` are not enough.  Targets that no rates in the bounds
+reach end at the least squares; `missed` of the result tells by how much.  A document of rate r stands
 floor(r + u) times, u a uniform hash of its key.
 
 Nulls: a null text is empty; its posterior is the prior.  Labels of unknown ids, with null fields or repeated, are ignored
@@ -24,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, hashed_words, mix, row_key, settle, small_batches
+from .common import _U, hashed_words, mapped, mix, row_key, settle, small_batches
 
-SAMPLE_ROWS, FEATURES_LOG, STEPS = 4000, 16, 40
+SAMPLE_ROWS, FEATURES_LOG, STEPS, SMALL, TOLERANCE = 4000, 16, 60, 1e-5, 1e-3
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 _SHAPE = 4
@@ -70,7 +74,7 @@ class Classifier:
         return e / e.sum(1, keepdims=True)
 
 
-def learn(texts: list[str], domains: np.ndarray, k: int = len(DOMAINS), rounds: int = 150, decay: float = 1e-4) -> Classifier:
+def learn(texts: list[str], domains: np.ndarray, k: int = len(DOMAINS), rounds: int = 150, decay: float = 1e-5) -> Classifier:
     """Multinomial logistic regression on word presence (scaled by a text's root of different words) and shape, by Adam."""
     size = 1 << FEATURES_LOG
     model = Classifier(np.zeros((size, k)), np.zeros((_SHAPE, k)), np.zeros(k))
@@ -114,24 +118,22 @@ def learn(texts: list[str], domains: np.ndarray, k: int = len(DOMAINS), rounds:
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     known = labels.select(F.col("doc_id").alias("_id"), label_domain().alias("domain")).where(F.col("domain").isNotNull() & F.col("_id").isNotNull())
     total = known.count()
-    drawn = known.where(F.pmod(F.xxhash64("_id", F.lit(31)), F.lit(1 << 30)) < int(sample_rows / max(total, sample_rows) * (1 << 30))).limit(2 * sample_rows)
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(drawn), "_id").limit(2 * sample_rows).collect()
+    drawn = known.where(F.pmod(F.xxhash64("_id", F.lit(31)), F.lit(1 << 30)) < int(sample_rows / max(total, sample_rows) * (1 << 30)))
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(drawn), "_id").orderBy(F.xxhash64("_id", "t"), "domain").limit(2 * sample_rows).collect()
     return learn([r["t"] for r in found], np.array([r["domain"] for r in found], np.int64))
 
 
 @dataclass
 class Mix:
-    classifier: Classifier
-    steps: list[np.ndarray]
+    classifier: Classifier | None
+    mu: np.ndarray  # the steps' sum, one number per domain
     low: float
     high: float
     start: float = 1.0
+    missed: np.ndarray | None = None  # (delivered - target) / target of each domain
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        r = np.full(len(p), min(max(self.start, self.low), self.high))
-        for g in self.steps:
-            r = np.clip(r - p @ g, self.low, self.high)
-        return r
+        return np.clip(self.start - p @ self.mu, self.low, self.high)
 
 
 def posterior_rows(docs: DataFrame, classifier: Classifier, id_col: str, text_col: str) -> DataFrame:
@@ -148,47 +150,62 @@ def posterior_rows(docs: DataFrame, classifier: Classifier, id_col: str, text_co
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * p.shape[1]), pa.array(p.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + k], b.column(1)[i : i + k], pa.array(n), listed], names=["id", "key", "n", "p"])
 
-    return docs.select(F.col(id_col), row_key(id_col, text_col), F.col(text_col)).mapInArrow(run, f"id {kind}, key long, n long, p array<double>")
+    return docs.select(F.col(id_col), row_key(id_col, text_col), F.col(text_col)).transform(mapped, run, f"id {kind}, key long, n long, p array<double>")
 
 
 def _matrix(column, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def fit_rates(rows: DataFrame, targets_of, classifier: Classifier, k: int, low: float, high: float, steps: int = STEPS) -> Mix:
+def _sums(n: np.ndarray, p: np.ndarray, mix: Mix) -> np.ndarray:
+    """Of rows (n, p): the dual objective without its target, words by domain, their change with mu (k x k)."""
+    z = p @ mix.mu
+    first, last = mix.start - mix.high, mix.start - mix.low  # below the first the rate is high, above the last low
+    inner = np.clip(z, first, last)
+    area = mix.start * inner - inner**2 / 2 + np.where(z < first, mix.high, mix.low) * (z - inner)
+    free = n * ((z > first) & (z < last))
+    return np.concatenate([[-(n @ area)], (n * mix.rates(p)) @ p, ((p * free[:, None]).T @ p).reshape(-1)])
+
+
+def fit_rates(rows: DataFrame, targets_of, classifier: Classifier, k: int, low: float, high: float, steps: int = STEPS, small: float = SMALL, tolerance: float = TOLERANCE) -> Mix:
     """Projected gradient on rows (n, p); targets_of(have) gives the target words of each domain."""
-    model = Mix(classifier, [], low, high)
+    start = min(max(1.0, low), high)
 
-    def sums(second: bool) -> np.ndarray:
-        frozen = Mix(None, list(model.steps), low, high)
+    def sums(places: list[np.ndarray]) -> np.ndarray:
+        each = [Mix(None, mu, low, high, start) for mu in places]
 
         def run(batches):
-            total = np.zeros(k + k * k)
+            total = np.zeros((len(each), 1 + k + k * k))
+            have = np.zeros(k)
             for b in batches:
                 n, p = b.column(0).to_numpy().astype(float), _matrix(b.column(1), k)
-                total[:k] += (n * frozen.rates(p)) @ p
-                if second:
-                    total[k:] += ((p * n[:, None]).T @ p).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
-
-        found = rows.select("n", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k + k * k)
-        for r in found:
+                have += n @ p
+                for t, m in zip(total, each, strict=True):
+                    t += _sums(n, p, m)
+            flat = np.concatenate([have, total.reshape(-1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "x"])
+
+        out = np.zeros(k + len(each) * (1 + k + k * k))
+        for r in rows.select("n", "p").transform(mapped, run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             out[r["i"]] = r["x"]
         return out
 
-    first = sums(True)
-    cross = first[k:].reshape(k, k)
-    have = np.maximum(cross.sum(1), 1e-9)
-    targets = targets_of(have)
-    step = 1 / max(np.linalg.eigvalsh(cross / np.sqrt(np.outer(have, have))).max(), 1e-9)
-    now = first[:k]
+    first = sums([np.zeros(k)])
+    have = np.maximum(first[:k], 1e-9)
+    targets = np.asarray(targets_of(have), float)
+    mu, now = np.zeros(k), first[k:]
+    dual = lambda mu, t: t[0] + targets @ mu + small / 2 * have @ mu**2
     for _ in range(steps):
-        model.steps.append(step * (now - targets) / have)
-        before, now = now, sums(False)[:k]
-        if np.abs(now - before).max() <= 1e-4 * have.sum():
-            break
-    return model
+        words, metric = now[1 : k + 1], now[k + 1 :].reshape(k, k)
+        gradient = words - targets - small * have * mu
+        if (np.abs(gradient) <= tolerance * np.maximum(targets, 1e-6 * have.sum())).all():
+            return Mix(classifier, mu, low, high, start, (words - targets) / np.maximum(targets, 1e-9))
+        g = np.linalg.solve(metric + np.diag(small * have), gradient)
+        lengths = [mu + g * 4.0**-i for i in range(8)]
+        found = sums(lengths)[k:].reshape(len(lengths), -1)
+        best = min(range(len(lengths)), key=lambda i: dual(lengths[i], found[i]))
+        mu, now = lengths[best], found[best]
+    raise RuntimeError(f"rates have not settled after {steps} steps")
 
 
 def weigh(weights: dict[str, float], total: str | float = "keep"):
@@ -217,14 +234,14 @@ def _copies(rates: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def rate_rows(rows: DataFrame, model: Mix) -> DataFrame:
     """Rows (id, n, p, rate, copies)."""
     k = len(DOMAINS)
-    small = Mix(None, model.steps, model.low, model.high)
+    light = Mix(None, model.mu, model.low, model.high, model.start)
 
     def run(batches):
         for b in batches:
-            r = small.rates(_matrix(b.column(3), k))
+            r = light.rates(_matrix(b.column(3), k))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(r), pa.array(_copies(r, b.column(1).to_numpy()))], names=["id", "n", "p", "rate", "copies"])
 
-    return rows.select("id", "key", "n", "p").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, p array<double>, rate double, copies long")
+    return rows.select("id", "key", "n", "p").transform(mapped, run, f"id {rows.schema['id'].dataType.simpleString()}, n long, p array<double>, rate double, copies long")
 
 
 def apply_mix(docs: DataFrame, model: Mix, id_col="doc_id", text_col="text") -> DataFrame:
@@ -245,7 +262,7 @@ def apply_mix(docs: DataFrame, model: Mix, id_col="doc_id", text_col="text") ->
             pick = pa.array(np.repeat(np.arange(b.num_rows), times))
             yield pa.RecordBatch.from_arrays([b.column(i).take(pick) for i in range(n)], names=names)
 
-    out = docs.select(*[F.col(c).alias(x) for c, x in zip(docs.columns, names, strict=True)], row_key(id_col, text_col).alias("key")).mapInArrow(run, schema)
+    out = docs.select(*[F.col(c).alias(x) for c, x in zip(docs.columns, names, strict=True)], row_key(id_col, text_col).alias("key")).transform(mapped, run, schema)
     return out.toDF(*docs.columns)
 
 
