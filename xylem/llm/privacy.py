@@ -1,23 +1,31 @@
 r"""Personal data: patterns, and the terms that reveal what they protect.
 
-Base spans come from four patterns (email, ip, card, phone), leftmost and non-overlapping for each kind.  Then information theory
-adds the words that give an entity away.  Over N documents, with n(e), n(t), n(e,t) those that hold entity e, term t, both:
+Base spans come from four patterns (email, ip, card, phone), leftmost and non-overlapping for each kind.  Secrets (keys, tokens) join them as
+protected entities: runs of 20 letters, digits and +/=_- or more that switch between letters and digits at least every eighth character,
+which words and numbers do not.  Then information theory adds the words that give an entity away.  Over N documents,
+with n(e), n(t), n(e,t) those that hold entity e, term t, both:
 
     information of e:  IC(e) = log N/n(e)
     disclosure of e by t:  PMI(e;t) = log N n(e,t) / (n(e) n(t)),  as a share of IC(e)
 
 In a document with e, a term whose share reaches `remove` is removed, one that reaches `generalise` is replaced by its
 class.  Counts cover all documents, and any entity that not all of them hold takes part, however many do.  A repeated text
-counts once for each of its rows in N, n(e), n(t) and n(e,t).
-
-Evidence must repeat.  The first text with e and t makes them a pair; the others are the test.  With x different texts that
-hold both, x - 1 of the other n holders of t hold e, and by chance each does so with probability q = (n(e) - 1) / (N - 1).
-The chance of as many is at most exp(-n KL((x-1)/n || q)); it must not exceed `alpha` over the number of terms met beside e.
-
-Plan: one pass marks the documents that hold an entity and keeps each of their texts once, with its number.  Entities of two
-texts or more (one text is no repetition) are counted with the terms beside them, added up in each task before the shuffle,
-so that a hot entity costs its documents and its different terms.  Terms that stand beside entities too often to tell one are
-left out before the rest are counted over all documents: a Bloom filter of fixed size skips words that cannot be candidates, and the join with the candidates decides, so a full filter costs time only.
+counts once for each of its rows in N, n(e), n(t) and n(e,t).  Two kinds of pairs are judged:
+
+* beside: t stands within `BESIDE` words of e.  n(e,t) counts the documents where it does.  One text is enough, so entities that stand
+  once are protected too.  The chance that t, in as many texts as n(t) stands for, falls to e as often is at most exp(-m KL(r||q)), with r =
+  n(e,t)/n(t), q = n(e)/N, and m the texts with both over r.
+* anywhere in a document with e, for entities of two texts or more.  Here evidence must repeat: the first text with e and t makes them a
+  pair, the others are the test.  With x different texts that hold both, x - 1 of the other n holders of t hold e, by chance
+  each with probability q = (n(e) - 1) / (N - 1): at most exp(-n KL((x-1)/n || q)).
+
+Either chance must not exceed `alpha` over the number of terms so met with e.  So a hot entity is not blamed for the rare words around it, and in a
+table of some hundred rows, where one meeting proves little, nothing is added for entities that stand once.
+
+Plan: one pass marks the documents that hold an entity and keeps each of their texts once, with its number and spans.
+Pairs are added up in each task before the shuffle, so that a hot entity costs its documents and its different terms.  Terms that stand
+in too many of the marked texts to tell an entity are left out before the rest are counted over all documents: a Bloom filter
+of fixed size skips words that cannot be candidates, and the join with the candidates decides, so a full filter costs time only.
 Terms go back to their texts by (entity, term).  Joins on entities and terms are salted.
 
 Nulls: a null text is empty; rows with null id are treated like others.  Repeated rows get equal values, each in its own row.
@@ -33,14 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, Tally, hash_spans, hashed_words, mix, row_key, settle, small_batches, text_bytes
+from .common import _U, Tally, hash_spans, hashed_words, mapped, mix, row_key, settle, small_batches, text_bytes
 
-REMOVE, GENERALISE, ALPHA, SALTS = 0.95, 0.8, 0.01, 16
+REMOVE, GENERALISE, ALPHA, BESIDE, SALTS = 0.95, 0.8, 0.05, 5, 16
 BLOOM_BITS = 24
 # The kinds and their patterns.
-KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
+KINDS = ("email", "ip", "card", "phone", "secret", "generalise", "remove")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -72,12 +81,32 @@ def _emails(text: str):
             at = text.find("@", at + 1)
 
 
+def _ips(text: str):
+    """Dotted quads from left to right, found from their first dots: the digits before a dot belong to it alone."""
+    end, at = 0, text.find(".")
+    while at >= 0:
+        start = at
+        while start > end and "0" <= text[start - 1] <= "9":
+            start -= 1
+        if start < at and (m := _IP.match(text, start)):
+            yield m
+            end = m.end()
+            at = text.find(".", end)
+        else:
+            at = text.find(".", at + 1)
+
+
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) by kind, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _ips(text) if all(map(_octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -86,8 +115,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of secrets that do not touch base spans."""
+    out = []
+    if not _DIGIT.search(text):
+        return out
+    for m in _SECRET.finditer(text):
+        kinds = [c.isdigit() for c in m[0] if c.isalnum()]
+        switches = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+        if 8 * switches >= len(kinds) and all(b <= m.start() or m.end() <= a for _, a, b in base):
+            out.append(("secret", m.start(), m.end()))
+    return out
+
+
 def entity_name(kind: str, value: str) -> str:
-    return kind + ":" + (value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value))
+    return kind + ":" + (value.lower() if kind in ("email", "ip") else value if kind == "secret" else re.sub("[^0-9]", "", value))
 
 
 def _terms(text: str, spans) -> set[str]:
@@ -114,16 +156,16 @@ def _structs(found: list) -> pa.Array:
 
 
 def mark_base(docs: DataFrame, text_col="text", name="base_spans") -> DataFrame:
-    """Adds the base spans to each row."""
+    """Adds the base spans and the secrets to each row."""
     small_batches(docs.sparkSession)
     n, at = len(docs.columns), docs.columns.index(text_col)
     schema = docs.withColumn(name, F.lit(None).cast(_SPANS)).schema
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], _structs([base_spans(t or "") for t in b.column(at).to_pylist()])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], _structs([(x := base_spans(t or "")) + secret_spans(t or "", x) for t in b.column(at).to_pylist()])], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
 
 
 def _names_of_row(text: str, spans, entity_filter: Bloom | None, term_filter: Bloom | None, with_terms=True) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +186,7 @@ def _entities(texts: DataFrame) -> DataFrame:
             found = [_names_of_row(t, spans, None, None, False)[0] for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["_key", "entities"])
 
-    return texts.select("_key", "_text", "_base").mapInArrow(run, "_key long, entities array<long>").select("_key", F.explode("entities").alias("entity"))
+    return texts.select("_key", "_text", "_base").transform(mapped, run, "_key long, entities array<long>").select("_key", F.explode("entities").alias("entity"))
 
 
 def _pairs(e: np.ndarray, t: np.ndarray, most: int = 1 << 20):
@@ -155,8 +197,25 @@ def _pairs(e: np.ndarray, t: np.ndarray, most: int = 1 << 20):
         yield np.repeat(part, len(t)), np.tile(t, len(part))
 
 
+def _beside(text: str, spans, width: int = BESIDE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the entities and terms of a text that stand within `width` words of each other, each pair once."""
+    spans = sorted((s["start"], s["end"], s["kind"]) for s in spans)
+    free = [(a, t) for w, a, _ in _free_words(text, [(k, a, b) for a, b, k in spans]) if len(t := w.strip(_TRIM)) > 1]
+    if not free:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names = np.array(term_names([t for _, t in free]), np.int64)
+    at = np.searchsorted(np.array([a for a, _ in free]), [a for a, _, _ in spans])
+    own = np.array(term_names([entity_name(k, text[a:b]) for a, b, k in spans]), np.int64)
+    e, t = (np.concatenate(x) for x in zip(*[(np.full(len(near), o), near) for o, i in zip(own, at, strict=True) for near in [names[max(0, i - width) : i + width]]], strict=True))
+    order = np.lexsort((t, e))
+    e, t = e[order], t[order]
+    first = np.concatenate([[True], (e[1:] != e[:-1]) | (t[1:] != t[:-1])])[: len(e)]
+    return e[first], t[first]
+
+
 def count_pairs(texts: DataFrame, entity_filter: Bloom) -> DataFrame:
-    """Rows (entity, term, texts, n_et): how many texts hold both, and how many rows.  A task adds up what it meets and gives out
+    """Rows (entity, term, near, texts, n_et): how many texts hold both, and how many rows; near: beside each other, for all entities, else
+    anywhere in the text, for those that pass the filter.  A task adds up what it meets and gives out
     early what passes a number of pairs, which bounds its memory."""
     sent = texts.sparkSession.sparkContext.broadcast(entity_filter)
     most = 1 << 20
@@ -165,20 +224,21 @@ def count_pairs(texts: DataFrame, entity_filter: Bloom) -> DataFrame:
         held, size = [], 0
 
         def merged():
-            e, t, x, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((t, e))
-            e, t, x, n = e[order], t[order], x[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (t[1:] != t[:-1])]))
-            return e[first], t[first], np.add.reduceat(x, first), np.add.reduceat(n, first)
+            e, t, near, x, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((near, t, e))
+            e, t, near, x, n = e[order], t[order], near[order], x[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (t[1:] != t[:-1]) | (near[1:] != near[:-1])]))
+            return e[first], t[first], near[first], np.add.reduceat(x, first), np.add.reduceat(n, first)
 
         def out(columns):
             for i in range(0, len(columns[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["entity", "term", "texts", "n_et"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["entity", "term", "near", "texts", "n_et"])
 
         for b in batches:
             for text, spans, copies in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for e, t in _pairs(*_names_of_row(text, spans, sent.value, None)):
-                    held.append((e, t, np.ones(len(e), np.int64), np.full(len(e), copies, np.int64)))
+                kinds = [(1, *_beside(text, spans)), *((0, e, t) for e, t in _pairs(*_names_of_row(text, spans, sent.value, None)))]
+                for near, e, t in kinds:
+                    held.append((e, t, np.full(len(e), near), np.ones(len(e), np.int64), np.full(len(e), copies, np.int64)))
                     size += len(e)
                     if size > 2 * most:
                         held = [merged()]
@@ -189,8 +249,8 @@ def count_pairs(texts: DataFrame, entity_filter: Bloom) -> DataFrame:
         if size:
             yield from out(merged())
 
-    found = texts.select("_text", "_base", "copies").mapInArrow(run, "entity long, term long, texts long, n_et long")
-    return found.groupBy("entity", "term").agg(F.sum("texts").alias("texts"), F.sum("n_et").alias("n_et"))
+    found = texts.select("_text", "_base", "copies").transform(mapped, run, "entity long, term long, near long, texts long, n_et long")
+    return found.groupBy("entity", "term", "near").agg(F.sum("texts").alias("texts"), F.sum("n_et").alias("n_et"))
 
 
 def _rows_of_pairs(texts: DataFrame, entity_filter: Bloom, term_filter: Bloom) -> DataFrame:
@@ -204,7 +264,7 @@ def _rows_of_pairs(texts: DataFrame, entity_filter: Bloom, term_filter: Bloom) -
                     if len(e):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), key, np.int64)), pa.array(e), pa.array(t)], names=["_key", "entity", "term"])
 
-    return texts.select("_key", "_text", "_base").mapInArrow(run, "_key long, entity long, term long")
+    return texts.select("_key", "_text", "_base").transform(mapped, run, "_key long, entity long, term long")
 
 
 def _join_salted(rows: DataFrame, by: str, few: DataFrame, on: list[str]) -> DataFrame:
@@ -250,7 +310,7 @@ def build_bloom(names: DataFrame) -> Bloom:
         for i in range(0, len(full), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(full[i : i + (1 << 16)]), pa.array(words[full[i : i + (1 << 16)]])], names=["place", "bits"])
 
-    found = names.mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = names.transform(mapped, run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros((1 << BLOOM_BITS) // 64, np.int64)
     words[found.column("place").to_numpy()] = found.column("bits").to_numpy()
     return Bloom(words.view(np.uint8))
@@ -268,7 +328,7 @@ def count_beside(texts: DataFrame, term_filter: Bloom) -> DataFrame:
                 found.append(t[sent.value.test(t)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["term"])
 
-    return texts.select("_text", "_base").mapInArrow(run, "term long").groupBy("term").agg(F.count("*").alias("n_p"))
+    return texts.select("_text", "_base").transform(mapped, run, "term long").groupBy("term").agg(F.count("*").alias("n_p"))
 
 
 def count_terms(docs: DataFrame, text_col: str, bloom: Bloom) -> DataFrame:
@@ -290,7 +350,7 @@ def count_terms(docs: DataFrame, text_col: str, bloom: Bloom) -> DataFrame:
                     yield from tally.add(found[np.concatenate([[True], (row[1:] != row[:-1]) | (found[1:] != found[:-1])])])
         yield from tally.rest()
 
-    return docs.select(text_col).mapInArrow(run, "name long, n long").groupBy(F.col("name").alias("term")).agg(F.sum("n").alias("n_t"))
+    return docs.select(text_col).transform(mapped, run, "name long, n long").groupBy(F.col("name").alias("term")).agg(F.sum("n").alias("n_t"))
 
 
 _TRIM_BYTES = np.zeros(256, bool)
@@ -324,15 +384,17 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col="text", general
     total = docs.count()
     held = _entities(texts).join(texts.select("_key", "copies"), "_key")
     known = held.groupBy("entity").agg(F.count("*").alias("_texts"), F.sum("copies").alias("n_e"))
-    known = settle(known.where((F.col("_texts") > 1) & (F.col("n_e") < total)).select("entity", "n_e"), "private-entities")
-    pairs = settle(count_pairs(texts, build_bloom(known.select("entity"))), "private-pairs")
-    known = known.join(pairs.groupBy("entity").agg(F.count("*").alias("terms")), "entity")
-    x, q = F.col("texts") - 1, (F.col("n_e") - 1) / F.lit(float(max(total - 1, 1)))
+    known = settle(known.where(F.col("n_e") < total), "private-entities")
+    pairs = settle(count_pairs(texts, build_bloom(known.where("_texts > 1").select("entity"))), "private-pairs")
+    known = known.drop("_texts").join(pairs.groupBy("entity", "near").agg(F.count("*").alias("terms")), "entity")
+    near, log_n = F.col("near") == 1, F.lit(float(total))
     most = F.log(F.lit(alpha) / F.col("terms"))
-    share = lambda n_t: F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * n_t)) / F.log(F.lit(float(total)) / F.col("n_e"))
-    fits = lambda n_t: (log_chance(x, n_t - F.col("n_et") + x, q) <= most) & (share(n_t) >= generalise)
+    share = lambda n_t: F.log(log_n * F.col("n_et") / (F.col("n_e") * n_t)) / F.log(log_n / F.col("n_e"))
+    repeated = lambda n_t: log_chance(F.col("texts") - 1, n_t - F.col("n_et") + F.col("texts") - 1, (F.col("n_e") - 1) / F.lit(float(max(total - 1, 1))))
+    beside = lambda n_t: log_chance(F.col("texts"), F.col("texts") * n_t / F.col("n_et"), F.col("n_e") / log_n)
+    fits = lambda n_t: (F.when(near, beside(n_t)).otherwise(repeated(n_t)) <= most + 1e-9) & (share(n_t) >= generalise)
     # both fall with n(t): what fails with fewer than n(t), as n(e,t) and the texts with an entity are, needs no count over all documents
-    both = _join_salted(pairs.where("texts > 1"), "term", known, ["entity"]).where(fits(F.col("n_et")))
+    both = _join_salted(pairs.where(near | (F.col("texts") > 1)), "term", known, ["entity", "near"]).where(fits(F.col("n_et")))
     both = settle(both, "private-terms")
     few = count_beside(texts, build_bloom(both.select("term").distinct()))
     both = settle(_join_salted(both, "entity", few, ["term"]).where(fits(F.greatest("n_p", "n_et"))).drop("n_p"), "private-terms")
@@ -341,7 +403,7 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, text_col="text", general
     counts = count_terms(docs, text_col, build_bloom(both.select("term").distinct()))
     n_t = F.greatest("n_t", "n_et")
     scored = _join_salted(both, "entity", counts, ["term"]).where(fits(n_t))
-    telling = settle(scored.select("entity", "term", share(n_t).alias("share")), "private-telling")
+    telling = settle(scored.groupBy("entity", "term").agg(F.max(share(n_t)).alias("share")), "private-telling")
     rows = _rows_of_pairs(texts, build_bloom(telling.select("entity").distinct()), build_bloom(telling.select("term").distinct()))
     return _join_salted(rows, "_key", telling, ["entity", "term"]).groupBy("_key", "term").agg(F.max("share").alias("share"))
 
@@ -352,30 +414,40 @@ def personal_spans(docs: DataFrame, id_col="doc_id", text_col="text", remove=REM
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)  # names of our own, whatever the columns are called
     keyed = plain.withColumn("_text", F.coalesce(F.col(text_at), F.lit(""))).withColumn("_key", row_key("_text"))
-    marked = mark_base(keyed, "_text", "_base")
-    private = marked.where(F.size("_base") > 0)
-    stored = settle(private.groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"), F.count("*").alias("copies")), "private-texts")
+    marked = mark_base(keyed.select("_key", "_text"), "_text", "_base").where(F.size("_base") > 0)
+    stored = settle(marked.groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"), F.count("*").alias("copies")), "private-texts")
     terms = disclosing_terms(plain, stored, text_at, generalise, alpha)
     listed = terms.groupBy("_key").agg(F.collect_list("term").alias("_terms"), F.collect_list("share").alias("_shares"))
-    joined = private.join(listed, "_key", "left").select(*names, "_base", "_terms", "_shares")
-    n, at = len(names), names.index(text_at)
-    schema = plain.withColumn("base_spans", F.lit(None).cast(_SPANS)).withColumn("spans", F.lit(None).cast(_SPANS)).schema
 
     def run(batches):
         for b in batches:
-            found = []
-            for base, text, hashes, shares in zip(*(b.column(i).to_pylist() for i in (n, at, n + 1, n + 2)), strict=True):
+            first, found = [], []
+            for text, base, hashes, shares in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 spans = [(s["kind"], s["start"], s["end"]) for s in base]
+                first.append([s for s in spans if s[0] != "secret"])
                 if hashes:
                     level = dict(zip(hashes, shares, strict=True))
                     free = [(t, a + w.index(t), a + w.index(t) + len(t)) for w, a, _ in _free_words(text, spans) if len(t := w.strip(_TRIM)) > 1]
                     hashed = term_names([t for t, _, _ in free])
-                    spans += sorted(("remove" if level[h] >= remove else "generalise", a, e) for h, (_, a, e) in zip(hashed, free, strict=True) if h in level)
+                    added = [("remove" if level[h] >= remove else "generalise", a, e) for h, (_, a, e) in zip(hashed, free, strict=True) if h in level]
+                    spans += sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
                 found.append(spans)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n + 1)], _structs(found)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), _structs(first), _structs(found)], names=["_key", "base_spans", "spans"])
+
+    told = stored.join(listed, "_key", "left").select("_key", "_text", "_base", "_terms", "_shares")
+    told = settle(told.transform(mapped, run, f"_key long, base_spans {_SPANS}, spans {_SPANS}"), "private-spans")
+    sent = docs.sparkSession.sparkContext.broadcast(build_bloom(told.select("_key")))
+
+    @F.arrow_udf("boolean")
+    def may_be_private(key: pa.Array) -> pa.Array:
+        return pa.array(sent.value.test(key.to_numpy(zero_copy_only=False)))
 
-    rest = marked.where(F.size("_base") == 0).select(*names, F.col("_base").alias("base_spans"), F.col("_base").alias("spans"))
-    return joined.mapInArrow(run, schema).unionByName(rest).toDF(*docs.columns, "base_spans", "spans")
+    # texts without spans stay where they are, but for those that the filter lets through by chance
+    rows = keyed.select(*names, "_key").withColumn("_hit", may_be_private("_key"))
+    none = F.array().cast(_SPANS)
+    private = rows.where("_hit").join(told, "_key", "left").select(*names, F.coalesce("base_spans", none).alias("base_spans"), F.coalesce("spans", none).alias("spans"))
+    rest = rows.where("NOT _hit").select(*names, none.alias("base_spans"), none.alias("spans"))
+    return private.unionByName(rest).toDF(*docs.columns, "base_spans", "spans")
 
 
 def sanitise(found: DataFrame, text_col="text") -> DataFrame:
@@ -402,7 +474,7 @@ def sanitise(found: DataFrame, text_col="text") -> DataFrame:
             new = pa.array([clean(t, s) for t, s in zip(b.column(at).to_pylist(), b.column(n + 1).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(n)], names=schema.names)
 
-    return plain.mapInArrow(run, schema).toDF(*columns)
+    return plain.transform(mapped, run, schema).toDF(*columns)
 
 
 def _line(spans: str):
