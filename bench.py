@@ -50,7 +50,7 @@ def main() -> None:
         sink = lambda df: df.write.format("noop").mode("overwrite").save()
         sink(QUERIES["path_child"](spark, "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf))  # starts the JVM's code
         took = {n: seconds(lambda n=n: sink(QUERIES[n](spark, sf))) for n in NAMES}
-        docs = Documents(corpora.orders_xml(spark, sf))
+        docs = Documents(corpora.orders_xml(spark, sf), unique_ids=True)
         box = []
         took["store_elements"] = seconds(lambda: box.append(docs.store(f"{tmp}/elements{len(box)}")))
         for name, path in STORED.items():

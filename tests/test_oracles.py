@@ -37,6 +37,6 @@ def test_one_exchange_for_a_path(spark):
     from xylem.engine import Documents
 
     docs = spark.createDataFrame([(1, "<a/>")], "doc_id long, content string")
-    plan = Documents(docs).select("/a/b/c", "window")._jdf.queryExecution().executedPlan().toString()
+    plan = Documents(docs, unique_ids=True).select("/a/b/c", "window")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert corpora.PART_GROUP

@@ -31,6 +31,14 @@ def geography_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit('<region name="'), "r_name", F.lit('">'), F.coalesce("ns", F.lit("")), F.lit("</region>")).alias("content"))
 
 
+def accounts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """<customer key><seg/><order><status/><key/></order>...</customer>; orders by key."""
+    order = F.concat(F.lit("<order><status>"), "o_orderstatus", F.lit("</status><key>"), "o_orderkey", F.lit("</key></order>"))
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", order.alias("x")))), lambda o: o["x"]), "").alias("os"))
+    rows = read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit('<customer key="'), "c_custkey", F.lit('"><seg>'), "c_mktsegment", F.lit("</seg>"), F.coalesce("os", F.lit("")), F.lit("</customer>")).alias("content"))
+
+
 PART_GROUP = 50
 
 

@@ -44,5 +44,5 @@ def well_formed(docs: DataFrame, id_col: str = "doc_id", content_col: str = "con
     """The documents without errors; strict raises MalformedXmlError if there are others."""
     bad = errors(docs, id_col, content_col, skip_misc)
     if strict and (first := bad.limit(1).collect()):
-        raise MalformedXmlError(f"document {first[0][id_col]}: {first[0]['kind']} at byte {first[0]['off']}")
+        raise MalformedXmlError(f"document {getattr(first[0][id_col], 'id', first[0][id_col])}: {first[0]['kind']} at byte {first[0]['off']}")
     return docs.join(bad.select(id_col).distinct(), id_col, "left_anti")

@@ -8,11 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import corpora
-from .engine import Documents
+from .engine import Documents as _Documents
 from .operators import validate
 from .operators.tokens import token_counts
 from .sources.large import large_path
 
+
+def Documents(df: DataFrame, **options) -> _Documents:  # noqa: N802
+    """The corpora have unique ids."""
+    return _Documents(df, unique_ids=True, **options)
+
+
 def _qty() -> Column:
     return F.col("text").cast("double").alias("l_quantity")
 
@@ -122,13 +128,13 @@ def doc_stats(spark, sf):
     return s.select("doc_id", "n_bytes", "n_tokens", F.col("max_depth").cast("long").alias("max_depth"), "has_cdata")
 
 
-def _large_orders(spark: SparkSession, sf: str) -> str:
+def _large_orders(spark: SparkSession, sf: str, content: Column | None = None) -> str:
     """Orders as one document, written to the shared folder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/xylem-checkpoint"
     path = f"{top.rstrip('/')}/large-{uuid.uuid4().hex}"
-    docs = corpora.orders_xml(spark, sf)
-    # one file: the orders follow each other as roots, which the data model allows
-    docs.select("content").coalesce(1).write.option("lineSep", "\n").text(path)
+    docs = corpora.orders_xml(spark, sf).select(F.col("content") if content is None else content)
+    # one file: the orders follow each other as roots, which the data model allows; only the writing is a single task
+    docs.repartition(1).write.option("lineSep", "\n").text(path)
     return path
 
 
@@ -142,6 +148,45 @@ def large_doc_cdata(spark, sf):
     return large_path(spark, _large_orders(spark, sf), "/order/item/price").select(F.col("text").cast("double").alias("l_extendedprice"))
 
 
+def large_doc_stray(spark, sf):
+    """The same with ends of CDATA sections in plain text, and beginnings within sections."""
+    content = F.replace(F.replace("content", F.lit("</qty>"), F.lit(" ]]> </qty>")), F.lit("<![CDATA["), F.lit("<![CDATA[<![CDATA[</x>"))
+    return large_path(spark, _large_orders(spark, sf, content.alias("content")), "/order/item/qty").select(F.regexp_extract("text", r"^(\S+) \]\]> $", 1).cast("double").alias("l_quantity"))
+
+
+def repeated_ids(spark, sf):
+    """Orders whose ids are one of seven, or null: each row is a document of its own."""
+    docs = corpora.orders_xml(spark, sf).withColumn("doc_id", F.expr("nullif(doc_id % 7, 6)"))
+    return _Documents(docs).xpath("/order/item/qty").select("doc_id", "match_no", _qty())
+
+
+def repeated_rows(spark, sf):
+    """Each of these documents stands twice: verdicts and matches do too."""
+    docs = corpora.geography_xml(spark, sf)
+    both = _Documents(docs.unionAll(docs))
+    counts = both.counts("/region/nation/customer").groupBy("doc_id").agg(F.count("*").alias("documents"), F.min("n_matches").alias("n_matches"))
+    return counts.join(both.verdicts().where("status = 'ok'").groupBy("doc_id").agg(F.count("*").alias("sound")), "doc_id")
+
+
+def verdict_kinds(spark, sf):
+    """Orders, some replaced by plain text or damaged, by verdict."""
+    content = F.when(F.col("doc_id") % 9 == 0, "plain text").when(F.col("doc_id") % 9 == 1, F.concat("content", F.lit("</order>"))).otherwise(F.col("content"))
+    docs = Documents(corpora.orders_xml(spark, sf).withColumn("content", content))
+    return docs.verdicts().groupBy("status").agg(F.count("*").alias("n"))
+
+
+def misc_skipped(spark, sf):
+    """With prolog and comments, which are accepted here."""
+    content = F.concat(F.lit('<?xml version="1.0"?><!-- <order> -->'), "content")
+    found = Documents(corpora.orders_xml(spark, sf).withColumn("content", content), skip_misc=True).valid().xpath("/order/item/qty")
+    return found.select(F.col("doc_id").alias("o_orderkey"), _qty())
+
+
+def entities_decoded(spark, sf):
+    rows = corpora.read(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<p>&lt;&amp;amp; "), "p_type", F.lit(" &quot;&apos;&gt;</p>")).alias("content"))
+    return Documents(rows).xpath("/p", entities=True).select(F.col("doc_id").alias("p_partkey"), "text")
+
+
 def join_equals_window(spark, sf):
     """Matches of a predicate path that the two plans do not share; none are expected."""
     docs = Documents(corpora.orders_xml(spark, sf))
@@ -168,6 +213,9 @@ QUERIES = {
     "attr_eq": _orders("/order[@status='F']/item/qty"),
     "attr_ne": _orders("/order[@status!='F']/item/qty"),
     "attr_lt": _parts("/parts/part[@size<'10']"),
+    "attr_gt": _parts("/parts/part[@size>'40']"),
+    "attr_le": _parts("/parts/part[@size<='10']"),
+    "attr_ge": _parts("/parts/part[@size>='40']"),
     "attr_eq_leaf": _parts("/parts/part[@brand='Brand#4']"),
     "attr_prefix_compat": lambda spark, sf: Documents(corpora.parts_xml(spark, sf)).xpath("/parts/part[@brand='Brand#1']", affix_compat=True).select(_key_of_part()),
     "child_eq": _orders("/order/item[flag=R]/qty"),
@@ -184,7 +232,7 @@ QUERIES = {
     "index_then_index": _orders("/order[0]/item[1]/qty[0]"),
     "child_then_index": _orders("/order/item[flag=A]/qty[0]"),
     "two_attr_preds": _orders("/order[@status='F']/item[@no='1']/qty"),
-    "two_child_preds": lambda spark, sf: Documents(corpora.geography_xml(spark, sf)).xpath("/region/nation/customer[bal>0]/bal").select(F.col("text").cast("double").alias("c_acctbal")),
+    "two_child_preds": lambda spark, sf: Documents(corpora.accounts_xml(spark, sf)).xpath("/customer[seg=BUILDING]/order[status=F]/key").select(F.col("text").cast("long").alias("o_orderkey")),
     "position_gt": _orders("/order/item[position()>2]/qty"),
     "last_minus": _orders("/order/item[last()-1]/qty"),
     "last_item": _orders("/order/item[last()]/qty"),
@@ -196,6 +244,12 @@ QUERIES = {
     "doc_stats": doc_stats,
     "large_doc_path": large_doc_path,
     "large_doc_cdata": large_doc_cdata,
+    "large_doc_stray": large_doc_stray,
+    "repeated_ids": repeated_ids,
+    "repeated_rows": repeated_rows,
+    "verdict_kinds": verdict_kinds,
+    "misc_skipped": misc_skipped,
+    "entities_decoded": entities_decoded,
     "join_equals_window": join_equals_window,
 }
 
@@ -232,6 +286,9 @@ ORACLES = {
     "attr_eq": _LINES + " WHERE o_orderstatus = 'F'",
     "attr_ne": _LINES + " WHERE o_orderstatus <> 'F'",
     "attr_lt": "SELECT p_partkey FROM part WHERE p_size < 10",
+    "attr_gt": "SELECT p_partkey FROM part WHERE p_size > 40",
+    "attr_le": "SELECT p_partkey FROM part WHERE p_size <= 10",
+    "attr_ge": "SELECT p_partkey FROM part WHERE p_size >= 40",
     "attr_eq_leaf": "SELECT p_partkey FROM part WHERE p_brand = 'Brand#4'",
     "attr_prefix_compat": "SELECT p_partkey FROM part WHERE starts_with(p_brand, 'Brand#1')",
     "child_eq": _LINES + " WHERE l_returnflag = 'R'",
@@ -248,7 +305,7 @@ ORACLES = {
     "index_then_index": _numbered("i = 1"),
     "child_then_index": _LINES + " WHERE l_returnflag = 'A'",
     "two_attr_preds": _LINES + " WHERE o_orderstatus = 'F' AND l_linenumber = 1",
-    "two_child_preds": "SELECT c_acctbal FROM customer WHERE c_acctbal > 0",
+    "two_child_preds": "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'",
     "position_gt": _numbered("i + 1 > 2"),
     "last_minus": _numbered("i = n - 2"),
     "last_item": _numbered("i = n - 1"),
@@ -265,5 +322,12 @@ ORACLES = {
         FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""",
     "large_doc_path": "SELECT l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "large_doc_cdata": "SELECT l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "large_doc_stray": "SELECT l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "repeated_ids": f"SELECT nullif(o_orderkey % 7, 6) AS doc_id, (i + 1)::BIGINT AS match_no, l_quantity FROM ({_NUMBERED})",
+    "repeated_rows": """SELECT n_regionkey AS doc_id, 2::BIGINT AS documents, count(*) AS n_matches, 2::BIGINT AS sound
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey""",
+    "verdict_kinds": "SELECT CASE o_orderkey % 9 WHEN 0 THEN 'no_tokens' WHEN 1 THEN 'malformed' ELSE 'ok' END AS status, count(*) AS n FROM orders GROUP BY 1",
+    "misc_skipped": _LINES,
+    "entities_decoded": """SELECT p_partkey, '<&amp; ' || p_type || ' "''>' AS text FROM part""",
     "join_equals_window": "SELECT 0::BIGINT AS doc_id, 0::BIGINT AS elem_id WHERE false",
 }

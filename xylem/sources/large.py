@@ -20,14 +20,18 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.decode(F.encode("value", "UTF-8"), "ISO-8859-1").alias("value"))
 
 
-def prefix_sums(rows: DataFrame, **sums: Column) -> DataFrame:
-    """Adds a running sum over the document for each named column, this row included."""
+def prefix_sums(rows: DataFrame, _mark: Column | None = None, **sums: Column) -> DataFrame:
+    """Adds a running sum over the document for each named column, this row included; and `_state`, the last _mark that is not null in the
+    rows before this one, 0 if there is none."""
     in_block, blocks = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
-    totals = rows.groupBy("file", "block").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    before = totals.select("file", "block", *[(F.sum(n).over(blocks) - F.col(n)).alias(f"_before_{n}") for n in sums])
-    inner = rows.withColumns({n: F.sum(c).over(in_block) for n, c in sums.items()})
+    back = (Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_mark", F.lit(None).cast("int") if _mark is None else _mark)
+    totals = rows.groupBy("file", "block").agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("id"))).alias("_mark"))
+    before = totals.select("file", "block", *[(F.sum(n).over(blocks) - F.col(n)).alias(f"_before_{n}") for n in sums], F.last("_mark", ignorenulls=True).over(blocks.rowsBetween(*back)).alias("_before"))
+    inner = rows.withColumns({n: F.sum(c).over(in_block) for n, c in sums.items()} | {"_state": F.last("_mark", ignorenulls=True).over(in_block.rowsBetween(*back))})
     joined = inner.join(before, ["file", "block"])
-    return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop(*[f"_before_{n}" for n in sums])
+    joined = joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums} | {"_state": F.coalesce("_state", "_before", F.lit(0))})
+    return joined.drop("_mark", "_before", *[f"_before_{n}" for n in sums], *(["_state"] if _mark is None else []))
 
 
 def _scanned(spark: SparkSession, path: str) -> DataFrame:
@@ -35,16 +39,17 @@ def _scanned(spark: SparkSession, path: str) -> DataFrame:
     in the document, and a record that is none has the number of the tag whose data it continues (0 before the first)."""
     rows = records(spark, path)
     value = F.col("value")
-    opens = F.startswith(value, F.lit("![CDATA[")).cast("int")
-    marks = opens + F.regexp_count(value, F.lit(r"\]\]>"))
+    opens = F.startswith(value, F.lit("![CDATA["))
+    # a record with `]]>` ends outside whatever was before, one that opens a section inside, and others change nothing
+    mark = F.when(F.contains(value, F.lit("]]>")), 0).when(opens, 1)
     first = (F.col("block") == 0) & (F.col("id") == F.min("id").over(Window.partitionBy("file", "block")))
-    rows = rows.withColumns({"_marks": marks, "_opens": opens, "_first": first})
-    rows = prefix_sums(rows, _scan=F.col("_marks"), _end=F.length(value) + 1)
-    inside = (F.col("_scan") - F.col("_marks") + F.col("_opens")) % 2 == 1
+    rows = rows.withColumns({"_opens": opens, "_first": first})
+    rows = prefix_sums(rows, mark, _end=F.length(value) + 1)
+    inside = F.col("_state") == 1
     piece = F.concat(F.lit("<"), value)
     start_tag = F.regexp_extract(piece, START_TAG, 0)
     kind = F.when(F.startswith(value, F.lit("/")), "close").when(F.endswith(start_tag, F.lit("/>")), "empty").otherwise("open")
-    found = rows.select("file", "block", "id", (F.col("_end") - F.length(value) - 2).alias("off"), kind.alias("kind"), from_bytes(F.regexp_extract(piece, NAME, 1)).alias("name"), "value", "_first", (~inside & ~F.col("_first") & (F.col("_opens") == 0)).alias("live"))
+    found = rows.select("file", "block", "id", (F.col("_end") - F.length(value) - 2).alias("off"), kind.alias("kind"), from_bytes(F.regexp_extract(piece, NAME, 1)).alias("name"), "value", "_first", (~inside & ~F.col("_first") & ~F.col("_opens")).alias("live"))
     sign = F.when(~F.col("live"), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     summed = prefix_sums(found.where(~F.col("_first")).drop("_first"), _depth=sign, tag=F.col("live").cast("int"))
     return summed.withColumn("depth", (F.col("_depth") - (F.col("kind") == "open").cast("int")).cast("int")).drop("_depth")
