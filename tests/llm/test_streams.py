@@ -42,12 +42,59 @@ def test_lm_real(real):
     model, got = check_lm(real)
     held = [r for r in got if not learned(r["doc_id"])]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    words = model.words.toPandas()
+    words = model.counts.toPandas()
+    names = words["name"].to_numpy().view(np.uint64)
+    cls, n = model.classes.of(names), words["n"].to_numpy()
     for context in range(model.transition.shape[0]):  # the words and one unknown have probability 1
-        p = 10 ** model.log10(context, words["class"].to_numpy(), words["n"].to_numpy())
+        p = 10 ** model.log10(context, cls, n)
         assert abs(p.sum() + lm.MIX / (model.total + model.distinct + 1) - 1) < 1e-6
 
 
+def test_lm_scores_equal_the_model_word_by_word(docs_of):
+    """Class bigrams, emissions and scores counted plainly from the classes; a round of exchange does not lose likelihood."""
+    rng = random.Random(8)
+    nouns, verbs = [f"N{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    docs = [(i, " ".join(w for _ in range(rng.randrange(1, 30)) for w in (rng.choice(nouns), rng.choice(verbs)))) for i in range(300)] + [(900, ""), (901, "unseen words here")]
+    df = docs_of(docs)
+    model = lm.fit(df, classes=4, core_words=20, head_words=70, tail_log=16)
+    none = lm.fit(df, classes=4, core_words=20, head_words=70, tail_log=16, rounds=0)
+
+    def name(w):
+        from xylem.llm.common import hashed_words
+        import pyarrow as pa
+
+        return lm.END if w is None else int(next(hashed_words(pa.array([w]), lower=True))[2][0])
+
+    of = lambda w: int(model.classes.of(np.array([name(w)], np.uint64))[0])
+    split = {i: [*WORD.findall(t.translate(LOWER)), None] for i, t in docs}
+    joint, count = np.zeros((5, 4)), Counter()
+    for i, x in split.items():
+        if learned(i):
+            for v, w in zip([4, *map(of, x)], x):
+                joint[v, of(w)] += 1
+                count[w] += 1
+    emitted, n, v = joint.sum(0), sum(count.values()), len(count)
+    assert (emitted == model.emitted).all()
+    transition = joint + lm.ADD * (emitted > 0)
+    transition /= transition.sum(1, keepdims=True)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, model).collect()}
+    for i, x in split.items():
+        want = sum(math.log10((1 - lm.MIX) * transition[c, of(w)] * count[w] / max(emitted[of(w)], 1) + lm.MIX * (count[w] + 1) / (n + v + 1)) for c, w in zip([4, *map(of, x)], x))
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
+    level = {}
+    for m in (model, none):
+        table = np.zeros((5, 4))
+        for i, x in split.items():
+            if learned(i):
+                cs = [int(c) for c in m.classes.of(np.array([name(w) for w in x], np.uint64))]
+                for a, b in zip([4, *cs], cs):
+                    table[a, b] += 1
+        level[m is model] = lm.likelihood(table)
+    assert level[True] >= level[False]
+    apart = {of(w.lower()) for w in nouns} & {of(w) for w in verbs}
+    assert not apart  # words of the tail too are where their neighbours say
+
+
 def test_lm_odd(odd):
     check_lm(odd)
     assert lm.score(odd.limit(0), lm.fit(odd.limit(0))).count() == 0

@@ -3,15 +3,16 @@
 Words are the byte runs between white space, A-Z as a-z; each text ends with one end token.  A word's name is its hash.
 
 1. Counts of all training words over the cluster.
-2. The `core` most frequent words (a fixed number) meet in a matrix of their bigrams; exchange clustering on it moves each
-   word in turn to the class that gains most likelihood, until a round moves few.
-3. Every other word joins a class by one exchange step: the class whose transitions from the classes of its predecessors, and
-   whose emission, give its occurrences the highest likelihood.  Counts are over the whole training corpus.
-4. A token's context is the class of the last core word before it in the text (rare words do not hide the context), or a
-   start class.  P(w | context) = (1 - a) P(class | context) P(w | class) + a (c + 1) / (N + V + 1), with smoothed transitions; the
-   second part leaves 1 / (N + V + 1) for every unknown word, so that the model is a distribution over words and one unknown.
-5. Scoring: tokens among the `head` most frequent words are scored where they are read; the others go once through a join
-   with the full word table, as (text, word, context) rows, and sums by text come back.
+2. Every word has a class.  The `head` most frequent words have a place each in a table of classes, every other word one of 2^`tail_log`
+   places by its hash, shared only by words that meet there by chance; the table is a byte a place and goes to all tasks.
+3. Exchange clustering.  The `core` most frequent words begin: on the matrix of their bigrams each word in turn moves to the class that
+   gains most likelihood, until a round moves few.  Then rounds over the whole training corpus move all places: with the counts of the
+   classes before and after it, added up over the cluster, a place goes where the likelihood of the class bigrams grows most.
+   A round counts under the classes of the round before, and is kept if the likelihood of all class bigrams has grown.
+4. P(w | v) = (1 - a) P(class w | class v) P(w | class w) + a (c + 1) / (N + V + 1), with v the word before, or the text's start, and smoothed
+   transitions, words that training never met being passed over; the second part leaves 1 / (N + V + 1) for every unknown word, so that the model is a distribution over words and one unknown.
+5. Scoring: tokens among the head words are scored where they are read; the others go once through a join
+   with the word counts, as (text, word, class before) rows, and sums by text come back.
 
 Nulls: a null text is empty, one end token.  Rows with null id are training rows.  Rows of equal id and text get equal results, each in its
 own row, and count each in training.  Without training rows N = V = 0 and scores are of the second part alone.  Ties
@@ -27,20 +28,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, Tally, hashed_words, mapped, row_key, settle, small_batches
+from .common import _U, Tally, hashed_words, mapped, mix, row_key, settle, small_batches
 
-CORE, HEAD, CLASSES, ROUNDS = 1024, 1 << 16, 24, 12
-MIX, ADD = 0.1, 0.1
+CORE, HEAD, TAIL_LOG, CLASSES, ROUNDS, CORPUS_ROUNDS = 1024, 1 << 16, 22, 24, 12, 3
+MIX, ADD = 0.3, 0.1
 END = 0x454E44  # the name of the end token
 
 
+NO_CLASS = 255
+
+
 @dataclass
 class Lookup:
-    """The most frequent words, sorted by name: name, count, class."""
+    """The most frequent words, sorted by name: name, count."""
 
     names: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each name, -1 if it is not here."""
@@ -84,7 +87,7 @@ def core_bigrams(texts: DataFrame, core: np.ndarray) -> np.ndarray:
 
     def run(batches):
         table = np.zeros((k + 1, k), np.int64)
-        look = Lookup(core, core, core)
+        look = Lookup(core, core)
         for b in batches:
             for _, rows, h, *_ in hashed_words(b.column(0), lower=True):
                 rows, h = with_ends(rows, h)
@@ -155,78 +158,120 @@ def exchange(bigrams: np.ndarray, frequency: np.ndarray, classes: int = CLASSES,
     return of
 
 
-def contexts(rows: np.ndarray, known: np.ndarray, start: int) -> np.ndarray:
-    """known: class of each core token, -1 for others.  The class of the last core token before each, or start."""
-    n = len(known)
-    place = np.where(known >= 0, np.arange(n), -1)
-    last = np.maximum.accumulate(place) if n else place
-    before = np.empty(n, np.int64)
-    before[:1] = -1
-    before[1:] = last[:-1]
+@dataclass
+class Classes:
+    """A class for every word: those of the head words, then those of the places that other words share."""
+
+    head: Lookup
+    table: np.ndarray  # [head + 2^tail_log] of uint8
+    tail_log: int
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        at = self.head.find(h)
+        return np.where(at >= 0, at, len(self.head.names) + (mix(h) >> _U(64 - self.tail_log)).astype(np.int64))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.table[self.place(h)]
+
+
+def before(rows: np.ndarray, classes: np.ndarray, start: int) -> np.ndarray:
+    """The class of the word before each, start at the beginning of a text.  Words that were never met have none and are passed over."""
+    n = len(classes)
+    last = np.maximum.accumulate(np.where(classes != NO_CLASS, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    at = np.concatenate([[-1], last[:-1]])[:n]
     first = np.repeat(rows[:-1], np.diff(rows))
-    return np.where(before >= first, known[np.maximum(before, 0)], start)
+    return np.where(at >= first, classes[np.maximum(at, 0)], start).astype(np.int64)
+
+
+def class_bigrams(texts: DataFrame, classes: Classes, k: int) -> np.ndarray:
+    """How often each class follows each, texts' starts as a last row."""
+    sent = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches):
+        cells = np.zeros((k + 1) * k, np.int64)
+        for b in batches:
+            for _, rows, h, *_ in hashed_words(b.column(0), lower=True):
+                rows, h = with_ends(rows, h)
+                c = sent.value.of(h).astype(np.int64)
+                cells += np.bincount(before(rows, c, k) * k + c, minlength=len(cells))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "n"])
+
+    out = np.zeros((k + 1) * k, np.int64)
+    for r in texts.transform(mapped, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out.reshape(k + 1, k)
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """Of class bigrams, up to what classes do not change."""
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(1)).sum() - _xlogx(joint.sum(0)).sum())
+
 
+def pulls(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What one occurrence after a class, and one before a class, adds to the likelihood in each class: the derivatives."""
+    smooth = joint + ADD
+    after = np.log(smooth) - np.log(smooth.sum(1, keepdims=True)) - np.log(smooth.sum(0))
+    return after, after[:-1].T
 
-def place_words(texts: DataFrame, core: Lookup, classes: int, pull: np.ndarray) -> DataFrame:
-    """A class for every word, and the transition counts.
 
-    pull[context, class]: how much one occurrence after a context draws to a class.  A task counts (word, context) pairs; dealt by word
-    and sorted, a word's counts meet in one place, whatever number of pairs there are.  Word rows are (name, class, null, null), cell rows
-    (null, class, context, n).  Names lack their low byte, where the context rides; two words share a name by chance V^2 / 2^57.
-    """
+def exchange_places(texts: DataFrame, classes: Classes, k: int, joint: np.ndarray) -> np.ndarray:
+    """The table of classes after one round over the corpus: for each place the class of largest gain, by the classes before and after it."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(classes)
+    pull = np.vstack(pulls(joint))  # [k + 1 classes before, then k classes after; class]
+    width = len(pull)
+
     def count(batches):
         tally = Tally()
         for b in batches:
             for _, rows, h, *_ in hashed_words(b.column(0), lower=True):
                 rows, h = with_ends(rows, h)
-                at = core.find(h)
-                ctx = contexts(rows, np.where(at >= 0, core.classes[at], -1), classes) if len(core.names) else np.full(len(h), classes)
-                yield from tally.add(*np.unique((h & ~_U(255)) | ctx.astype(np.uint64), return_counts=True))
+                place = sent.value.place(h)
+                c = sent.value.table[place].astype(np.int64)
+                prev = np.concatenate([[k], c[:-1]])[: len(c)]
+                prev[rows[:-1]] = k
+                inner = np.ones(len(h), bool)
+                inner[rows[1:] - 1] = False  # an end has no word after it
+                inner = np.flatnonzero(inner)
+                ahead = c[inner + 1]
+                # a neighbour without a class tells nothing, but that the place is met
+                keys = [place * 64 + np.where(prev == NO_CLASS, 63, prev), (place[inner] * 64 + k + 1 + ahead)[ahead != NO_CLASS]]
+                yield from tally.add(*np.unique(np.concatenate(keys).astype(np.uint64), return_counts=True))
         yield from tally.rest()
 
-    own = dict(zip((core.names & ~_U(255)).tolist(), core.classes.tolist(), strict=True))
-
     def choose(batches):
-        cells = np.zeros((classes, classes + 1), np.int64)
-        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def settle_words(v, n):
-            name, ctx = v & ~_U(255), (v & _U(255)).astype(np.int64)
-            first = np.concatenate([[True], name[1:] != name[:-1]])
+        def best(key, n):
+            place = key >> 6
+            first = np.concatenate([[True], place[1:] != place[:-1]])
             group = np.cumsum(first) - 1
-            vectors = np.bincount(group * (classes + 1) + ctx, n, (group[-1] + 1) * (classes + 1)).reshape(-1, classes + 1)
-            names = name[first]
-            best = np.argmax(vectors @ pull, axis=1)
-            for i in np.flatnonzero(np.isin(names, core.names & ~_U(255))):
-                best[i] = own[int(names[i])]
-            np.add.at(cells, best, vectors.astype(np.int64))
-            k = len(names)
-            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(best.astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=["name", "class", "context", "n"])
+            vectors = np.bincount(group * 64 + (key & 63), n, (group[-1] + 1) * 64).reshape(-1, 64)[:, :width]
+            return pa.RecordBatch.from_arrays([pa.array(place[first]), pa.array(np.argmax(vectors @ pull, axis=1).astype(np.int32))], names=["place", "class"])
 
         for b in batches:
-            v = np.concatenate([held[0], b.column(0).to_numpy().view(np.uint64)])
+            key = np.concatenate([held[0], b.column(0).to_numpy()])
             n = np.concatenate([held[1], b.column(1).to_numpy()])
-            name = v & ~_U(255)
-            cut = int(np.searchsorted(name.view(np.int64), name.view(np.int64)[-1])) if len(v) else 0
+            cut = int(np.searchsorted(key >> 6, key[-1] >> 6)) if len(key) else 0
             if cut:
-                yield settle_words(v[:cut], n[:cut])
-            held = v[cut:], n[cut:]
+                yield best(key[:cut], n[:cut])
+            held = key[cut:], n[cut:]
         if len(held[0]):
-            yield settle_words(*held)
-        d, c = np.nonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(cells[d, c])], names=["name", "class", "context", "n"])
+            yield best(*held)
 
-    word = F.shiftright("name", 8)
-    dealt = texts.transform(mapped, count, "name long, n long").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), word)
-    return dealt.sortWithinPartitions("name").transform(mapped, choose, "name long, class int, context int, n long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.transform(mapped, count, "name long, n long").repartition(parts, F.shiftright("name", 6)).sortWithinPartitions("name")
+    found = dealt.transform(mapped, choose, "place long, class int").toArrow()  # a row per place at most
+    table = classes.table.copy()
+    table[found.column("place").to_numpy()] = found.column("class").to_numpy().astype(np.uint8)
+    return table
 
 
 @dataclass
 class BrownModel:
-    words: DataFrame  # name, n, class
-    core: Lookup
-    head: Lookup
-    transition: np.ndarray  # [context, class]
+    counts: DataFrame | None  # name, n
+    classes: Classes
+    transition: np.ndarray  # [class before, class]
     emitted: np.ndarray  # tokens of each class
     total: int
     distinct: int
@@ -236,48 +281,50 @@ class BrownModel:
         return np.log10(p + MIX * (n + 1) / (self.total + self.distinct + 1))
 
 
-def fit(docs: DataFrame, id_col="doc_id", text_col="text", classes: int = CLASSES, core_words: int = CORE, head_words: int = HEAD) -> BrownModel:
+def fit(docs: DataFrame, id_col="doc_id", text_col="text", classes: int = CLASSES, core_words: int = CORE, head_words: int = HEAD, tail_log: int = TAIL_LOG, rounds: int = CORPUS_ROUNDS) -> BrownModel:
+    """classes: at most 31; core_words: at most head_words."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.where(training(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     counts = settle(count_words(texts), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("n").desc(), "name").limit(core_words).toArrow()
+    top = counts.orderBy(F.col("n").desc(), "name").limit(head_words).toArrow()
     names, n = top.column("name").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(names)
-    names, n = names[order], n[order]
-    bigrams = core_bigrams(texts, names)
-    of = exchange(bigrams, n, classes) if len(names) else np.zeros(0, np.int64)
-    core = Lookup(names, n, of)
-    onehot = np.eye(classes)[of] if len(of) else np.zeros((0, classes))
-    joint = np.vstack([onehot.T @ bigrams[:-1], bigrams[-1:]]) @ onehot + ADD
-    pull = np.log(joint / joint.sum(1, keepdims=True)) - np.log(joint.sum(0))
-    placed = settle(place_words(texts, core, classes, pull), "word-classes")
-    cells = placed.where("name IS NULL").groupBy("class", "context").agg(F.sum("n").alias("n")).collect()  # classes squared
-    table = np.zeros((classes + 1, classes))
-    for r in cells:
-        table[r["context"], r["class"]] = r["n"]
-    emitted = table.sum(0)
-    transition = table + ADD * (emitted > 0)
-    transition /= np.maximum(transition.sum(1, keepdims=True), 1e-300)
-    by_name = placed.where("name IS NOT NULL").select(F.shiftright("name", 8).alias("_short"), "class")
-    words = settle(counts.withColumn("_short", F.shiftright("name", 8)).join(by_name, "_short").select("name", "n", "class"), "words")
-    top = words.orderBy(F.col("n").desc(), "name").limit(head_words).toArrow()
-    names = top.column("name").to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    head = Lookup(names[order], top.column("n").to_numpy()[order], top.column("class").to_numpy()[order].astype(np.int64))
-    return BrownModel(words, core, head, transition, emitted, int(total), int(distinct))
+    head = Lookup(names[order], n[order])
+    core = np.sort(order.argsort()[:core_words])  # places in the head of the most frequent words
+    table = np.full(len(names) + (1 << tail_log), NO_CLASS, np.uint8)
+    if len(names):
+        bigrams = core_bigrams(texts, head.names[core])
+        of = exchange(bigrams, head.counts[core], classes)
+        onehot = np.eye(classes)[of]
+        joint = np.vstack([onehot.T @ bigrams[:-1], bigrams[-1:]]) @ onehot
+        table[core] = of
+        table = exchange_places(texts, Classes(head, table, tail_log), classes, joint)
+        table[core] = of
+    known = Classes(head, table, tail_log)
+    joint = class_bigrams(texts, known, classes)
+    for _ in range(rounds if len(names) else 0):
+        moved = Classes(head, exchange_places(texts, known, classes, joint), tail_log)
+        grown = class_bigrams(texts, moved, classes)
+        if likelihood(grown) <= likelihood(joint):
+            break
+        known, joint = moved, grown
+    emitted = joint.sum(0)
+    transition = joint + ADD * (emitted > 0)
+    transition = transition / np.maximum(transition.sum(1, keepdims=True), 1e-300)
+    return BrownModel(counts, known, transition, emitted, int(total), int(distinct))
 
 
 def score(docs: DataFrame, model: BrownModel, id_col="doc_id", text_col="text") -> DataFrame:
     """Rows (id, n_tokens, n_known, base_score, score) for each row of docs."""
     spark = docs.sparkSession
     classes = model.transition.shape[1]
-    light = BrownModel(None, model.core, model.head, model.transition, model.emitted, model.total, model.distinct)
-    sent = spark.sparkContext.broadcast(light)  # bounded by the core, the head and the classes
+    light = BrownModel(None, model.classes, model.transition, model.emitted, model.total, model.distinct)
+    sent = spark.sparkContext.broadcast(light)  # bounded by the head, the places and the classes
     kind = docs.schema[id_col].dataType
-    names = ["key", "id", "name", "context", "times", "copies", "n_tokens", "n_known", "base", "score"]
-    schema = f"key long, id {kind.simpleString()}, name long, context int, times int, copies int, n_tokens long, n_known long, base double, score double"
+    names = ["key", "id", "name", "weight", "times", "copies", "n_tokens", "n_known", "base", "score"]
+    schema = f"key long, id {kind.simpleString()}, name long, weight double, times int, copies int, n_tokens long, n_known long, base double, score double"
 
     def run(batches):
         m = sent.value
@@ -288,33 +335,33 @@ def score(docs: DataFrame, model: BrownModel, id_col="doc_id", text_col="text")
                 rows, h = with_ends(rows, h)
                 k = len(rows) - 1
                 text = np.repeat(np.arange(k), np.diff(rows))
-                at = m.core.find(h)
-                ctx = contexts(rows, np.where(at >= 0, m.core.classes[at], -1), classes) if len(m.core.names) else np.full(len(h), classes)
-                at = m.head.find(h)
+                own_class = m.classes.of(h)
+                ctx = before(rows, own_class, classes)
+                at = m.classes.head.find(h)
                 hit = np.flatnonzero(at >= 0)
-                n = m.head.counts[at[hit]]
+                n = m.classes.head.counts[at[hit]]
                 sums = lambda w: np.bincount(text[hit], w, k)  # noqa: B023,E731
-                base, lp = sums(np.log10((n + 1) / smooth)), sums(m.log10(ctx[hit], m.head.classes[at[hit]], n))
+                base, lp = sums(np.log10((n + 1) / smooth)), sums(m.log10(ctx[hit], own_class[hit], n))
                 own = keys[i : i + k]
-                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(1)[i : i + k], pa.array(~own), pa.array(np.zeros(k, np.int32)), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, np.int32)), pa.array(np.diff(rows)), pa.array(np.bincount(text[hit], minlength=k)), pa.array(base, pa.float64()), pa.array(lp, pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(1)[i : i + k], pa.array(~own), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, np.int32)), pa.array(np.diff(rows)), pa.array(np.bincount(text[hit], minlength=k)), pa.array(base, pa.float64()), pa.array(lp, pa.float64())], names=names)
                 rest = np.flatnonzero(at < 0)
                 order = rest[np.lexsort((h[rest], ctx[rest], text[rest]))]
                 if len(order):
                     t, c, w = text[order], ctx[order], h[order]
                     first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
                     r, zero = len(first), np.zeros(len(first))
+                    cls = own_class[order[first]]
+                    seen = cls != NO_CLASS  # others have no count either
+                    cls = np.where(seen, cls, 0)
+                    weight = seen * (1 - MIX) * m.transition[c[first], cls] / np.maximum(m.emitted[cls], 1)
                     times = np.diff(np.append(first, len(order)))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[t[first]]), pa.nulls(r, b.column(1).type), pa.array(w[first].view(np.int64)), pa.array(c[first].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(zero.astype(np.int32)), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[t[first]]), pa.nulls(r, b.column(1).type), pa.array(w[first].view(np.int64)), pa.array(weight), pa.array(times.astype(np.int32)), pa.array(zero.astype(np.int32)), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
 
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).transform(mapped, run, schema)
-    full = rows.join(model.words, "name", "left")
+    full = rows.join(model.counts, "name", "left")
     smooth = float(model.total + model.distinct + 1)
     n = F.coalesce("n", F.lit(0))
-    p = F.lit(MIX) * (n + 1) / smooth
-    if model.total:
-        flat = F.lit([float(x) for x in model.transition.reshape(-1)])
-        emitted = F.lit([float(max(x, 1)) for x in model.emitted])
-        p += F.coalesce(F.lit(1 - MIX) * F.get(flat, F.col("context") * classes + F.col("class")) * n / F.get(emitted, F.col("class")), F.lit(0.0))
+    p = F.col("weight") * n + F.lit(MIX) * (n + 1) / smooth
     times = F.col("times")
     sums = full.groupBy("key").agg(
         F.max("id").alias("id"),
