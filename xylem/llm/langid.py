@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, blocks, mapped, small_batches, text_bytes
+from .common import Places, blocks, mapped, small_batches, text_bytes
 
 ROWS_PER_LANGUAGE = 600
 MAX_LANGUAGES = 512
@@ -32,38 +32,6 @@ DENSE = 1  # orders up to this are tables of all grams
 _BLOCK = 1 << 17
 
 
-class Places:
-    """Rows of 64-bit keys: an open hash table, at most a quarter full, looked up for whole arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(4 * len(keys) + 1))))
-        self.row = np.full(1 << self.bits, -1, np.int32)
-        self.key = np.full(1 << self.bits, -1, np.int64)
-        left, slot = np.arange(len(keys)), self.slots(keys)
-        while len(left):
-            free = self.row[slot] < 0
-            self.row[slot[free]] = left[free]  # of several for one slot the last stays
-            put = self.row[slot] == left
-            self.key[slot[put]] = keys[left[put]]
-            left, slot = left[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, -1 if it has none."""
-        slot = self.slots(keys)
-        out = np.where(self.key[slot] == keys, self.row[slot], -1)
-        open_ = np.flatnonzero((out < 0) & (self.row[slot] >= 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
-            at = slot[open_]
-            hit = self.key[at] == keys[open_]
-            out[open_[hit]] = self.row[at[hit]]
-            open_ = open_[~hit & (self.row[at] >= 0)]
-        return out
-
-
 def gram_keys(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
     """For each byte of the texts the number of its gram: itself and the `order` bytes before it; zeros stand before a text."""
     key = data.astype(np.int64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, Tally, hashed_words, mapped, mix, row_key, settle, small_batches
+from .common import _U, Places, Tally, hashed_words, mapped, mix, row_key, settle, small_batches
 
 CORE, HEAD, TAIL_LOG, CLASSES, ROUNDS, CORPUS_ROUNDS = 1024, 1 << 16, 22, 24, 12, 3
 MIX, ADD = 0.3, 0.1
@@ -44,13 +44,12 @@ class Lookup:
 
     names: np.ndarray
     counts: np.ndarray
+    places: Places | None = None
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each name, -1 if it is not here."""
-        if not len(self.names):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        return np.where(self.names[at] == h, at, -1)
+        self.places = self.places or Places(self.names.view(np.int64))
+        return self.places.find(h.view(np.int64)).astype(np.int64)
 
 
 def training(id_col: str = "doc_id") -> Column:
