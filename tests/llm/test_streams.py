@@ -249,3 +249,13 @@ def test_repeats(docs_of, odd, real):
 def test_repeats_digest(spark, sf, real):
     got = {r["doc_id"]: r["kept_sha256"] for r in repeats.op4_recompression(spark, sf).collect()}
     assert got == {i: hashlib.sha256(k.encode()).hexdigest() for i, _, _, k in brute_repeats(rows(real))}
+
+
+def test_repeats_equal_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(repeats.OP4_SQL)
+    got = repeats.op4_recompression(spark, sf)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_langid_ppm": langid.op10_langid_ppm,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_parts": chat.OP3_SQL}
+ORACLES: dict[str, str] = {"op3_chat_parts": chat.OP3_SQL, "op4_recompression": repeats.OP4_SQL}

@@ -281,3 +281,18 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
 def op4_recompression(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# Every window of 50 words by its text, the least document of each, and the words under windows of later documents.
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: length(x) > 0) AS ws FROM t),
+ s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+ n AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS h FROM s),
+ f AS (SELECT h, min(doc_id) AS least FROM n GROUP BY h),
+ r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM n JOIN f USING (h) WHERE doc_id > least),
+ g AS (SELECT doc_id, list(pos) AS gone FROM r GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+ sha256(array_to_string(list_filter(ws, lambda x, k: gone IS NULL OR NOT list_contains(gone, k)), ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
