@@ -334,16 +334,17 @@ def score(docs: DataFrame, model: BrownModel, id_col="doc_id", text_col="text")
                 rows, h = with_ends(rows, h)
                 k = len(rows) - 1
                 text = np.repeat(np.arange(k), np.diff(rows))
-                own_class = m.classes.of(h)
+                place = m.classes.place(h)
+                own_class = m.classes.table[place]
                 ctx = before(rows, own_class, classes)
-                at = m.classes.head.find(h)
-                hit = np.flatnonzero(at >= 0)
-                n = m.classes.head.counts[at[hit]]
+                in_head = place < len(m.classes.head.names)
+                hit = np.flatnonzero(in_head)
+                n = m.classes.head.counts[place[hit]]
                 sums = lambda w: np.bincount(text[hit], w, k)  # noqa: B023,E731
                 base, lp = sums(np.log10((n + 1) / smooth)), sums(m.log10(ctx[hit], own_class[hit], n))
                 own = keys[i : i + k]
                 yield pa.RecordBatch.from_arrays([pa.array(own), b.column(1)[i : i + k], pa.array(~own), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, np.int32)), pa.array(np.diff(rows)), pa.array(np.bincount(text[hit], minlength=k)), pa.array(base, pa.float64()), pa.array(lp, pa.float64())], names=names)
-                rest = np.flatnonzero(at < 0)
+                rest = np.flatnonzero(~in_head)
                 order = rest[np.lexsort((h[rest], ctx[rest], text[rest]))]
                 if len(order):
                     t, c, w = text[order], ctx[order], h[order]
