@@ -146,31 +146,38 @@ class Tally:
     def __init__(self, most: int = 1 << 20):
         self.most, self.names, self.counts, self.size = most, [], [], 0
 
-    def add(self, names: np.ndarray, counts: np.ndarray | None = None):
+    def put(self, names: np.ndarray, counts: np.ndarray | None = None) -> bool:
+        """Takes names in; tells whether there are so many that they must be given out."""
         if len(names):
             self.names.append(names)
             self.counts.append(np.ones(len(names), np.int64) if counts is None else counts)
             self.size += len(names)
         if self.size > 2 * self.most:
-            self._merge()
-            if self.size > self.most:
-                yield from self.rest()
+            self.merge()
+        return self.size > self.most and len(self.names) == 1
+
+    def add(self, names: np.ndarray, counts: np.ndarray | None = None):
+        if self.put(names, counts):
+            yield from self.rest()
 
-    def _merge(self) -> None:
+    def merge(self) -> None:
         names = np.concatenate(self.names)
         order = np.argsort(names)
         names, counts = names[order], np.concatenate(self.counts)[order]
         first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         self.names, self.counts, self.size = [names[first]], [np.add.reduceat(counts, first)], len(first)
 
+    def clear(self) -> None:
+        self.names, self.counts, self.size = [], [], 0
+
     def rest(self):
         """Arrow batches (name, n)."""
         if self.size:
-            self._merge()
+            self.merge()
             names, counts = self.names[0].view(np.int64), self.counts[0]
             for i in range(0, len(names), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(names[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], names=["name", "n"])
-        self.names, self.counts, self.size = [], [], 0
+        self.clear()
 
 
 def give_back() -> None:

@@ -218,7 +218,25 @@ def exchange_places(texts: DataFrame, classes: Classes, k: int, joint: np.ndarra
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(classes)
     pull = np.vstack(pulls(joint))  # [k + 1 classes before, then k classes after; class]
-    width = len(pull)
+    width, size = len(pull), len(classes.table)
+    bits = max(0, (size - 1).bit_length() - 10)  # buckets of at most 2^10 places, so that a cell (place in its bucket, neighbour) has 16 bits
+    buckets = 1 << bits
+
+    def packed(tally):
+        """The tallied cells, a row per bucket: what crosses the cluster is arrays, not a row per cell."""
+        if not tally.size:
+            return
+        tally.merge()
+        names, counts = tally.names[0], tally.counts[0]
+        tally.clear()
+        bucket = (names >> _U(16)).astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        edge = np.append(first, len(names))
+        cells, counts = (names & _U(0xFFFF)).astype(np.uint16), counts.astype(np.uint32)
+        blob = lambda a: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((edge * a.itemsize).astype(np.int32)), pa.py_buffer(a)])
+        whole = pa.RecordBatch.from_arrays([pa.array(bucket[first]), blob(cells), blob(counts)], names=["bucket", "cells", "counts"])
+        for i in range(0, len(first), 2048):
+            yield whole.slice(i, 2048)
 
     def count(batches):
         tally = Tally()
@@ -233,33 +251,38 @@ def exchange_places(texts: DataFrame, classes: Classes, k: int, joint: np.ndarra
                 inner[rows[1:] - 1] = False  # an end has no word after it
                 inner = np.flatnonzero(inner)
                 ahead = c[inner + 1]
+                cell = ((place & (buckets - 1)) << 16) | ((place >> bits) << 6)
                 # a neighbour without a class tells nothing, but that the place is met
-                keys = [place * 64 + np.where(prev == NO_CLASS, 63, prev), (place[inner] * 64 + k + 1 + ahead)[ahead != NO_CLASS]]
-                yield from tally.add(*np.unique(np.concatenate(keys).astype(np.uint64), return_counts=True))
-        yield from tally.rest()
+                keys = [cell + np.where(prev == NO_CLASS, 63, prev), (cell[inner] + k + 1 + ahead)[ahead != NO_CLASS]]
+                if tally.put(*np.unique(np.concatenate(keys).astype(np.uint64), return_counts=True)):
+                    yield from packed(tally)
+        yield from packed(tally)
 
     def choose(batches):
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = -(-size // buckets)
+        bucket, sums = -1, np.zeros(rows * 64)
 
-        def best(key, n):
-            place = key >> 6
-            first = np.concatenate([[True], place[1:] != place[:-1]])
-            group = np.cumsum(first) - 1
-            vectors = np.bincount(group * 64 + (key & 63), n, (group[-1] + 1) * 64).reshape(-1, 64)[:, :width]
-            return pa.RecordBatch.from_arrays([pa.array(place[first]), pa.array(np.argmax(vectors @ pull, axis=1).astype(np.int32))], names=["place", "class"])
+        def best():
+            vectors = sums.reshape(rows, 64)
+            met = np.flatnonzero(vectors.any(axis=1))
+            at = np.argmax(vectors[met, :width] @ pull, axis=1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array((met << bits) + bucket), pa.array(at)], names=["place", "class"])
 
         for b in batches:
-            key = np.concatenate([held[0], b.column(0).to_numpy()])
-            n = np.concatenate([held[1], b.column(1).to_numpy()])
-            cut = int(np.searchsorted(key >> 6, key[-1] >> 6)) if len(key) else 0
-            if cut:
-                yield best(key[:cut], n[:cut])
-            held = key[cut:], n[cut:]
-        if len(held[0]):
-            yield best(*held)
+            here = b.column(0).to_numpy()
+            edge = np.concatenate([np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])), [len(here)]]) if len(here) else []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                if here[i] != bucket:
+                    if bucket >= 0:
+                        yield best()
+                    bucket, sums = int(here[i]), np.zeros(rows * 64)
+                cells = np.frombuffer(b"".join(b.column(1)[i:j].to_pylist()), np.uint16)
+                sums += np.bincount(cells, np.frombuffer(b"".join(b.column(2)[i:j].to_pylist()), np.uint32), len(sums))
+        if bucket >= 0:
+            yield best()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.transform(mapped, count, "name long, n long").repartition(parts, F.shiftright("name", 6)).sortWithinPartitions("name")
+    dealt = texts.transform(mapped, count, "bucket int, cells binary, counts binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = dealt.transform(mapped, choose, "place long, class int").toArrow()  # a row per place at most
     table = classes.table.copy()
     table[found.column("place").to_numpy()] = found.column("class").to_numpy().astype(np.uint8)
