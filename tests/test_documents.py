@@ -122,3 +122,25 @@ def test_large_file_cdata_text(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     small = Documents(spark.createDataFrame([(1, x)], "doc_id long, content string")).xpath("/o/i/t").collect()
     assert got == {r["start_off"]: r["text"] for r in small} and len(got) == 800
+
+
+LARGE_PATHS = [
+    "/r/g[@k='2']/i/t", "/r/g/i[@k!='3']/t", "/r/g[k<3]/i/t", "/r/g/i[t=5]/t", "/r/g/i[1]/t", "/r/g[0]/i[1]/t", "/r/g[last()]/i[last() - 1]/t",
+    "/r/g/i[position()>2]", "/r/g[@k>='2']/i[t!=4]/t", "/r/g[k=1]/i[t='x y']/t", "/r[0]/g[last() - 1]/i", "/r/g/i/t[0]", "/r[@k='none']/g", "/r/g/i[m=1]",
+]
+
+
+def test_large_file_predicates(spark, tmp_path):
+    inner = lambda g, j: f"<i k='{j}'><t>{(g + j) % 7}</t></i><o/>" if j % 3 else f"<i k=\"{j}\"><t><![CDATA[x y]]></t><t/><m>1<n/></m></i>"
+    groups = "".join(f"<g k='{g % 4}'><k>{g % 5}</k>{''.join(inner(g, j) for j in range(g % 6))}</g><i/>" for g in range(60))
+    x = f"<r>{groups}</r><r k='none'><g/></r>"
+    (tmp_path / "big.xml").write_text(x)
+    small = Documents(spark.createDataFrame([(1, x)], "doc_id long, content string"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for path in LARGE_PATHS:
+            got = sorted(r["start_off"] for r in large_path(spark, str(tmp_path / "big.xml"), path).collect())
+            assert got == sorted(r["start_off"] for r in small.xpath(path).collect()), path
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

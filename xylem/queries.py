@@ -130,7 +130,10 @@ def doc_stats(spark, sf):
 
 def _large_orders(spark: SparkSession, sf: str, content: Column | None = None) -> str:
     """Orders as one document, written to the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/xylem-checkpoint"
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set, and executors share no folder otherwise")
+    top = top or "/tmp/xylem-checkpoint"
     path = f"{top.rstrip('/')}/large-{uuid.uuid4().hex}"
     docs = corpora.orders_xml(spark, sf).select(F.col("content") if content is None else content)
     # one file: the orders follow each other as roots, which the data model allows; only the writing is a single task
@@ -154,6 +157,11 @@ def large_doc_stray(spark, sf):
     return large_path(spark, _large_orders(spark, sf, content.alias("content")), "/order/item/qty").select(F.regexp_extract("text", r"^(\S+) \]\]> $", 1).cast("double").alias("l_quantity"))
 
 
+def _large(path: str):
+    """A path with predicates over the one large document."""
+    return lambda spark, sf: large_path(spark, _large_orders(spark, sf), path).select(_qty())
+
+
 def repeated_ids(spark, sf):
     """Orders whose ids are one of seven, or null: each row is a document of its own."""
     docs = corpora.orders_xml(spark, sf).withColumn("doc_id", F.expr("nullif(doc_id % 7, 6)"))
@@ -245,6 +253,10 @@ QUERIES = {
     "large_doc_path": large_doc_path,
     "large_doc_cdata": large_doc_cdata,
     "large_doc_stray": large_doc_stray,
+    "large_doc_attr": _large("/order[@status='F']/item/qty"),
+    "large_doc_child": _large("/order/item[flag=R]/qty"),
+    "large_doc_index": _large("/order/item[2]/qty"),
+    "large_doc_last": _large("/order[@status!='F']/item[last()-1]/qty"),
     "repeated_ids": repeated_ids,
     "repeated_rows": repeated_rows,
     "verdict_kinds": verdict_kinds,
@@ -323,6 +335,10 @@ ORACLES = {
     "large_doc_path": "SELECT l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "large_doc_cdata": "SELECT l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "large_doc_stray": "SELECT l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "large_doc_attr": "SELECT l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'",
+    "large_doc_child": "SELECT l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'",
+    "large_doc_index": f"SELECT l_quantity FROM ({_NUMBERED}) WHERE i = 2",
+    "large_doc_last": f"SELECT l_quantity FROM ({_NUMBERED}) WHERE i = n - 2 AND o_orderstatus <> 'F'",
     "repeated_ids": f"SELECT nullif(o_orderkey % 7, 6) AS doc_id, (i + 1)::BIGINT AS match_no, l_quantity FROM ({_NUMBERED})",
     "repeated_rows": """SELECT n_regionkey AS doc_id, 2::BIGINT AS documents, count(*) AS n_matches, 2::BIGINT AS sound
         FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey""",

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NAME, START_TAG, from_bytes, unwrap
-from ..plans.xpath_ast import XPathSyntaxError, parse_xpath
-
+from ..functions.text import NAME, START_TAG, attributes, from_bytes, unwrap
+from ..plans.xpath_ast import Child, Index, Last, Position, Step, parse_xpath
+from ..plans.xpath_plan import child_condition, own_condition
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -60,23 +60,81 @@ def large_tags(spark: SparkSession, path: str) -> DataFrame:
     return _scanned(spark, path).where("live").drop("live")
 
 
-def large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
-    """Matches (file, start_off, text) of a path without predicates in large files.  text is the character data between
-    the start tag and the next tag, CDATA sections unwrapped in their places."""
-    steps = parse_xpath(xpath)
-    if any(s.predicate for s in steps):
-        raise XPathSyntaxError("large documents take paths without predicates")
+def last_marks(rows: DataFrame, **marks: Column) -> DataFrame:
+    """Adds for each named column its last value that is not null in the document up to this row, null before the first."""
+    in_block, blocks = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
+    rows = rows.withColumns(marks)
+    totals = rows.groupBy("file", "block").agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), F.col("id"))).alias(m) for m in marks])
+    before = totals.select("file", "block", *[F.last(m, ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before{m}") for m in marks])
+    joined = rows.withColumns({m: F.last(m, ignorenulls=True).over(in_block) for m in marks}).join(before, ["file", "block"])
+    return joined.withColumns({m: F.coalesce(m, f"_before{m}") for m in marks}).drop(*[f"_before{m}" for m in marks])
+
+
+def _with_text(rows: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Replaces value by text: the data between a start tag and the next tag, null for an empty element.  Records of CDATA sections
+    go to the tag before them, in the order of the file."""
+    more = scanned.where(~F.col("live")).groupBy("file", "tag").agg(F.sort_array(F.collect_list(F.struct("block", "id", "value"))).alias("_more"))
+    data = F.concat(F.lit("<"), "value", F.coalesce(F.array_join(F.transform("_more", lambda r: F.concat(F.lit("<"), r["value"])), ""), F.lit("")))
+    text = F.when(F.col("kind") == "open", from_bytes(unwrap(F.regexp_replace(data, START_TAG, ""))))
+    return rows.join(more, ["file", "tag"], "left").withColumn("text", text).drop("value", "_more")
+
+
+def _chain(scanned: DataFrame, steps: list[Step]) -> DataFrame:
+    """Hits of a path without predicates: a running sum counts the open ancestors of the right names."""
     n = len(steps)
-    scanned = _scanned(spark, path)
     rows = scanned.where(F.col("live") & (F.col("depth") < n))
     wanted = F.coalesce(*[F.when(F.col("depth") == i, F.col("name") == s.name) for i, s in enumerate(steps)])
     sign = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     run = prefix_sums(rows.withColumn("_ok", wanted), _run=F.when(F.col("_ok"), sign).otherwise(0))
     full = F.col("_run") + (F.col("kind") == "empty").cast("int") == n
-    hit = run.where(F.col("_ok") & (F.col("kind") != "close") & (F.col("depth") == n - 1) & full)
-    # records of CDATA sections go to the tag before them, in the order of the file
-    more = scanned.where(~F.col("live")).groupBy("file", "tag").agg(F.sort_array(F.collect_list(F.struct("block", "id", "value"))).alias("_more"))
-    hit = hit.join(more, ["file", "tag"], "left")
-    data = F.concat(F.lit("<"), "value", F.coalesce(F.array_join(F.transform("_more", lambda r: F.concat(F.lit("<"), r["value"])), ""), F.lit("")))
-    text = F.when(F.col("kind") == "open", from_bytes(unwrap(F.regexp_replace(data, START_TAG, ""))))
-    return hit.select("file", F.col("off").alias("start_off"), text.alias("text"))
+    return run.where(F.col("_ok") & (F.col("kind") != "close") & (F.col("depth") == n - 1) & full)
+
+
+def _filtered(scanned: DataFrame, steps: list[Step]) -> DataFrame:
+    """Hits of a path with predicates.  The ancestor at depth i is the last element begun there, so marks carry its number, what its own
+    tag tells of step i, and the count of siblings before it; children and last places meet their elements by number."""
+    n = len(steps)
+    placed = [i for i, s in enumerate(steps) if isinstance(s.predicate, Index | Position | Last)]
+    parents = [i for i, s in enumerate(steps) if isinstance(s.predicate, Child)]
+    at = lambda i: F.col("depth") == i
+    live = scanned.where(F.col("live") & (F.col("depth") < n + bool(parents)))
+    rows = live.where(F.col("kind") != "close").withColumn("attrs", attributes(F.regexp_extract(F.concat(F.lit("<"), "value"), START_TAG, 0)))
+    if placed:
+        rows = prefix_sums(rows, **{f"_n{i}": (at(i) & (F.col("name") == steps[i].name)).cast("int") for i in placed})
+    simple = [i for i in range(n) if i not in placed and i not in parents]
+    marks = {f"_a{i}": F.when(at(i), F.col("tag")) for i in range(n)}
+    marks |= {f"_ok{i}": F.when(at(i), own_condition(steps[i])) for i in simple}
+    marks |= {f"_b{i}": F.when(at(i - 1), F.col(f"_n{i}")) for i in placed if i}
+    rows = last_marks(rows, **marks)
+
+    def meeting(i: int) -> DataFrame:
+        """The elements at depth i that meet a step whose predicate looks at other elements."""
+        step, here = steps[i], rows.where(at(i) & (F.col("name") == steps[i].name))
+        if isinstance(step.predicate, Child):
+            p = step.predicate
+            children = _with_text(rows.where(at(i + 1) & (F.col("name") == p.name)), scanned).where(child_condition(p))
+            ends = live.where(at(i + 1) & (F.col("kind") == "close") & (F.col("name") == p.name)).select("file", (F.col("tag") - 1).alias("tag"))
+            leaves = children.join(ends, ["file", "tag"], "left_semi")  # only leaves have text: the next tag closes them
+            return here.join(leaves.select("file", F.col(f"_a{i}").alias("tag")), ["file", "tag"], "left_semi")
+        base = F.coalesce(f"_b{i}", F.lit(0)) if i else F.lit(0)
+        here = here.withColumn("sibling_idx", F.col(f"_n{i}") - 1 - base)
+        if isinstance(step.predicate, Last):
+            family = ["file"] + ([f"_a{i - 1}"] if i else [])
+            here = here.join(here.groupBy(family).agg(F.count("*").alias("sibling_count")), family)
+        return here.where(own_condition(step))
+
+    hit = rows.where(at(n - 1))
+    for i in simple:
+        hit = hit.where(f"_ok{i}")
+    for i in placed + parents:
+        hit = hit.join(meeting(i).select("file", F.col("tag").alias(f"_a{i}")), ["file", f"_a{i}"], "left_semi")
+    return hit
+
+
+def large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
+    """Matches (file, start_off, text) of a path in large files.  text is the character data between the start tag and the next
+    tag, CDATA sections unwrapped in their places.  Predicates mean what they mean in small documents."""
+    steps = parse_xpath(xpath)
+    scanned = _scanned(spark, path)
+    hit = _filtered(scanned, steps) if any(s.predicate for s in steps) else _chain(scanned, steps)
+    return _with_text(hit, scanned).select("file", F.col("off").alias("start_off"), "text")
