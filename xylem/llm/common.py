@@ -204,10 +204,12 @@ def row_key(*columns: str) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """A fresh path in the folder that all executors share: spark.checkpoint.dir; where it is unset, a local one on a single machine, an error on a cluster."""
     sc = spark.sparkContext
     top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set, and executors share no folder otherwise")
         top = "/tmp/xylem-checkpoint"
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
