@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from . import corpora
 from .engine import Documents as _Documents
 from .operators import validate
 from .operators.tokens import token_counts
+from .sources.documents import shared_path
 from .sources.large import large_path
 
 
@@ -130,11 +129,7 @@ def doc_stats(spark, sf):
 
 def _large_orders(spark: SparkSession, sf: str, content: Column | None = None) -> str:
     """Orders as one document, written to the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set, and executors share no folder otherwise")
-    top = top or "/tmp/xylem-checkpoint"
-    path = f"{top.rstrip('/')}/large-{uuid.uuid4().hex}"
+    path = shared_path(spark, "large")
     docs = corpora.orders_xml(spark, sf).select(F.col("content") if content is None else content)
     # one file: the orders follow each other as roots, which the data model allows; only the writing is a single task
     docs.repartition(1).write.option("lineSep", "\n").text(path)

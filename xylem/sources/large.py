@@ -1,140 +1,499 @@
-"""One very large document: a splittable scan and two-level prefix sums.
+"""One very large document: a splittable scan whose chunks are read by arrays, each from the state in which it begins.
 
-Records end at `<`, so each holds one tag and the text after it, and a split never cuts a tag.  Sums over the document are sums
-within a file block plus the total of the blocks before; the table of totals has a row per block.
+Rows end at a `<`, so a split never cuts a tag; a chunk is some MB of rows of one file block, and its records, what stands between two `<`,
+hold one tag and the text after it each.  A first scan gives for each chunk what it changes: bytes, CDATA, depth, the elements left open, and the siblings that
+other chunks count on.  The driver folds these, a small row per chunk, into the state at the beginning of each chunk, and a last scan gives
+the hits; no text is shuffled.  What crosses chunks otherwise (children that a step asks for, CDATA after a tag) is met by a scan of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pickle
+import re
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NAME, START_TAG, attributes, from_bytes, unwrap
-from ..plans.xpath_ast import Child, Index, Last, Position, Step, parse_xpath
-from ..plans.xpath_plan import child_condition, own_condition
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, block, id, value): what stands between two `<`; value is the byte view."""
-    rows = spark.read.option("lineSep", "<").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.decode(F.encode("value", "UTF-8"), "ISO-8859-1").alias("value"))
-
-
-def prefix_sums(rows: DataFrame, _mark: Column | None = None, **sums: Column) -> DataFrame:
-    """Adds a running sum over the document for each named column, this row included; and `_state`, the last _mark that is not null in the
-    rows before this one, 0 if there is none."""
-    in_block, blocks = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
-    back = (Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_mark", F.lit(None).cast("int") if _mark is None else _mark)
-    totals = rows.groupBy("file", "block").agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("id"))).alias("_mark"))
-    before = totals.select("file", "block", *[(F.sum(n).over(blocks) - F.col(n)).alias(f"_before_{n}") for n in sums], F.last("_mark", ignorenulls=True).over(blocks.rowsBetween(*back)).alias("_before"))
-    inner = rows.withColumns({n: F.sum(c).over(in_block) for n, c in sums.items()} | {"_state": F.last("_mark", ignorenulls=True).over(in_block.rowsBetween(*back))})
-    joined = inner.join(before, ["file", "block"])
-    joined = joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums} | {"_state": F.coalesce("_state", "_before", F.lit(0))})
-    return joined.drop("_mark", "_before", *[f"_before_{n}" for n in sums], *(["_state"] if _mark is None else []))
-
-
-def _scanned(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, block, id, off, kind, depth, name, value, live, tag) of all records.  live: a tag outside CDATA; tag numbers these
-    in the document, and a record that is none has the number of the tag whose data it continues (0 before the first)."""
-    rows = records(spark, path)
-    value = F.col("value")
-    opens = F.startswith(value, F.lit("![CDATA["))
-    # a record with `]]>` ends outside whatever was before, one that opens a section inside, and others change nothing
-    mark = F.when(F.contains(value, F.lit("]]>")), 0).when(opens, 1)
-    first = (F.col("block") == 0) & (F.col("id") == F.min("id").over(Window.partitionBy("file", "block")))
-    rows = rows.withColumns({"_opens": opens, "_first": first})
-    rows = prefix_sums(rows, mark, _end=F.length(value) + 1)
-    inside = F.col("_state") == 1
-    piece = F.concat(F.lit("<"), value)
-    start_tag = F.regexp_extract(piece, START_TAG, 0)
-    kind = F.when(F.startswith(value, F.lit("/")), "close").when(F.endswith(start_tag, F.lit("/>")), "empty").otherwise("open")
-    found = rows.select("file", "block", "id", (F.col("_end") - F.length(value) - 2).alias("off"), kind.alias("kind"), from_bytes(F.regexp_extract(piece, NAME, 1)).alias("name"), "value", "_first", (~inside & ~F.col("_first") & ~F.col("_opens")).alias("live"))
-    sign = F.when(~F.col("live"), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    summed = prefix_sums(found.where(~F.col("_first")).drop("_first"), _depth=sign, tag=F.col("live").cast("int"))
-    return summed.withColumn("depth", (F.col("_depth") - (F.col("kind") == "open").cast("int")).cast("int")).drop("_depth")
-
-
-def large_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, block, id, off, kind, depth, name, value, tag) of the tags outside CDATA."""
-    return _scanned(spark, path).where("live").drop("live")
-
-
-def last_marks(rows: DataFrame, **marks: Column) -> DataFrame:
-    """Adds for each named column its last value that is not null in the document up to this row, null before the first."""
-    in_block, blocks = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
-    rows = rows.withColumns(marks)
-    totals = rows.groupBy("file", "block").agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), F.col("id"))).alias(m) for m in marks])
-    before = totals.select("file", "block", *[F.last(m, ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before{m}") for m in marks])
-    joined = rows.withColumns({m: F.last(m, ignorenulls=True).over(in_block) for m in marks}).join(before, ["file", "block"])
-    return joined.withColumns({m: F.coalesce(m, f"_before{m}") for m in marks}).drop(*[f"_before{m}" for m in marks])
-
-
-def _with_text(rows: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Replaces value by text: the data between a start tag and the next tag, null for an empty element.  Records of CDATA sections
-    go to the tag before them, in the order of the file."""
-    more = scanned.where(~F.col("live")).groupBy("file", "tag").agg(F.sort_array(F.collect_list(F.struct("block", "id", "value"))).alias("_more"))
-    data = F.concat(F.lit("<"), "value", F.coalesce(F.array_join(F.transform("_more", lambda r: F.concat(F.lit("<"), r["value"])), ""), F.lit("")))
-    text = F.when(F.col("kind") == "open", from_bytes(unwrap(F.regexp_replace(data, START_TAG, ""))))
-    return rows.join(more, ["file", "tag"], "left").withColumn("text", text).drop("value", "_more")
-
-
-def _chain(scanned: DataFrame, steps: list[Step]) -> DataFrame:
-    """Hits of a path without predicates: a running sum counts the open ancestors of the right names."""
-    n = len(steps)
-    rows = scanned.where(F.col("live") & (F.col("depth") < n))
-    wanted = F.coalesce(*[F.when(F.col("depth") == i, F.col("name") == s.name) for i, s in enumerate(steps)])
-    sign = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    run = prefix_sums(rows.withColumn("_ok", wanted), _run=F.when(F.col("_ok"), sign).otherwise(0))
-    full = F.col("_run") + (F.col("kind") == "empty").cast("int") == n
-    return run.where(F.col("_ok") & (F.col("kind") != "close") & (F.col("depth") == n - 1) & full)
-
-
-def _filtered(scanned: DataFrame, steps: list[Step]) -> DataFrame:
-    """Hits of a path with predicates.  The ancestor at depth i is the last element begun there, so marks carry its number, what its own
-    tag tells of step i, and the count of siblings before it; children and last places meet their elements by number."""
-    n = len(steps)
-    placed = [i for i, s in enumerate(steps) if isinstance(s.predicate, Index | Position | Last)]
-    parents = [i for i, s in enumerate(steps) if isinstance(s.predicate, Child)]
-    at = lambda i: F.col("depth") == i
-    live = scanned.where(F.col("live") & (F.col("depth") < n + bool(parents)))
-    rows = live.where(F.col("kind") != "close").withColumn("attrs", attributes(F.regexp_extract(F.concat(F.lit("<"), "value"), START_TAG, 0)))
-    if placed:
-        rows = prefix_sums(rows, **{f"_n{i}": (at(i) & (F.col("name") == steps[i].name)).cast("int") for i in placed})
-    simple = [i for i in range(n) if i not in placed and i not in parents]
-    marks = {f"_a{i}": F.when(at(i), F.col("tag")) for i in range(n)}
-    marks |= {f"_ok{i}": F.when(at(i), own_condition(steps[i])) for i in simple}
-    marks |= {f"_b{i}": F.when(at(i - 1), F.col(f"_n{i}")) for i in placed if i}
-    rows = last_marks(rows, **marks)
-
-    def meeting(i: int) -> DataFrame:
-        """The elements at depth i that meet a step whose predicate looks at other elements."""
-        step, here = steps[i], rows.where(at(i) & (F.col("name") == steps[i].name))
-        if isinstance(step.predicate, Child):
-            p = step.predicate
-            children = _with_text(rows.where(at(i + 1) & (F.col("name") == p.name)), scanned).where(child_condition(p))
-            ends = live.where(at(i + 1) & (F.col("kind") == "close") & (F.col("name") == p.name)).select("file", (F.col("tag") - 1).alias("tag"))
-            leaves = children.join(ends, ["file", "tag"], "left_semi")  # only leaves have text: the next tag closes them
-            return here.join(leaves.select("file", F.col(f"_a{i}").alias("tag")), ["file", "tag"], "left_semi")
-        base = F.coalesce(f"_b{i}", F.lit(0)) if i else F.lit(0)
-        here = here.withColumn("sibling_idx", F.col(f"_n{i}") - 1 - base)
-        if isinstance(step.predicate, Last):
-            family = ["file"] + ([f"_a{i - 1}"] if i else [])
-            here = here.join(here.groupBy(family).agg(F.count("*").alias("sibling_count")), family)
-        return here.where(own_condition(step))
-
-    hit = rows.where(at(n - 1))
-    for i in simple:
-        hit = hit.where(f"_ok{i}")
-    for i in placed + parents:
-        hit = hit.join(meeting(i).select("file", F.col("tag").alias(f"_a{i}")), ["file", f"_a{i}"], "left_semi")
-    return hit
+from ..functions.text import ATTRIBUTE, START_TAG, comparison, from_bytes, unwrap
+from ..plans.xpath_ast import Attribute, Child, Index, Last, Position, Step, parse_xpath
+from ..plans.xpath_plan import OPS, child_condition
+from .documents import shared_path
+
+CHUNK = 4 << 20
+#: Rows may end at any text that ends with `<`.  The first by which no row of any file is longer than LONGEST is taken; the last takes rows of any length.
+ENDS, LONGEST = ("\n<", "><", "<"), 1 << 16
+_START, _ATTRIBUTE = re.compile(START_TAG.encode()), re.compile(ATTRIBUTE.encode())
+_SECTION = re.compile(rb"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
+_NAME_ENDS = np.zeros(256, bool)
+_NAME_ENDS[list(b" \t\n\x0b\f\r/>")] = True
+
+
+def records(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """Rows (file, block, value) of the bytes of the files, each with its end; file is a 64-bit name of the file's path.  Rows over LONGEST are
+    left out unless the end is the last of ENDS."""
+    reader = spark.read.option("lineSep", end)
+    reader = reader if end == ENDS[-1] else reader.option("mapreduce.input.linerecordreader.line.maxlength", str(LONGEST))
+    return reader.text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.concat("value", F.lit(end)).alias("value"))
+
+
+def _chunks(batches, most: int):
+    """Yields (key, data): the bytes of each chunk; key is (file, block, number).  Where chunks end depends on the bytes only."""
+    key, held, place = None, [], 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        file, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        value = batch.column(2).cast(pa.large_binary())
+        off = np.frombuffer(value.buffers()[1], np.int64)[value.offset : value.offset + n + 1]
+        data = np.frombuffer(value.buffers()[2] or b"", np.uint8)
+        edges = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1), n]
+        for a, b in zip(edges, edges[1:], strict=False):
+            where = (int(file[a]), int(block[a]))
+            if key is None or key[:2] != where:
+                if held:
+                    yield key, np.concatenate(held)
+                key, held, place = (*where, 0), [], 0
+            number = (place + off[a:b] - off[a]) // most
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1), b - a]
+            for c, d in zip(cuts, cuts[1:], strict=False):
+                if held and number[c] != key[2]:
+                    yield key, np.concatenate(held)
+                    held = []
+                key = (*where, int(number[c]))
+                held.append(data[off[a + c] : off[a + d]])
+            place += int(off[b] - off[a])
+    if held:
+        yield key, np.concatenate(held)
+
+
+class _Tags:
+    """The records of a chunk.  start: bytes of the chunk before the record; sign: 1 open, -1 close, 0 empty; mark: 0 where a record
+    with `]]>` ends outside CDATA, 1 where one that opens a section ends inside, -1 where nothing changes."""
+
+    def __init__(self, key: tuple[int, int, int], data: np.ndarray, room: int, most: int | None = None):
+        """most: bytes from here to the end of the file, if they are known; what was put after them is left out."""
+        self.size = len(data)
+        end = np.flatnonzero(data == ord("<"))
+        start = np.concatenate([[0], end[:-1] + 1])
+        end = end if most is None else np.minimum(end, most)
+        if key[1] == key[2] == 0:  # what stands before the first `<`
+            start, end = start[1:], end[1:]
+        length = end - start
+        self.start, self.end, self.n = start, end, len(start)
+        self.data = data = np.concatenate([data, np.zeros(room + 16, np.uint8)])
+        self.bytes = data.tobytes()
+        head = np.where(length > 0, data[start], 0)
+        self.close = head == ord("/")
+        self.opens = (head == ord("!")) & (length >= 8)
+        at = np.flatnonzero(self.opens)
+        same = np.ones(len(at), bool)
+        for k, c in enumerate(b"![CDATA["):
+            same &= data[start[at] + k] == c
+        self.opens[at] = same
+        self.mark = np.where(self.opens, 1, -1).astype(np.int8)
+        p = np.flatnonzero(data[:-2] == ord("]"))
+        p = p[(data[p + 1] == ord("]")) & (data[p + 2] == ord(">"))]
+        of = np.searchsorted(start, p, "right") - 1
+        self.mark[of[(of >= 0) & (p + 2 < end[of])] if self.n else []] = 0
+        self.tag_end = self._tag_ends()
+        empty = ~self.close & (self.tag_end > start) & (data[self.tag_end - 1] == ord("/"))
+        self.sign = np.where(self.close, -1, np.where(empty, 0, 1))
+        marks = np.flatnonzero(self.mark >= 0)
+        self.first_mark, self.last_mark = (int(marks[0]), int(self.mark[marks[-1]])) if len(marks) else (self.n, -1)
+
+    def _tag_ends(self) -> np.ndarray:
+        """Where the `>` stands that ends each start tag, -1 where none does."""
+        data, start = self.data, self.start
+        gt = np.append(np.flatnonzero(data == ord(">")), len(data))
+        found = gt[np.searchsorted(gt, start)]
+        found[found >= self.end] = -1
+        quotes = []
+        for quote in b"\"'":
+            here = data == quote
+            quotes.append(np.concatenate([[0], np.cumsum(here, dtype=np.int32)]) if here.any() else None)
+        if any(q is not None for q in quotes):
+            double, single = (np.zeros(self.n, np.int32) if q is None else np.where(found >= 0, q[found] - q[start], 0) for q in quotes)
+            for r in np.flatnonzero(((double & 1) | (single & 1) | ((double > 0) & (single > 0))) & ~self.close):
+                m = _START.match(b"<" + self.bytes[start[r] : self.end[r]])
+                found[r] = start[r] + m.end() - 2 if m else -1
+        return found
+
+    def live(self, inside: bool) -> np.ndarray:
+        """Tags outside CDATA, where the chunk begins inside a section or not."""
+        last = np.maximum.accumulate(np.where(self.mark >= 0, np.arange(self.n), -1)) if self.n else np.zeros(0, int)
+        last = np.concatenate([[-1], last[:-1]])[: self.n]
+        return ~np.where(last >= 0, self.mark[last] == 1, inside) & ~self.opens if self.n else np.zeros(0, bool)
+
+    def named(self, rows: np.ndarray, name: bytes, skip: int = 0) -> np.ndarray:
+        at, end = self.start[rows] + skip, self.end[rows]
+        ok = at + len(name) <= end
+        for k, c in enumerate(name):
+            ok &= self.data[at + k] == c
+        return ok & ((at + len(name) == end) | _NAME_ENDS[self.data[at + len(name)]])
+
+    def pieces(self, r: int, until: int) -> bytes:
+        """The bytes of the records from r on, before `until`, as they stand."""
+        return b"".join(b"<" + self.bytes[self.start[k] : self.end[k]] for k in range(r, until))
+
+    def attribute(self, r: int, p: Attribute, ok) -> bool:
+        """Whether the tag has the attribute, its last one of that name, and that is as asked."""
+        value = None
+        for m in _ATTRIBUTE.finditer(self.bytes, self.start[r], self.tag_end[r] + 1) if self.tag_end[r] >= 0 else ():
+            if m[1] == p.name.encode():
+                value = m[2] if m[2] is not None else m[3]
+        return value is not None and ok(value)
+
+    def text(self, r: int, until: int) -> bytes:
+        """The data of an open tag whose records end before `until`."""
+        if until == r + 1 and self.tag_end[r] >= 0:
+            return self.bytes[self.tag_end[r] + 1 : self.end[r]]
+        return _SECTION.sub(rb"\1", _START.sub(b"", self.pieces(r, until), count=1))
+
+
+class _Path:
+    """The steps of a path as the scans need them."""
+
+    def __init__(self, steps: list[Step]):
+        self.steps, self.n = steps, len(steps)
+        self.names = [s.name.encode() for s in steps]
+        self.placed = [i for i, s in enumerate(steps) if isinstance(s.predicate, Index | Position | Last)]
+        self.parents = [i for i, s in enumerate(steps) if isinstance(s.predicate, Child)]
+        #: (depth, name) of the elements whose text is asked for
+        self.texts = [(self.n - 1, self.names[-1])] + [(i + 1, steps[i].predicate.name.encode()) for i in self.parents]
+        self.ok = {i: comparison(s.predicate.op, s.predicate.value) for i, s in enumerate(steps) if isinstance(s.predicate, Attribute | Child)}
+        self.room = max(len(x) for x in [*self.names, *(name for _, name in self.texts)])
+
+    def own(self, i: int, tags: _Tags, r: int) -> bool:
+        p = self.steps[i].predicate
+        return not isinstance(p, Attribute) or tags.attribute(r, p, self.ok[i])
+
+    def place_ok(self, i: int, index, count):
+        """What a step's place asks of the number among siblings, from 0, and of their count."""
+        match self.steps[i].predicate:
+            case Index(n):
+                return index == n
+            case Position(op, n):
+                return OPS[op](index + 1, n)
+            case Last(back):
+                return index == count - 1 - back
+
+
+@dataclass
+class _Segment:
+    """What records change, in depths relative to that before them.  opened: (depth, place, steps met) of the elements left open;
+    head, tail: by (step, depth) the siblings whose parent began before, and whose parent is still open; first: the name that the first tag
+    closes, "" if it closes none; last: (place, depth, texts named so) of the last tag."""
+
+    delta: int
+    low: int
+    opened: list
+    head: dict
+    tail: dict
+    first: bytes | None
+    last: tuple | None
+
+
+def _segment(tags: _Tags, path: _Path, live: np.ndarray, a: int, b: int) -> _Segment:
+    rows = a + np.flatnonzero(live[a:b])
+    if not len(rows):
+        return _Segment(0, 0, [], {}, {}, None, None)
+    sign = tags.sign[rows]
+    run = np.cumsum(sign)
+    depth = run - (sign == 1)
+    after = np.minimum.accumulate(run[::-1])[::-1]
+    before = np.minimum(np.concatenate([[0], np.minimum.accumulate(run)[:-1]]), 0)
+    opened = []
+    for k in np.flatnonzero((sign == 1) & (after == run)):
+        met = [i for i in range(path.n) if tags.named(rows[k : k + 1], path.names[i])[0] and path.own(i, tags, rows[k])]
+        opened.append((int(depth[k]), int(tags.start[rows[k]]), met))
+    head, tail = {}, {}
+    for i in path.placed:
+        for sums, these in ((head, (sign >= 0) & (before >= depth)), (tail, (sign >= 0) & (after >= depth))):
+            k = np.flatnonzero(these)
+            levels, counts = np.unique(depth[k[tags.named(rows[k], path.names[i])]], return_counts=True)
+            sums.update({(i, int(d)): int(c) for d, c in zip(levels, counts, strict=True)})
+    first, last = rows[0], rows[-1:]
+    closes = re.match(rb"/([^\s/>]*)", tags.bytes[tags.start[first] : tags.end[first]])[1] if tags.close[first] else b""
+    texts = [i for i, (_, name) in enumerate(path.texts) if sign[-1] == 1 and tags.named(last, name)[0]]
+    return _Segment(int(run[-1]), min(0, int(run.min())), opened, head, tail, closes, (int(tags.start[last[0]]), int(depth[-1]), texts))
+
+
+def _changes(path: _Path, most: int):
+    def run(batches):
+        for key, data in _chunks(batches, most):
+            tags = _Tags(key, data, path.room)
+            live, cut = tags.live(False), min(tags.first_mark + 1, tags.n)
+            parts = (_segment(tags, path, live, 0, cut), _segment(tags, path, live, cut, tags.n))
+            state = pickle.dumps((tags.n, tags.last_mark, bool(tags.n and tags.opens[0]), parts))
+            yield pa.RecordBatch.from_pydict({"file": [key[0]], "block": [key[1]], "number": [key[2]], "size": [tags.size], "state": [state]})
+
+    return run
+
+
+@dataclass
+class _Begin:
+    """How a chunk begins, and what the scan of it cannot see.  place: bytes before; levels: (offset, steps met, number among siblings) of the open
+    element at each depth, or None; seen: by step the siblings so far; owner: the tag whose data the first records go on with, if its text is
+    asked for; closes: the name that the next tag after the chunk closes; goes_on: the data of its last tag goes on after it."""
+
+    place: int
+    depth: int
+    inside: bool
+    levels: tuple
+    seen: dict
+    owner: int | None
+    closes: bytes = b""
+    goes_on: bool = False
+
+
+@dataclass
+class _Known:
+    """By chunk how it begins; by (file, step, offset of the parent) the siblings in families of several chunks; by (file, step, offset) the
+    elements of several chunks that have the child asked for; dangling: (file, offset, step, offset of the parent) of children whose text goes on."""
+
+    begins: dict = field(default_factory=dict)
+    totals: dict = field(default_factory=dict)
+    met: set = field(default_factory=set)
+    dangling: list = field(default_factory=list)
+
+
+def _fold(rows: list, path: _Path) -> _Known:
+    known = _Known()
+    rows = sorted(rows, key=lambda r: (r["file"], r["block"], r["number"]))
+    file = None
+    for r in rows:
+        if r["file"] != file:
+            if file is not None:
+                _end(known, path, file, levels, seen)
+            file, place, depth, inside, levels, seen, owner, more, waiting, before = r["file"], 0, 0, False, [None] * path.n, defaultdict(int), None, False, [], None
+        n, mark, opens, parts = pickle.loads(r["state"])
+        goes_on = bool(n) and (inside or opens)
+        more = more or goes_on  # the data of the last tag went on after its chunk
+        if before is not None and n:
+            before.goes_on = goes_on
+        segments = [*([] if inside else parts[:1]), *(parts[1:] if mark >= 0 else [])]
+        first = next((s.first for s in segments if s.first is not None), None)
+        begin = known.begins[r["file"], r["block"], r["number"]] = _Begin(place, depth, inside, tuple(levels), dict(seen), owner[0] if goes_on and owner else None)
+        if first is not None:
+            for w in waiting:
+                w.closes = first
+            waiting = []
+            if more and owner:
+                known.dangling += [(file, owner[0], i, parent) for i, name, parent in owner[1] if name == first]
+        for s in segments:
+            low = depth + s.low
+            for i in path.placed:
+                seen[i] += s.head.get((i, i - depth), 0)
+                if i and low < i:  # the family ends here
+                    known.totals[file, i, levels[i - 1][0] if levels[i - 1] else None] = seen[i]
+                    seen[i] = s.tail.get((i, i - depth), 0)
+                elif i and not levels[i - 1]:
+                    seen[i] = s.tail.get((i, i - depth), 0)
+            levels = [x if d < low else None for d, x in enumerate(levels)]
+            for d, at, met in s.opened:
+                if 0 <= d + depth < path.n:
+                    levels[d + depth] = (place + at - 1, met, seen[d + depth] - 1 if d + depth in path.placed else None)
+            if s.last is not None:
+                at, d, texts = s.last
+                asked = [t for t in texts if path.texts[t][0] == d + depth]
+                children = [(path.parents[t - 1], path.texts[t][1], levels[d + depth - 1][0]) for t in asked if t and levels[d + depth - 1]]
+                owner, more = (place + at - 1, children) if asked else None, False
+            depth += s.delta
+        place += r["size"]
+        inside = mark == 1 if mark >= 0 else inside
+        waiting.append(begin)
+        before = begin if n else before
+    if file is not None:
+        _end(known, path, file, levels, seen)
+    return known
+
+
+def _end(known: _Known, path: _Path, file: int, levels: list, seen: dict) -> None:
+    for i in path.placed:
+        known.totals[file, i, levels[i - 1][0] if i and levels[i - 1] else None] = seen[i]
+
+
+class _Chunk:
+    """A chunk in its place: which elements meet each step."""
+
+    def __init__(self, tags: _Tags, path: _Path, key: tuple[int, int, int], known: _Known):
+        self.tags, self.path, self.file, self.known, self.begin = tags, path, key[0], known, known.begins[key]
+        live = tags.live(self.begin.inside)
+        self.rows = np.flatnonzero(live)
+        sign = tags.sign[self.rows]
+        self.run = self.begin.depth + np.cumsum(sign)
+        depth = self.run - (sign == 1)
+        #: by depth the places in rows of the elements that begin there, and the record of each
+        self.at = [np.flatnonzero((depth == i) & (sign >= 0)) for i in range(path.n + bool(path.parents))]
+        self.begun = [self.rows[k] for k in self.at]
+        self.good, self.has = [], {}
+
+    def offset(self, r):
+        return self.begin.place + self.tags.start[r] - 1
+
+    def after(self, k: np.ndarray) -> np.ndarray:
+        """The record of the next tag after places in rows; the end of the chunk after the last."""
+        return np.append(self.rows, self.tags.n)[k + 1]
+
+    def parent(self, i: int) -> np.ndarray:
+        """Of each element at depth i the number of its parent among those of the chunk, -1 for the one that was open before."""
+        return np.searchsorted(self.begun[i - 1], self.begun[i]) - 1
+
+    def open_at_end(self, i: int) -> bool:
+        """Whether the last element at depth i is still open."""
+        return len(self.at[i]) > 0 and self.tags.sign[self.begun[i][-1]] == 1 and self.run[self.at[i][-1] :].min() > i
+
+    def children(self, i: int, wanted: np.ndarray) -> np.ndarray:
+        """Of each element at depth i, and of the one open before (last), whether it has the child that step i asks for; only of wanted ones."""
+        tags, name = self.tags, self.path.steps[i].predicate.name.encode()
+        of, k, r = self.parent(i + 1), self.at[i + 1], self.begun[i + 1]
+        these = np.flatnonzero(wanted[of] & (tags.sign[r] == 1))
+        these = these[tags.named(r[these], name)]
+        until = self.after(k[these])
+        inner = until < tags.n
+        leaf = np.full(len(these), self.begin.closes == name and not self.begin.goes_on)
+        leaf[inner] = tags.close[until[inner]] & tags.named(until[inner], name, 1)
+        these, until, ok = these[leaf], until[leaf], self.path.ok[i]
+        has = np.zeros(len(self.begun[i]) + 1, bool)
+        has[of[these[np.fromiter((ok(tags.text(a, b)) for a, b in zip(r[these].tolist(), until.tolist(), strict=True)), bool, len(these))]]] = True
+        return has
+
+    def resolve(self) -> np.ndarray:
+        """The places in rows of the hits."""
+        path, tags, begin = self.path, self.tags, self.begin
+        good = None
+        for i, step in enumerate(path.steps):
+            r, level = self.begun[i], begin.levels[i]
+            named = tags.named(r, path.names[i])
+            of = self.parent(i) if i else np.full(len(r), -1)
+            above = good[of] if i else np.ones(len(r), bool)
+            ok = named & above
+            before = level is not None and i in level[1] and (not i or bool(good[-1]))
+            if i in path.placed:
+                counts = np.concatenate([[0], np.cumsum(named)])
+                parents = self.begun[i - 1] if i else np.zeros(0, int)
+                base = np.append(counts[np.searchsorted(r, parents)], -begin.seen.get(i, 0))
+                index, total = counts[1:] - 1 - base[of], None
+                if isinstance(step.predicate, Last):
+                    above_me = begin.levels[i - 1][0] if i and begin.levels[i - 1] else None
+                    count = np.append(np.append(base[1:-1], counts[-1])[: len(parents)] - base[:-1], 0)
+                    count[-1] = self.known.totals.get((self.file, i, above_me), 0)
+                    if i and self.open_at_end(i - 1):
+                        count[-2] = self.known.totals.get((self.file, i, int(self.offset(parents[-1]))), 0)
+                    total = count[of]
+                ok &= path.place_ok(i, index, total)
+                before = before and bool(path.place_ok(i, level[2], self.known.totals.get((self.file, i, above_me), 0) if isinstance(step.predicate, Last) else None))
+            elif i in path.parents:
+                has = self.children(i, np.append(ok, False))
+                if self.open_at_end(i):
+                    has[-2] = (self.file, i, int(self.offset(r[-1]))) in self.known.met
+                ok &= has[:-1]
+                before = before and (self.file, i, level[0]) in self.known.met
+            elif step.predicate:
+                these = np.flatnonzero(ok)
+                ok[these] = np.fromiter((path.own(i, tags, a) for a in r[these].tolist()), bool, len(these))
+            good = np.append(ok, before)
+        return self.at[-1 - bool(path.parents)][good[:-1]]
+
+    def crossing(self):
+        """Yields (owner, step, place, data): steps met by a child of elements of several chunks, and the data of tags that goes on in other chunks."""
+        tags, begin = self.tags, self.begin
+        for i in self.path.parents:
+            wanted = np.zeros(len(self.begun[i]) + 1, bool)
+            wanted[-1] = begin.levels[i] is not None
+            if len(wanted) > 1:
+                wanted[-2] = self.open_at_end(i)
+            has = self.children(i, wanted)
+            if has[-1]:
+                yield begin.levels[i][0], i, 0, None
+            if len(has) > 1 and has[-2]:
+                yield int(self.offset(self.begun[i][-1])), i, 0, None
+        lead = int(self.rows[0]) if len(self.rows) else tags.n
+        if begin.owner is not None and lead:
+            yield begin.owner, -1, int(begin.place + tags.start[0]), tags.pieces(0, lead)
+        if begin.goes_on and len(self.rows):
+            last = self.rows[-1:]
+            depth = self.run[-1] - 1
+            if tags.sign[last[0]] == 1 and any(depth == d and tags.named(last, name)[0] for d, name in self.path.texts):
+                yield int(self.offset(last[0])), -1, int(begin.place + tags.start[last[0]]), tags.pieces(int(last[0]), tags.n)
+
+    def hits(self) -> pa.RecordBatch:
+        """Rows (file, start_off, empty, data): data are the records of the tag as they stand."""
+        tags, k = self.tags, self.resolve()
+        r, until = self.rows[k], self.after(k)
+        size = until - r
+        begins = np.cumsum(size) - size
+        each = np.repeat(r - begins, size) + np.arange(size.sum())
+        length = tags.end[each] - tags.start[each] + 1
+        off = np.concatenate([[0], np.cumsum(length)])
+        data = tags.data[np.repeat(tags.start[each] - 1 - off[:-1], length) + np.arange(off[-1])]
+        data[off[:-1]] = ord("<")
+        at = off[np.append(begins, len(each))].astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(r), self.file)), pa.array(self.offset(r)), pa.array(tags.sign[r] == 0), values], names=["file", "start_off", "empty", "data"])
+
+
+def _scan(path: _Path, known: _Known, sizes: dict[int, int], most: int, crossing: bool):
+    def run(batches):
+        for key, data in _chunks(batches, most):
+            tags = _Tags(key, data, path.room, sizes[key[0]] - known.begins[key].place)
+            chunk = _Chunk(tags, path, key, known)
+            if not crossing:
+                yield chunk.hits()
+            elif found := list(chunk.crossing()):
+                columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), *columns], names=["file", "owner", "step", "place", "data"])
+
+    return run
+
+
+def _view(data: str) -> Column:
+    return F.decode(F.col(data), "ISO-8859-1")
+
+
+def _text(view: Column) -> Column:
+    return from_bytes(unwrap(F.regexp_replace(view, START_TAG, "")))
 
 
 def large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
     """Matches (file, start_off, text) of a path in large files.  text is the character data between the start tag and the next
     tag, CDATA sections unwrapped in their places.  Predicates mean what they mean in small documents."""
-    steps = parse_xpath(xpath)
-    scanned = _scanned(spark, path)
-    hit = _filtered(scanned, steps) if any(s.predicate for s in steps) else _chain(scanned, steps)
-    return _with_text(hit, scanned).select("file", F.col("off").alias("start_off"), "text")
+    steps = _Path(parse_xpath(xpath))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_path"), "length").withColumn("file", F.xxhash64("_path"))
+    sizes = {r["file"]: r["length"] for r in files.drop("_path").collect()}
+    for end in ENDS:
+        rows = records(spark, path, end)
+        changes = rows.mapInArrow(_changes(steps, CHUNK), "file long, block long, number long, size long, state binary").collect()
+        read = Counter()
+        for r in changes:
+            read[r["file"]] += r["size"]
+        if end == ENDS[-1]:  # nothing but the last `<` stands after a file's end; sizes of compressed files are not those of their text
+            sizes = read
+        elif all(read[f] in (n, n + len(end)) for f, n in sizes.items()):
+            break
+    known = _fold(changes, steps)
+    more = None
+    if steps.parents or any(b.owner is not None for b in known.begins.values()):
+        at = shared_path(spark, "crossing")
+        rows.mapInArrow(_scan(steps, known, sizes, CHUNK, True), "file long, owner long, step int, place long, data binary").write.parquet(at)
+        found = spark.read.schema("file long, owner long, step int, place long, data binary").parquet(at)
+        known.met = {(r["file"], r["step"], r["owner"]) for r in found.where("step >= 0").collect()}
+        parts = F.sort_array(F.collect_list(F.struct("place", _view("data").alias("data"))))
+        more = found.where("step < 0").groupBy("file", F.col("owner").alias("start_off")).agg(_text(F.array_join(F.transform(parts, lambda p: p["data"]), "")).alias("text"))
+        for i in steps.parents:
+            p = steps.steps[i].predicate
+            asked = {(f, o): (f, i, parent) for f, o, s, parent in known.dangling if s == i}
+            if asked:
+                passed = more.withColumn("name", F.lit(p.name)).where(child_condition(p)).select("file", "start_off").collect()
+                known.met |= {asked[r["file"], r["start_off"]] for r in passed if (r["file"], r["start_off"]) in asked}
+    hit = rows.mapInArrow(_scan(steps, known, sizes, CHUNK, False), "file long, start_off long, empty boolean, data binary")
+    text = _text(_view("data"))
+    if any(b.owner is not None for b in known.begins.values()):
+        hit = hit.join(more.withColumnRenamed("text", "_more"), ["file", "start_off"], "left")
+        text = F.coalesce("_more", text)
+    return hit.join(F.broadcast(files.drop("length")), "file").select(F.col("_path").alias("file"), "start_off", F.when(~F.col("empty"), text).alias("text"))
