@@ -185,3 +185,35 @@ def test_raw_of_many_matches_meets_a_document_once(spark):
     binary = Documents(df.withColumn("content", F.encode("content", "UTF-8")), unique_ids=True).xpath("/r/g", raw=True)
     assert {(r["doc_id"], r["match_no"]): r["raw"] for r in binary.collect()} == got
     assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_document_in_parts(spark, tmp_path):
+    import gzip
+
+    section = lambda g: f"<k><![CDATA[<x>{g} </g>]]> y</k>" if g % 4 == 0 else f"<k>{g % 5}</k>"
+    items = lambda g: "".join(f"<i k='{j}'><t>{(g + j) % 7}</t></i>\n<o/>" for j in range(g % 6))
+    x = f"<r>{''.join(f'<g k=\'{g % 4}\'>{section(g)}{items(g)}</g><i/>' for g in range(40))}</r><r k='none'><g/></r>\n"
+    small = Documents(spark.createDataFrame([(1, x)], "doc_id long, content string"))
+    tags = [k for k, c in enumerate(x) if c == "<"]
+    for step in (37, 5):
+        cuts = [0, *tags[step::step], len(x)]
+        top = tmp_path / f"parts-{step}"
+        top.mkdir()
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            (top / f"part-{n:05}.xml.gz").write_bytes(gzip.compress(x[a:b].encode())) if n % 2 else (top / f"part-{n:05}.xml").write_text(x[a:b])
+        for path in ["/r/g/k", "/r/g[k='<x>8 </g> y']/i/t", "/r/g[k<3]/i[last() - 1]/t", "/r[@k='none']/g"]:
+            found = large_path(spark, str(top), path, in_parts=True)
+            assert {r["start_off"]: r["text"] for r in found.collect()} == {r["start_off"]: r["text"] for r in small.xpath(path).collect()}, (path, step)
+    (top / "part-99999.xml").write_text("text <g/>")
+    with pytest.raises(ValueError, match="begin at a tag"):
+        large_path(spark, str(top), "/r/g", in_parts=True)
+
+
+def test_large_orders_are_written_by_many_tasks(spark, sf, monkeypatch):
+    from xylem import queries
+
+    monkeypatch.setattr(queries, "PART_ORDERS", 40)
+    path = queries._large_orders(spark, sf)
+    assert spark.read.format("binaryFile").load(path).count() > 1
+    got = large_path(spark, path, "/order/item/qty", in_parts=True)
+    assert got.count() == queries.corpora.read(spark, sf, "lineitem").count()

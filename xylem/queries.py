@@ -127,34 +127,41 @@ def doc_stats(spark, sf):
     return s.select("doc_id", "n_bytes", "n_tokens", F.col("max_depth").cast("long").alias("max_depth"), "has_cdata")
 
 
+#: Orders in a part of the large document, which a task reads whole; some 25 MB.
+PART_ORDERS = 1 << 16
+
+
 def _large_orders(spark: SparkSession, sf: str, content: Column | None = None) -> str:
-    """Orders as one document, written to the shared folder."""
+    """Orders as one document, written in parts to the shared folder; they follow each other as roots, which the data model allows."""
     path = shared_path(spark, "large")
     docs = corpora.orders_xml(spark, sf).select(F.col("content") if content is None else content)
-    # one file: the orders follow each other as roots, which the data model allows; only the writing is a single task
-    docs.repartition(1).write.option("lineSep", "\n").text(path)
+    docs.write.option("lineSep", "\n").option("compression", "lz4").option("maxRecordsPerFile", PART_ORDERS).text(path)
     return path
 
 
+def _large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
+    return large_path(spark, path, xpath, in_parts=True)
+
+
 def large_doc_path(spark, sf):
-    """Orders as one document, scanned in splits."""
-    return large_path(spark, _large_orders(spark, sf), "/order/item/qty").select(_qty())
+    """Orders as one document, its parts scanned in splits."""
+    return _large_path(spark, _large_orders(spark, sf), "/order/item/qty").select(_qty())
 
 
 def large_doc_cdata(spark, sf):
     """The same document, the child whose text is CDATA."""
-    return large_path(spark, _large_orders(spark, sf), "/order/item/price").select(F.col("text").cast("double").alias("l_extendedprice"))
+    return _large_path(spark, _large_orders(spark, sf), "/order/item/price").select(F.col("text").cast("double").alias("l_extendedprice"))
 
 
 def large_doc_stray(spark, sf):
     """The same with ends of CDATA sections in plain text, and beginnings within sections."""
     content = F.replace(F.replace("content", F.lit("</qty>"), F.lit(" ]]> </qty>")), F.lit("<![CDATA["), F.lit("<![CDATA[<![CDATA[</x>"))
-    return large_path(spark, _large_orders(spark, sf, content.alias("content")), "/order/item/qty").select(F.regexp_extract("text", r"^(\S+) \]\]> $", 1).cast("double").alias("l_quantity"))
+    return _large_path(spark, _large_orders(spark, sf, content.alias("content")), "/order/item/qty").select(F.regexp_extract("text", r"^(\S+) \]\]> $", 1).cast("double").alias("l_quantity"))
 
 
 def _large(path: str):
     """A path with predicates over the one large document."""
-    return lambda spark, sf: large_path(spark, _large_orders(spark, sf), path).select(_qty())
+    return lambda spark, sf: _large_path(spark, _large_orders(spark, sf), path).select(_qty())
 
 
 def repeated_ids(spark, sf):

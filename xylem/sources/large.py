@@ -4,6 +4,8 @@ Rows end at a `<`, so a split never cuts a tag; a chunk is some MB of rows of on
 hold one tag and the text after it each.  A first scan gives for each chunk what it changes: bytes, CDATA, depth, the elements left open, and the siblings that
 other chunks count on.  The driver folds these, a small row per chunk, into the state at the beginning of each chunk, and a last scan gives
 the hits; no text is shuffled.  What crosses chunks otherwise (children that a step asks for, CDATA after a tag) is met by a scan of its own.
+
+A document may also be kept in parts, as tasks write it: files of one folder, each of which begins at a `<`.  The fold goes on from part to part.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import pickle
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from .documents import shared_path
 CHUNK = 4 << 20
 #: Rows may end at any text that ends with `<`.  The first by which no row of any file is longer than LONGEST is taken; the last takes rows of any length.
 ENDS, LONGEST = ("\n<", "><", "<"), 1 << 16
+_PACKED = re.compile(r"\.(gz|bz2|deflate|lz4|snappy|zst)$")
 _START, _ATTRIBUTE = re.compile(START_TAG.encode()), re.compile(ATTRIBUTE.encode())
 _SECTION = re.compile(rb"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
 _NAME_ENDS = np.zeros(256, bool)
@@ -229,7 +233,7 @@ def _changes(path: _Path, most: int):
             tags = _Tags(key, data, path.room)
             live, cut = tags.live(False), min(tags.first_mark + 1, tags.n)
             parts = (_segment(tags, path, live, 0, cut), _segment(tags, path, live, cut, tags.n))
-            state = pickle.dumps((tags.n, tags.last_mark, bool(tags.n and tags.opens[0]), parts))
+            state = pickle.dumps((tags.n, tags.last_mark, bool(tags.n and tags.opens[0]), parts, tags.bytes[:1] == b"<"))
             yield pa.RecordBatch.from_pydict({"file": [key[0]], "block": [key[1]], "number": [key[2]], "size": [tags.size], "state": [state]})
 
     return run
@@ -254,29 +258,38 @@ class _Begin:
 @dataclass
 class _Known:
     """By chunk how it begins; by (file, step, offset of the parent) the siblings in families of several chunks; by (file, step, offset) the
-    elements of several chunks that have the child asked for; dangling: (file, offset, step, offset of the parent) of children whose text goes on."""
+    elements of several chunks that have the child asked for; dangling: (file, offset, step, offset of the parent) of children whose text goes on;
+    parts: the bytes before each file of a document in parts, which counts as file 0."""
 
     begins: dict = field(default_factory=dict)
     totals: dict = field(default_factory=dict)
     met: set = field(default_factory=set)
     dangling: list = field(default_factory=list)
+    parts: dict | None = None
+
+    def file(self, file: int) -> int:
+        return file if self.parts is None else 0
 
 
-def _fold(rows: list, path: _Path) -> _Known:
-    known = _Known()
-    rows = sorted(rows, key=lambda r: (r["file"], r["block"], r["number"]))
+def _fold(rows: list, path: _Path, parts: dict[int, int] | None = None) -> _Known:
+    known = _Known(parts=parts)
+    rows = sorted(rows, key=lambda r: (r["file"] if parts is None else parts[r["file"]], r["block"], r["number"]))
     file = None
     for r in rows:
-        if r["file"] != file:
+        if known.file(r["file"]) != file:
             if file is not None:
                 _end(known, path, file, levels, seen)
-            file, place, depth, inside, levels, seen, owner, more, waiting, before = r["file"], 0, 0, False, [None] * path.n, defaultdict(int), None, False, [], None
-        n, mark, opens, parts = pickle.loads(r["state"])
+            file, place, depth, inside, levels, seen, owner, more, waiting, before = known.file(r["file"]), 0, 0, False, [None] * path.n, defaultdict(int), None, False, [], None
+        n, mark, opens, segments, at_tag = pickle.loads(r["state"])
+        if parts is not None and r["block"] == r["number"] == 0:
+            place = parts[r["file"]]
+            if place and not at_tag:
+                raise ValueError("a part of the document does not begin at a tag")
         goes_on = bool(n) and (inside or opens)
         more = more or goes_on  # the data of the last tag went on after its chunk
         if before is not None and n:
             before.goes_on = goes_on
-        segments = [*([] if inside else parts[:1]), *(parts[1:] if mark >= 0 else [])]
+        segments = [*([] if inside else segments[:1]), *(segments[1:] if mark >= 0 else [])]
         first = next((s.first for s in segments if s.first is not None), None)
         begin = known.begins[r["file"], r["block"], r["number"]] = _Begin(place, depth, inside, tuple(levels), dict(seen), owner[0] if goes_on and owner else None)
         if first is not None:
@@ -322,7 +335,7 @@ class _Chunk:
     """A chunk in its place: which elements meet each step."""
 
     def __init__(self, tags: _Tags, path: _Path, key: tuple[int, int, int], known: _Known):
-        self.tags, self.path, self.file, self.known, self.begin = tags, path, key[0], known, known.begins[key]
+        self.tags, self.path, self.file, self.known, self.begin = tags, path, known.file(key[0]), known, known.begins[key]
         live = tags.live(self.begin.inside)
         self.rows = np.flatnonzero(live)
         sign = tags.sign[self.rows]
@@ -441,13 +454,13 @@ class _Chunk:
 def _scan(path: _Path, known: _Known, sizes: dict[int, int], most: int, crossing: bool):
     def run(batches):
         for key, data in _chunks(batches, most):
-            tags = _Tags(key, data, path.room, sizes[key[0]] - known.begins[key].place)
+            tags = _Tags(key, data, path.room, sizes[key[0]] + (known.parts or {}).get(key[0], 0) - known.begins[key].place)
             chunk = _Chunk(tags, path, key, known)
             if not crossing:
                 yield chunk.hits()
             elif found := list(chunk.crossing()):
                 columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), *columns], names=["file", "owner", "step", "place", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.file] * len(found), pa.int64()), *columns], names=["file", "owner", "step", "place", "data"])
 
     return run
 
@@ -460,23 +473,30 @@ def _text(view: Column) -> Column:
     return from_bytes(unwrap(F.regexp_replace(view, START_TAG, "")))
 
 
-def large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
+def large_path(spark: SparkSession, path: str, xpath: str, in_parts: bool = False) -> DataFrame:
     """Matches (file, start_off, text) of a path in large files.  text is the character data between the start tag and the next
-    tag, CDATA sections unwrapped in their places.  Predicates mean what they mean in small documents."""
+    tag, CDATA sections unwrapped in their places.  Predicates mean what they mean in small documents.  in_parts: the files of the folder
+    are one document, in the order of their names, and each begins at a `<`; offsets are those in the document, file is the folder."""
     steps = _Path(parse_xpath(xpath))
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_path"), "length").withColumn("file", F.xxhash64("_path"))
-    sizes = {r["file"]: r["length"] for r in files.drop("_path").collect()}
-    for end in ENDS:
+    listed = sorted(files.collect(), key=lambda r: r["_path"])
+    sizes = {r["file"]: r["length"] for r in listed}
+    if any(_PACKED.search(r["_path"]) for r in listed):
+        counted = records(spark, path, ENDS[-1]).groupBy("file").agg(F.sum(F.octet_length("value")).alias("n"))
+        sizes = dict.fromkeys(sizes, 0) | {r["file"]: r["n"] - 1 for r in counted.collect()}
+    for end in ENDS[::2] if in_parts else ENDS:  # `><` after a part could end a section that goes on in the next
         rows = records(spark, path, end)
         changes = rows.mapInArrow(_changes(steps, CHUNK), "file long, block long, number long, size long, state binary").collect()
         read = Counter()
         for r in changes:
             read[r["file"]] += r["size"]
-        if end == ENDS[-1]:  # nothing but the last `<` stands after a file's end; sizes of compressed files are not those of their text
-            sizes = read
+        if end == ENDS[-1]:  # nothing but the last `<` stands after a file's end
+            sizes = {f: max(0, read[f] - 1) for f in sizes}
         elif all(read[f] in (n, n + len(end)) for f, n in sizes.items()):
             break
-    known = _fold(changes, steps)
+    names = [r["file"] for r in listed]
+    parts = dict(zip(names, accumulate([0, *(sizes[f] for f in names)]), strict=False)) if in_parts else None
+    known = _fold(changes, steps, parts)
     more = None
     if steps.parents or any(b.owner is not None for b in known.begins.values()):
         at = shared_path(spark, "crossing")
@@ -496,4 +516,6 @@ def large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
     if any(b.owner is not None for b in known.begins.values()):
         hit = hit.join(more.withColumnRenamed("text", "_more"), ["file", "start_off"], "left")
         text = F.coalesce("_more", text)
+    if in_parts:
+        return hit.select(F.lit(path).alias("file"), "start_off", F.when(~F.col("empty"), text).alias("text"))
     return hit.join(F.broadcast(files.drop("length")), "file").select(F.col("_path").alias("file"), "start_off", F.when(~F.col("empty"), text).alias("text"))
