@@ -470,3 +470,26 @@ def test_pipeline(spark, sf):
         assert 0 < out.count() <= docs.count()
     pieces = corpus_pipeline.run(spark, sf)
     assert set(pieces.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} and pieces.count() > 50
+
+
+def test_pieces_are_encoded_as_the_library_does():
+    import pyarrow as pa
+
+    from xylem.llm import tokens
+    from xylem.llm.packing import public_tokenizer
+
+    enc = tokens.PieceEncoder(public_tokenizer())
+    latin = [chr(c) for c in range(0xC0, 0x100)]
+    words = [f"a{c}b{m}" for c in latin for m in ("", ".", ",.", "&&&", "!?x1", "'s", "-\\9")] + [f"Z{c}" for c in latin]
+    words += ["", "x", "<|endoftext|>", "a<|endoftext|>b", "don't", "ª1", "×", "÷a", "\u00a0", "b\u00a0", "\u3000", "]]", "^~`", "é1é", "日本", "a|b", "\U0001f600"]
+    texts = [sep.join(words[k::7]) for k in range(7) for sep in (" ", "\n", "\n\n ", " \t", "\u00a0 ", "\r\n")] + [*words, ""]
+    for _ in range(2):
+        got = []
+        for _, at, ids in enc.encode(pa.array(texts)):
+            got += [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+        assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    plain, enc._ids = enc._ids, lambda pieces: asked.extend(pieces) or plain(pieces)
+    enc.forget()
+    list(enc.encode(pa.array(["né queré oui né oui queré oui"])))
+    assert sorted(asked) == sorted(["né", " queré", " oui", " né"])  # words after é are pieces of their own
