@@ -493,3 +493,11 @@ def test_pieces_are_encoded_as_the_library_does():
     enc.forget()
     list(enc.encode(pa.array(["né queré oui né oui queré oui"])))
     assert sorted(asked) == sorted(["né", " queré", " oui", " né"])  # words after é are pieces of their own
+
+
+def test_components_reads_links_without_a_shuffle(spark, monkeypatch):
+    plans, plain = [], near.settle
+    monkeypatch.setattr(near, "settle", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or plain(df, name))
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (5, 5), (7, 9), (9, 7)], "a long, b long").coalesce(1)
+    assert {(r["node"], r["root"]) for r in near.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+    assert [name for name, _ in plans] == ["components", "components"] and "Exchange" not in plans[0][1].replace("Coalesce", "")

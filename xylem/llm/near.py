@@ -190,18 +190,19 @@ def _union_find(batches, most: int = 1 << 20):
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """Rows (node, root) of the linked nodes; root is the least node of the component.  Raises if `most` rounds are not enough."""
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    """Rows (node, root) of the linked nodes; root is the least node of the component.  Raises if `most` rounds are not enough.  links: a table
+    that is cheap to read; each task forgets what it reads twice, so repeated links need no shuffle of their own."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     for _ in range(most):
         local = settle(edges.transform(mapped, _union_find, "node long, root long"), "components")
         per = settle(local.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")), "components")
         if per.where("root <> other").isEmpty():
             return per.select("node", "root")
-        edges = local.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct()
+        edges = local.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
@@ -333,8 +334,8 @@ def link_groups(docs: DataFrame, id_col="doc_id", text_col="text", wanted: float
     top = per.groupBy("bucket").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
     open_rows = settle(known.join(top.select("bucket", "main"), "bucket"), "open-buckets")
     if not open_rows.isEmpty():
-        links = links.unionByName(settle(verify(open_pairs(texts, open_rows, wanted), texts, wanted), "links"))
-        parts = components(links)
+        known = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        parts = components(known.unionByName(settle(verify(open_pairs(texts, open_rows, wanted), texts, wanted), "links")))
     return scanned.select("id", "node"), _grouped(nodes.select("node"), parts)
 
 
