@@ -217,3 +217,22 @@ def test_large_orders_are_written_by_many_tasks(spark, sf, monkeypatch):
     assert spark.read.format("binaryFile").load(path).count() > 1
     got = large_path(spark, path, "/order/item/qty", in_parts=True)
     assert got.count() == queries.corpora.read(spark, sf, "lineitem").count()
+
+
+def test_known_length_saves_the_count_of_packed_parts(spark, tmp_path, monkeypatch):
+    import gzip
+
+    rows = [f"<g k='{g}'><t>{g}</t></g>\n" for g in range(30)]
+    for n in range(3):
+        (tmp_path / f"part-{n}.xml.gz").write_bytes(gzip.compress("".join(rows[n * 10 : n * 10 + 10]).encode()))
+    (tmp_path / "part-3.xml.gz").write_bytes(gzip.compress(b""))
+    small = Documents(spark.createDataFrame([(1, "".join(rows))], "doc_id long, content string"))
+    wanted = {r["start_off"]: r["text"] for r in small.xpath("/g/t").collect()}
+    read, plain, n = [], large.records, len("".join(rows))
+    monkeypatch.setattr(large, "records", lambda spark, path, end: read.append(end) or plain(spark, path, end))
+    assert {r["start_off"]: r["text"] for r in large_path(spark, str(tmp_path), "/g/t", in_parts=True, length=n).collect()} == wanted
+    assert read == ["\n<"]
+    assert {r["start_off"]: r["text"] for r in large_path(spark, str(tmp_path), "/g/t", in_parts=True, length=n + 1).collect()} == wanted
+    monkeypatch.setattr(large, "LONGEST", 20)  # rows over it are left out, until rows end at each `<`
+    assert {r["start_off"]: r["text"] for r in large_path(spark, str(tmp_path), "/g/t", in_parts=True, length=n).collect()} == wanted
+    assert read[-1] == "<"

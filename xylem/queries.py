@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import corpora
@@ -131,37 +131,41 @@ def doc_stats(spark, sf):
 PART_ORDERS = 1 << 16
 
 
-def _large_orders(spark: SparkSession, sf: str, content: Column | None = None) -> str:
-    """Orders as one document, written in parts to the shared folder; they follow each other as roots, which the data model allows."""
+def _large_orders(spark: SparkSession, sf: str, content: Column | None = None, seen: Observation | None = None) -> str:
+    """Orders as one document, written in parts to the shared folder; they follow each other as roots, which the data model allows.
+    seen: gets the document's bytes as n."""
     path = shared_path(spark, "large")
     docs = corpora.orders_xml(spark, sf).select(F.col("content") if content is None else content)
+    docs = docs if seen is None else docs.observe(seen, F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + 1).alias("n"))
     docs.write.option("lineSep", "\n").option("compression", "lz4").option("maxRecordsPerFile", PART_ORDERS).text(path)
     return path
 
 
-def _large_path(spark: SparkSession, path: str, xpath: str) -> DataFrame:
-    return large_path(spark, path, xpath, in_parts=True)
+def _large_path(spark: SparkSession, sf: str, xpath: str, content: Column | None = None) -> DataFrame:
+    seen = Observation()
+    path = _large_orders(spark, sf, content, seen)
+    return large_path(spark, path, xpath, in_parts=True, length=seen.get["n"])
 
 
 def large_doc_path(spark, sf):
     """Orders as one document, its parts scanned in splits."""
-    return _large_path(spark, _large_orders(spark, sf), "/order/item/qty").select(_qty())
+    return _large_path(spark, sf, "/order/item/qty").select(_qty())
 
 
 def large_doc_cdata(spark, sf):
     """The same document, the child whose text is CDATA."""
-    return _large_path(spark, _large_orders(spark, sf), "/order/item/price").select(F.col("text").cast("double").alias("l_extendedprice"))
+    return _large_path(spark, sf, "/order/item/price").select(F.col("text").cast("double").alias("l_extendedprice"))
 
 
 def large_doc_stray(spark, sf):
     """The same with ends of CDATA sections in plain text, and beginnings within sections."""
     content = F.replace(F.replace("content", F.lit("</qty>"), F.lit(" ]]> </qty>")), F.lit("<![CDATA["), F.lit("<![CDATA[<![CDATA[</x>"))
-    return _large_path(spark, _large_orders(spark, sf, content.alias("content")), "/order/item/qty").select(F.regexp_extract("text", r"^(\S+) \]\]> $", 1).cast("double").alias("l_quantity"))
+    return _large_path(spark, sf, "/order/item/qty", content.alias("content")).select(F.regexp_extract("text", r"^(\S+) \]\]> $", 1).cast("double").alias("l_quantity"))
 
 
 def _large(path: str):
     """A path with predicates over the one large document."""
-    return lambda spark, sf: _large_path(spark, _large_orders(spark, sf), path).select(_qty())
+    return lambda spark, sf: _large_path(spark, sf, path).select(_qty())
 
 
 def repeated_ids(spark, sf):

@@ -82,11 +82,15 @@ class _Tags:
     def __init__(self, key: tuple[int, int, int], data: np.ndarray, room: int, most: int | None = None):
         """most: bytes from here to the end of the file, if they are known; what was put after them is left out."""
         self.size = len(data)
-        end = np.flatnonzero(data == ord("<"))
+        ends = np.flatnonzero((data == ord("<")) | (data == ord(">")))
+        gt = data[ends] == ord(">")
+        lt = np.flatnonzero(~gt)
+        end, following = ends[lt], np.concatenate([[0], lt[:-1] + 1])
         start = np.concatenate([[0], end[:-1] + 1])
+        first_gt = np.where(gt[following], ends[following], -1) if len(lt) else np.zeros(0, int)
         end = end if most is None else np.minimum(end, most)
         if key[1] == key[2] == 0:  # what stands before the first `<`
-            start, end = start[1:], end[1:]
+            start, end, first_gt = start[1:], end[1:], first_gt[1:]
         length = end - start
         self.start, self.end, self.n = start, end, len(start)
         self.data = data = np.concatenate([data, np.zeros(room + 16, np.uint8)])
@@ -104,24 +108,19 @@ class _Tags:
         p = p[(data[p + 1] == ord("]")) & (data[p + 2] == ord(">"))]
         of = np.searchsorted(start, p, "right") - 1
         self.mark[of[(of >= 0) & (p + 2 < end[of])] if self.n else []] = 0
-        self.tag_end = self._tag_ends()
+        self.tag_end = self._tag_ends(np.where(first_gt < end, first_gt, -1))
         empty = ~self.close & (self.tag_end > start) & (data[self.tag_end - 1] == ord("/"))
         self.sign = np.where(self.close, -1, np.where(empty, 0, 1))
         marks = np.flatnonzero(self.mark >= 0)
         self.first_mark, self.last_mark = (int(marks[0]), int(self.mark[marks[-1]])) if len(marks) else (self.n, -1)
 
-    def _tag_ends(self) -> np.ndarray:
-        """Where the `>` stands that ends each start tag, -1 where none does."""
+    def _tag_ends(self, found: np.ndarray) -> np.ndarray:
+        """Where the `>` stands that ends each start tag, -1 where none does.  found: the first `>` of each record."""
         data, start = self.data, self.start
-        gt = np.append(np.flatnonzero(data == ord(">")), len(data))
-        found = gt[np.searchsorted(gt, start)]
-        found[found >= self.end] = -1
-        quotes = []
-        for quote in b"\"'":
-            here = data == quote
-            quotes.append(np.concatenate([[0], np.cumsum(here, dtype=np.int32)]) if here.any() else None)
-        if any(q is not None for q in quotes):
-            double, single = (np.zeros(self.n, np.int32) if q is None else np.where(found >= 0, q[found] - q[start], 0) for q in quotes)
+        self.quotes = [np.flatnonzero(data == quote) for quote in b"\"'"]
+        if any(len(q) for q in self.quotes):
+            of = [np.searchsorted(start, q, "right") - 1 for q in self.quotes]
+            double, single = (np.bincount(k[(k >= 0) & (q < found[k])], minlength=self.n) if len(q) and self.n else np.zeros(self.n, int) for k, q in zip(of, self.quotes, strict=True))
             for r in np.flatnonzero(((double & 1) | (single & 1) | ((double > 0) & (single > 0))) & ~self.close):
                 m = _START.match(b"<" + self.bytes[start[r] : self.end[r]])
                 found[r] = start[r] + m.end() - 2 if m else -1
@@ -473,15 +472,17 @@ def _text(view: Column) -> Column:
     return from_bytes(unwrap(F.regexp_replace(view, START_TAG, "")))
 
 
-def large_path(spark: SparkSession, path: str, xpath: str, in_parts: bool = False) -> DataFrame:
+def large_path(spark: SparkSession, path: str, xpath: str, in_parts: bool = False, length: int | None = None) -> DataFrame:
     """Matches (file, start_off, text) of a path in large files.  text is the character data between the start tag and the next
     tag, CDATA sections unwrapped in their places.  Predicates mean what they mean in small documents.  in_parts: the files of the folder
-    are one document, in the order of their names, and each begins at a `<`; offsets are those in the document, file is the folder."""
+    are one document, in the order of their names, and each begins at a `<`; offsets are those in the document, file is the folder.  length: the
+    bytes of all files, unpacked, if they are known; it saves a scan that counts those of packed files."""
     steps = _Path(parse_xpath(xpath))
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_path"), "length").withColumn("file", F.xxhash64("_path"))
     listed = sorted(files.collect(), key=lambda r: r["_path"])
     sizes = {r["file"]: r["length"] for r in listed}
-    if any(_PACKED.search(r["_path"]) for r in listed):
+    packed = any(_PACKED.search(r["_path"]) for r in listed)
+    if packed and length is None:
         counted = records(spark, path, ENDS[-1]).groupBy("file").agg(F.sum(F.octet_length("value")).alias("n"))
         sizes = dict.fromkeys(sizes, 0) | {r["file"]: r["n"] - 1 for r in counted.collect()}
     for end in ENDS[::2] if in_parts else ENDS:  # `><` after a part could end a section that goes on in the next
@@ -492,6 +493,10 @@ def large_path(spark: SparkSession, path: str, xpath: str, in_parts: bool = Fals
             read[r["file"]] += r["size"]
         if end == ENDS[-1]:  # nothing but the last `<` stands after a file's end
             sizes = {f: max(0, read[f] - 1) for f in sizes}
+        elif packed and length is not None:
+            if sum(read.values()) - len(end) * len(read) == length:  # no row was left out, and no file ends with the end
+                sizes = {f: max(0, read[f] - len(end)) for f in sizes}
+                break
         elif all(read[f] in (n, n + len(end)) for f, n in sizes.items()):
             break
     names = [r["file"] for r in listed]
