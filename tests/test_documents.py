@@ -236,3 +236,27 @@ def test_known_length_saves_the_count_of_packed_parts(spark, tmp_path, monkeypat
     monkeypatch.setattr(large, "LONGEST", 20)  # rows over it are left out, until rows end at each `<`
     assert {r["start_off"]: r["text"] for r in large_path(spark, str(tmp_path), "/g/t", in_parts=True, length=n).collect()} == wanted
     assert read[-1] == "<"
+
+
+def _tags(x: str):
+    import numpy as np
+
+    return large._Tags((1, 0, 0), np.frombuffer(x.encode() + b"<", np.uint8), 8)
+
+
+def test_attributes_of_many_tags_at_once(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    bits = ['k="1"', 'k="2"', "k='1'", 'k = "1"', 'k="a=b"', 'k=""', 'xk="1"', 'q="k"', '"k"', 'k="<', '="1"', 'q="1>2"', "é='k'", 'é="1"', 'k="é"', "k=", '"', "'", "/", " "]
+    odd = _tags("".join(f"<{rng.choice(['a', 'k'])} {rng.choice([' ', '', chr(10)]).join(rng.choices(bits, k=rng.randrange(5)))}{rng.choice(['>', '/>', '', '>x=k'])}" for _ in range(3000)))
+    rows = np.flatnonzero(~odd.close)
+    for name, op, value in [("k", "=", "1"), ("k", "!=", "1"), ("k", "<", "2"), ("é", "=", "1"), ("q", "=", "k")]:
+        p, ok = large.Attribute(name, op, value), large.comparison(op, value)
+        got = odd.attributes(rows, p, ok)
+        assert got.tolist() == [odd.attribute(r, p, ok) for r in rows.tolist()] and (name == "é" or got.any()), p
+    many = _tags("".join(f'<a n="{j}" k="{j % 3}"/>' for j in range(99)))
+    monkeypatch.setattr(large._Tags, "attribute", None)  # plain tags do not need it
+    assert many.attributes(np.arange(99), large.Attribute("k", "=", "2"), None).sum() == 33

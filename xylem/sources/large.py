@@ -32,8 +32,11 @@ ENDS, LONGEST = ("\n<", "><", "<"), 1 << 16
 _PACKED = re.compile(r"\.(gz|bz2|deflate|lz4|snappy|zst)$")
 _START, _ATTRIBUTE = re.compile(START_TAG.encode()), re.compile(ATTRIBUTE.encode())
 _SECTION = re.compile(rb"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
-_NAME_ENDS = np.zeros(256, bool)
+_ATTRIBUTE_NAME = re.compile(rb"[\w.:-]+")
+_NAME_ENDS, _BLANKS, _NAMES = np.zeros((3, 256), bool)
 _NAME_ENDS[list(b" \t\n\x0b\f\r/>")] = True
+_BLANKS[list(b" \t\n\x0b\f\r")] = True
+_NAMES[[c for c in range(256) if _ATTRIBUTE_NAME.fullmatch(bytes([c]))]] = True
 
 
 def records(spark: SparkSession, path: str, end: str) -> DataFrame:
@@ -143,6 +146,47 @@ class _Tags:
         """The bytes of the records from r on, before `until`, as they stand."""
         return b"".join(b"<" + self.bytes[self.start[k] : self.end[k]] for k in range(r, until))
 
+    def same(self, at: np.ndarray, end: np.ndarray, value: bytes) -> np.ndarray:
+        """Whether the bytes from `at` on, before `end`, are the value."""
+        ok = end - at == len(value)
+        k = np.flatnonzero(ok)
+        for j, c in enumerate(value):
+            k = k[self.data[at[k] + j] == c]
+        ok[:] = False
+        ok[k] = True
+        return ok
+
+    def pass_(self, at: np.ndarray, end: np.ndarray, p: Attribute | Child, ok) -> np.ndarray:
+        """Whether the bytes from `at` on, before `end`, are as asked."""
+        if p.op in ("=", "!="):
+            return self.same(at, end, p.value.encode()) == (p.op == "=")
+        data = self.bytes
+        return np.fromiter((ok(data[a:b]) for a, b in zip(at.tolist(), end.tolist(), strict=True)), bool, len(at))
+
+    def attributes(self, rows: np.ndarray, p: Attribute, ok) -> np.ndarray:
+        """`attribute` of many tags.  Where each `=` of a tag ends a name, begins a value in double quotes and stands in none, the values
+        are found in the arrays; the other tags are read one by one."""
+        good, data, (double, single) = np.zeros(len(rows), bool), self.data, self.quotes
+        name, start, end = p.name.encode(), self.start[rows], self.tag_end[rows]
+        plain = np.full(len(rows), bool(_ATTRIBUTE_NAME.fullmatch(name))) & (end >= 0)
+        plain[plain] = np.searchsorted(single, start[plain]) == np.searchsorted(single, end[plain])
+        at = np.flatnonzero(data == ord("="))
+        of = np.searchsorted(start, at, "right") - 1
+        at, of = (x[(of >= 0) & (at < end[of])] for x in (at, of)) if len(rows) else (at[:0], of[:0])
+        inside = (np.searchsorted(double, at) - np.searchsorted(double, start[of])) & 1
+        plain[of[(inside == 1) | (data[at + 1] != ord('"')) | _BLANKS[data[at - 1]]]] = False
+        first = at - len(name)
+        here = plain[of] & (first >= start[of])
+        at, of, first = at[here], of[here], first[here]
+        here = self.same(first, at, name) & ((first == start[of]) | ~_NAMES[data[first - 1]])
+        value = np.full(len(rows), -1)
+        value[of[here]] = at[here] + 2  # the last of a name stays
+        k = np.flatnonzero(value >= 0)
+        good[k] = self.pass_(value[k], double[np.searchsorted(double, value[k])], p, ok)
+        for k in np.flatnonzero(~plain & (end >= 0)):
+            good[k] = self.attribute(rows[k], p, ok)
+        return good
+
     def attribute(self, r: int, p: Attribute, ok) -> bool:
         """Whether the tag has the attribute, its last one of that name, and that is as asked."""
         value = None
@@ -408,7 +452,7 @@ class _Chunk:
                 before = before and (self.file, i, level[0]) in self.known.met
             elif step.predicate:
                 these = np.flatnonzero(ok)
-                ok[these] = np.fromiter((path.own(i, tags, a) for a in r[these].tolist()), bool, len(these))
+                ok[these] = tags.attributes(r[these], step.predicate, path.ok[i])
             good = np.append(ok, before)
         return self.at[-1 - bool(path.parents)][good[:-1]]
 
