@@ -260,3 +260,21 @@ def test_attributes_of_many_tags_at_once(monkeypatch):
     many = _tags("".join(f'<a n="{j}" k="{j % 3}"/>' for j in range(99)))
     monkeypatch.setattr(large._Tags, "attribute", None)  # plain tags do not need it
     assert many.attributes(np.arange(99), large.Attribute("k", "=", "2"), None).sum() == 33
+
+
+def test_no_scan_for_what_crosses_where_nothing_does(spark, tmp_path, monkeypatch):
+    x = "".join(f"<g><k>{g % 5}</k><i>{g}</i><k><![CDATA[3]]></k></g>\n" for g in range(200))
+    (tmp_path / "big.xml").write_text(x)
+    small = Documents(spark.createDataFrame([(1, x)], "doc_id long, content string"))
+    asked, plain = [], large.shared_path
+    monkeypatch.setattr(large, "shared_path", lambda spark, name: asked.append(name) or plain(spark, name))
+    for path in ("/g[k=2]/i", "/g[k!=3]/i", "/g[k>2]/i"):
+        got = [r["start_off"] for r in large_path(spark, str(tmp_path / "big.xml"), path).collect()]
+        assert sorted(got) == sorted(r["start_off"] for r in small.xpath(path).collect()) and got, path
+    assert not asked
+    monkeypatch.setattr(large, "CHUNK", 500)  # rows end before `<g>`: still nothing crosses
+    assert large_path(spark, str(tmp_path / "big.xml"), "/g[k=2]/i").count() == 40 and not asked
+    (tmp_path / "open.xml").write_text(f"<r>{x}</r>")
+    assert large_path(spark, str(tmp_path / "open.xml"), "/r[k=2]/g").count() == 0 and asked == ["crossing"]
+    (tmp_path / "end.xml").write_text("<g><k>2</k>")  # open at the end
+    assert large_path(spark, str(tmp_path / "end.xml"), "/g[k=2]").count() == 1

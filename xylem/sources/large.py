@@ -302,12 +302,13 @@ class _Begin:
 class _Known:
     """By chunk how it begins; by (file, step, offset of the parent) the siblings in families of several chunks; by (file, step, offset) the
     elements of several chunks that have the child asked for; dangling: (file, offset, step, offset of the parent) of children whose text goes on;
-    parts: the bytes before each file of a document in parts, which counts as file 0."""
+    open: an element that may have such a child goes on after its chunk; parts: the bytes before each file of a document in parts, which counts as file 0."""
 
     begins: dict = field(default_factory=dict)
     totals: dict = field(default_factory=dict)
     met: set = field(default_factory=set)
     dangling: list = field(default_factory=list)
+    open: bool = False
     parts: dict | None = None
 
     def file(self, file: int) -> int:
@@ -360,6 +361,7 @@ def _fold(rows: list, path: _Path, parts: dict[int, int] | None = None) -> _Know
                 children = [(path.parents[t - 1], path.texts[t][1], levels[d + depth - 1][0]) for t in asked if t and levels[d + depth - 1]]
                 owner, more = (place + at - 1, children) if asked else None, False
             depth += s.delta
+        known.open |= any(levels[i] for i in path.parents)
         place += r["size"]
         inside = mark == 1 if mark >= 0 else inside
         waiting.append(begin)
@@ -415,8 +417,13 @@ class _Chunk:
         leaf = np.full(len(these), self.begin.closes == name and not self.begin.goes_on)
         leaf[inner] = tags.close[until[inner]] & tags.named(until[inner], name, 1)
         these, until, ok = these[leaf], until[leaf], self.path.ok[i]
+        r = r[these]
+        good, plain = np.zeros(len(these), bool), (until == r + 1) & (tags.tag_end[r] >= 0)
+        good[plain] = tags.pass_(tags.tag_end[r[plain]] + 1, tags.end[r[plain]], self.path.steps[i].predicate, ok)
+        for k in np.flatnonzero(~plain):
+            good[k] = ok(tags.text(int(r[k]), int(until[k])))
         has = np.zeros(len(self.begun[i]) + 1, bool)
-        has[of[these[np.fromiter((ok(tags.text(a, b)) for a, b in zip(r[these].tolist(), until.tolist(), strict=True)), bool, len(these))]]] = True
+        has[of[these[good]]] = True
         return has
 
     def resolve(self) -> np.ndarray:
@@ -547,7 +554,7 @@ def large_path(spark: SparkSession, path: str, xpath: str, in_parts: bool = Fals
     parts = dict(zip(names, accumulate([0, *(sizes[f] for f in names)]), strict=False)) if in_parts else None
     known = _fold(changes, steps, parts)
     more = None
-    if steps.parents or any(b.owner is not None for b in known.begins.values()):
+    if known.open or any(b.owner is not None for b in known.begins.values()):
         at = shared_path(spark, "crossing")
         rows.mapInArrow(_scan(steps, known, sizes, CHUNK, True), "file long, owner long, step int, place long, data binary").write.parquet(at)
         found = spark.read.schema("file long, owner long, step int, place long, data binary").parquet(at)
