@@ -18,10 +18,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ATTRIBUTE, START_TAG, comparison, from_bytes, unwrap
+from ..functions.text import ATTRIBUTE, CDATA_OPEN, START_TAG, comparison, from_bytes, unwrap
 from ..plans.xpath_ast import Attribute, Child, Index, Last, Position, Step, parse_xpath
 from ..plans.xpath_plan import OPS, child_condition
 from .documents import shared_path
@@ -486,19 +487,27 @@ class _Chunk:
                 yield int(self.offset(last[0])), -1, int(begin.place + tags.start[last[0]]), tags.pieces(int(last[0]), tags.n)
 
     def hits(self) -> pa.RecordBatch:
-        """Rows (file, start_off, empty, data): data are the records of the tag as they stand."""
+        """Rows (file, start_off, empty, text, tag, data): text is that of tags of one record, if all is ASCII; of others data are the records as they
+        stand, without the start tag unless `tag` says so."""
         tags, k = self.tags, self.resolve()
         r, until = self.rows[k], self.after(k)
         size = until - r
         begins = np.cumsum(size) - size
         each = np.repeat(r - begins, size) + np.arange(size.sum())
-        length = tags.end[each] - tags.start[each] + 1
+        first, cut = tags.start[each] - 1, tags.tag_end[r] >= 0
+        first[begins[cut]] = tags.tag_end[r[cut]] + 1
+        length = tags.end[each] - first
         off = np.concatenate([[0], np.cumsum(length)])
-        data = tags.data[np.repeat(tags.start[each] - 1 - off[:-1], length) + np.arange(off[-1])]
-        data[off[:-1]] = ord("<")
+        data = tags.data[np.repeat(first - off[:-1], length) + np.arange(off[-1])]
+        whole = np.ones(len(each), bool)
+        whole[begins[cut]] = False
+        data[off[:-1][whole]] = ord("<")
         at = off[np.append(begins, len(each))].astype(np.int32)
-        values = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(r), self.file)), pa.array(self.offset(r)), pa.array(tags.sign[r] == 0), values], names=["file", "start_off", "empty", "data"])
+        plain = cut & (size == 1) & (not len(data) or data.max() < 128)
+        text, rest = (pa.Array.from_buffers(t, len(r), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())]) if these.any() else pa.nulls(len(r), t) for t, these in ((pa.string(), plain), (pa.binary(), ~plain)))
+        if plain.any() and not plain.all():
+            text, rest = (pc.if_else(pa.array(these), x, pa.scalar(None, x.type)) for these, x in ((plain, text), (~plain, rest)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(r), self.file)), pa.array(self.offset(r)), pa.array(tags.sign[r] == 0), text, pa.array(~cut), rest], names=["file", "start_off", "empty", "text", "tag", "data"])
 
 
 def _scan(path: _Path, known: _Known, sizes: dict[int, int], most: int, crossing: bool):
@@ -519,8 +528,12 @@ def _view(data: str) -> Column:
     return F.decode(F.col(data), "ISO-8859-1")
 
 
-def _text(view: Column) -> Column:
-    return from_bytes(unwrap(F.regexp_replace(view, START_TAG, "")))
+def _text(view: Column, tag: Column | None = None) -> Column:
+    """tag: whether the start tag stands before the data."""
+    data = F.regexp_replace(view, START_TAG, "")
+    data = data if tag is None else F.when(tag, data).otherwise(view)
+    data = F.when(F.contains(data, F.lit(CDATA_OPEN)), unwrap(data)).otherwise(data)
+    return F.when(F.octet_length(data) == F.length(data), data).otherwise(from_bytes(data))  # ASCII
 
 
 def large_path(spark: SparkSession, path: str, xpath: str, in_parts: bool = False, length: int | None = None) -> DataFrame:
@@ -567,8 +580,8 @@ def large_path(spark: SparkSession, path: str, xpath: str, in_parts: bool = Fals
             if asked:
                 passed = more.withColumn("name", F.lit(p.name)).where(child_condition(p)).select("file", "start_off").collect()
                 known.met |= {asked[r["file"], r["start_off"]] for r in passed if (r["file"], r["start_off"]) in asked}
-    hit = rows.mapInArrow(_scan(steps, known, sizes, CHUNK, False), "file long, start_off long, empty boolean, data binary")
-    text = _text(_view("data"))
+    hit = rows.mapInArrow(_scan(steps, known, sizes, CHUNK, False), "file long, start_off long, empty boolean, text string, tag boolean, data binary")
+    text = F.when(F.col("data").isNull(), F.col("text")).otherwise(_text(_view("data"), F.col("tag")))
     if any(b.owner is not None for b in known.begins.values()):
         hit = hit.join(more.withColumnRenamed("text", "_more"), ["file", "start_off"], "left")
         text = F.coalesce("_more", text)
