@@ -288,7 +288,7 @@ def test_texts_of_plain_tags_are_cut_from_the_arrays(spark, tmp_path):
     known = large._Known(begins={(1, 0, 0): large._Begin(0, 0, False, (None, None), {}, None)})
     hits = large._Chunk(tags, path, (1, 0, 0), known).hits().to_pylist()
     assert [h["text"] for h in hits if not h["empty"]] == [texts[j % 5] for j in range(50)] and not any(h["data"] for h in hits)
-    for n, odd in enumerate(["<g><t>é</t><t>u</t></g>", "<g><t b=\"<![CDATA[x]]>\">y</t></g>", "<g><t>a<![CDATA[<t>]]>b</t><t b='\">' c='>'>z</t></g>", "<g><t>&lt;<![CDATA[q"]):
+    for n, odd in enumerate(["<g><t>é</t><t>u</t></g>", "<g><t b=\"<![CDATA[x]]>\">y</t></g>", "<g><t>a<![CDATA[<t>]]>b</t><t b='\">' c='>'>z</t></g>", "<g><t>&lt;<![CDATA[q]]></t></g>"]):
         (tmp_path / f"{n}.xml").write_text(x + odd)
         small = Documents(spark.createDataFrame([(1, x + odd)], "doc_id long, content string"))
         got = {r["start_off"]: r["text"] for r in large_path(spark, str(tmp_path / f"{n}.xml"), "/g/t").collect()}
